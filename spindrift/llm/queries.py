@@ -4,8 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_codec import encode_decode
 from .common import table
 from .quality_rules import quality_rules
+from .token_counts import token_counts
+
+
+def tokenizer_path(name: str) -> str:
+    """Path of a public tokenizer's file; it stays where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +33,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bpe_codec": op2_bpe_codec,
+    "op4_token_counts": op4_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
