@@ -108,6 +108,7 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     total = np.zeros(len(starts), np.uint64)
     for j in range(size):
         total += padded[starts + j] * _ORDER[j]
-    for t in short:
-        total[at[t]] = (padded[first[t] : first[t + 1]] * _ORDER[: n_words[t]]).sum() + _ORDER[63] * np.uint64(n_words[t])
+    with np.errstate(over="ignore"):
+        for t in short:
+            total[at[t]] = (padded[first[t] : first[t + 1]] * _ORDER[: n_words[t]]).sum() + _ORDER[63] * np.uint64(n_words[t])
     return mix(total), at
