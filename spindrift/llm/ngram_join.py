@@ -1,14 +1,14 @@
 """Operator 3: n-gram Jaccard join with prefix, length, positional and suffix filters.
 
 A document is the set of its five-word shingles (64-bit hashes of lower-cased words). Documents with
-one and the same set form a class, which the join handles as one. Shingles are ordered rare first: a
-sketch of fixed size counts the classes' shingles over all documents, the count's logarithm leads the
+one and the same set form a class, which the join handles as one (its least id). Shingles are ordered
+rare first: a sketch of fixed size counts shingles over all documents, the count's logarithm leads the
 shingle's key, the hash follows; any order gives the same pairs, this one keeps frequent shingles out
 of the prefixes. Two sets of Jaccard similarity >= t share a shingle among the first
 n - ceil(t n) + 1 of each, so only these are dealt out, by shingle. Of shingles that two classes or
-more hold, pairs are formed and pass, in this order, the length filter, the positional filter and the
-suffix filter (a fixed partition of the rest of each set bounds its overlap); what is left is verified
-once per pair on the whole sets.
+more hold, pairs are formed and pass the length filter, the positional filter (what stands before and
+after the shared shingle bounds the overlap) and the suffix filter (a fixed partition of the sets by
+hash bounds it again, part by part); what is left is verified once per pair on the whole sets.
 
 Only classes' connection is asked for, so a large group of near copies is not expanded into all of its
 pairs: a round links the members of each shingle to one of them, takes the components found so far, and
@@ -16,7 +16,8 @@ drops shingles whose members are all together. Rounds go on with other leaders w
 then every pair of members that are still apart is formed and tested, so no link is lost.
 
 Null and blank texts have an empty set and stay alone. Equal rows give equal rows, one out for each in;
-rows with a null id take part in no link (their component is null).
+rows that share an id are one document that links by any of its texts; rows with a null id take part in
+no link (their component is null). Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ from .common import discard, materialize
 from .components import components
 from .secret_scan import slices
 
-SKETCH = 1 << 17
+SKETCH, CHUNKS = 1 << 17, 16
 PARTS = 8  # of the fixed partition for the suffix filter
 LEVELS = 5  # bits of a key that say how frequent the shingle is
 SEEN = 200_000
@@ -48,36 +50,25 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         yield np.unique(windows[a:b])
 
 
-def _class_of(hashes: np.ndarray) -> int:
-    """A 64-bit name for a set."""
-    if not len(hashes):
-        return 0
-    both = textkernel.mix(hashes).sum(dtype=np.uint64), textkernel.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(textkernel.mix(np.array([both[0] ^ (both[1] << np.uint64(1)) ^ np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
+def _digest(hashes: np.ndarray) -> bytes:
+    """A 128-bit name for a set of sorted hashes."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def _first_pass(size: int):
-    """Class and size of each document's set; and, as rows without id, the task's sketch of shingle counts."""
+    """Digest and size of each document's set; and, as rows of size -1, the task's sketch of shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(SKETCH, np.int64), set()
+        counts = np.zeros(SKETCH, np.int64)
+        names = ["id", "digest", "n", "chunk"]
         for batch in batches:
             for part in slices(batch):
-                names, sizes = [], []
-                for s in shingle_sets(part.column(1), size):
-                    name = _class_of(s)
-                    names.append(name)
-                    sizes.append(len(s))
-                    if name not in seen:
-                        if len(seen) < SEEN:
-                            seen.add(name)
-                        counts += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > 5000 else 0
-                        if len(s) <= 5000:
-                            np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(names), pa.binary())], names=["id", "class", "n", "sketch"])
-        parts = counts.reshape(16, -1)
-        id_type = pa.int64()
-        yield pa.RecordBatch.from_arrays([pa.nulls(16, id_type), pa.array(range(16), pa.int64()), pa.array([-1] * 16, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "class", "n", "sketch"])
+                sets = list(shingle_sets(part.column(1), size))
+                if sets:
+                    counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.nulls(len(sets), pa.int32())], names=names)
+        parts = counts.reshape(CHUNKS, -1)
+        yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([-1] * CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32())], names=names)
 
     return run
 
@@ -89,18 +80,23 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = np.frombuffer(raw, np.int64)
             sums[k] = sums[k] + part if k in sums else part
     for k, part in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["class", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "digest"])
 
 
 def _levels(parts: DataFrame) -> np.ndarray:
-    """Of each place of the sketch, the logarithm of how far its count is above the middle one."""
-    salted = parts.select("class", "sketch").repartition(64, "class", F.pmod(F.spark_partition_id(), F.lit(4))).mapInArrow(_add, "class long, sketch binary")
-    counts = np.zeros((16, SKETCH // 16), np.int64)
-    for r in salted.repartition(16, "class").mapInArrow(_add, "class long, sketch binary").collect():
-        counts[r["class"]] += np.frombuffer(r.sketch, np.int64)
+    """Of each place of the sketch, the logarithm of how far its count is above the usual one.
+
+    The sketch's size is fixed; each task's part is added chunk by chunk, in two steps.
+    """
+    add = lambda df: df.mapInArrow(_add, "chunk int, digest binary")
+    some = add(parts.select("chunk", "digest").repartition(CHUNKS * 8, "chunk", F.pmod(F.spark_partition_id(), F.lit(8))))
+    counts = np.zeros((CHUNKS, SKETCH // CHUNKS), np.int64)
+    for r in add(some.repartition(CHUNKS, "chunk")).collect():
+        counts[r.chunk] += np.frombuffer(r.digest, np.int64)
     counts = counts.ravel()
-    above = np.maximum(counts - int(np.median(counts) + 4 * math.sqrt(np.median(counts) + 1)), 0)
-    return np.minimum(np.log2(above + 1).astype(np.uint64), (1 << LEVELS) - 1)
+    usual = float(np.median(counts))
+    above = np.maximum(counts - usual - 4 * math.sqrt(usual + 1), 0)
+    return np.minimum(np.log2(above + 1), (1 << LEVELS) - 1).astype(np.uint64)
 
 
 def keys_of(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -116,61 +112,139 @@ def least_overlap(n: np.ndarray | int, percent: int):
 
 def _prefixes(size: int, percent: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch):
-                rows: list[tuple[np.ndarray, int, int]] = []
-                for s in shingle_sets(part.column(0), size):
-                    name = _class_of(s)
-                    if not len(s) or name in seen:
+                keys, ids, sizes, lengths = [], [], [], []
+                for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), size)):
+                    name = _digest(s)
+                    if i is None or not len(s) or name in seen:  # a task sends equal sets once
                         continue
                     if len(seen) < SEEN:
                         seen.add(name)
-                    rows.append((keys_of(s, levels)[: len(s) - least_overlap(len(s), percent) + 1], name, len(s)))
-                if rows:
-                    lengths = [len(k) for k, _, _ in rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([k for k, _, _ in rows]).view(np.int64)), pa.array(np.repeat([c for _, c, _ in rows], lengths)),
-                            pa.array(np.repeat([n for _, _, n in rows], lengths).astype(np.int32)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])),
-                        ],
-                        names=["key", "class", "n", "pos"],
-                    )
+                    keys.append(keys_of(s, levels)[: len(s) - least_overlap(len(s), percent) + 1])
+                    ids.append(i)
+                    sizes.append(len(s))
+                    lengths.append(len(keys[-1]))
+                if keys:
+                    pos = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+                    columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), pos]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "n", "pos"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and class, those whose key two classes or more hold, each class once."""
-    carry = None
+    """Of rows sorted by key, those whose key more than one row holds. The last row waits for the next batch."""
+    names, held, known = ["key", "id", "n", "pos"], None, False
     for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in range(4)]
-        if carry is not None:
-            cols = [np.concatenate([c, x]) for c, x in zip(carry, cols)]
-        key, name = cols[0], cols[1]
-        same_key = key[1:] == key[:-1]
-        fresh = np.concatenate([[True], ~(same_key & (name[1:] == name[:-1]))])
-        cols = [c[fresh] for c in cols]
-        key = cols[0]
-        # The last two rows wait for the next batch: one may still find a partner, the other is its proof.
-        hold = min(2, len(key))
-        carry, body = [c[-hold:] for c in cols], len(key) - hold
-        together = np.zeros(len(key), bool)
-        eq = key[1:] == key[:-1]
-        together[1:] |= eq
-        together[:-1] |= eq
-        out = together.copy()
-        out[body:] = False
-        if _pending[0] is not None and len(key):
-            out[: len(_pending[0])] &= ~_pending[0][: len(key)]
-        _pending[0] = None
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in cols], names=["key", "class", "n", "pos"])
-    if carry is not None:
-        key = carry[0]
-        eq = key[1:] == key[:-1]
-        together = np.zeros(len(key), bool)
-        together[1:] |= eq
-        together[:-1] |= eq
-        if together.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[together]) for c in carry], names=["key", "class", "n", "pos"])
+        columns = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+        if not len(columns[0]):
+            continue
+        equal = columns[0][1:] == columns[0][:-1]
+        together = np.zeros(len(columns[0]), bool)
+        together[1:] |= equal
+        together[:-1] |= equal
+        together[0] |= known and held is not None
+        held, known = [c[-1:] for c in columns], bool(together[-1])
+        out = np.flatnonzero(together[:-1])
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], names=names)
+    if held is not None and known:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
+
+
+def _whole_sets(size: int, levels: np.ndarray):
+    """Keys of whole sets, and the number of them in each part of a fixed partition by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                keys = [keys_of(s, levels) for s in shingle_sets(part.column(1), size)]
+                counts = [np.bincount((k & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32) for k in keys]
+                lists = lambda xs, kind: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32), pa.array(np.concatenate(xs).view(kind)))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists(keys, np.int64), lists(counts, np.int32)], names=["id", "keys", "parts"])
+
+    return run
+
+
+def _needed(na: Column, nb: Column, percent: int) -> Column:
+    """Overlap o with 100 o >= percent (na + nb - o), as 0 <= a condition on (100 + percent) o."""
+    return percent * (na + nb)
+
+
+def _may_link(percent: int) -> Column:
+    """Length and positional filters for rows x and y of one key."""
+    na, nb = F.col("x.n").cast("long"), F.col("y.n").cast("long")
+    bound = F.least("x.pos", "y.pos") + 1 + F.least(na - F.col("x.pos") - 1, nb - F.col("y.pos") - 1)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bound >= _needed(na, nb, percent))
+
+
+def _pair() -> list[Column]:
+    return [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: the suffix filter, then the overlap of the whole sets."""
+    one = lambda c: sets.select(F.col("id").alias(c), F.col("keys").alias(f"{c}_keys"), F.col("parts").alias(f"{c}_parts"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b")
+    na, nb = F.size("a_keys").cast("long"), F.size("b_keys").cast("long")
+    bound = sum((F.least(F.get("a_parts", k), F.get("b_parts", k)) for k in range(PARTS)), F.lit(0))
+    overlap = F.size(F.array_intersect("a_keys", "b_keys"))
+    return both.filter((100 + percent) * bound >= _needed(na, nb, percent)).filter((100 + percent) * overlap >= _needed(na, nb, percent)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links), n_links (verified links of the document's class).
+
+    ``n_links`` counts the links that the search verified; links inside a group that is known to hang
+    together need no test, so it is a lower bound. ``broadcast_rows``: up to so many ids of documents to
+    verify are sent to all tasks, more are joined by shuffle.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    first = materialize(rows.mapInArrow(_first_pass(size), "id long, digest binary, n long, chunk int"), "shingle-sets")
+    levels = _levels(first.filter("n = -1"))
+    members = first.filter("n >= 0")
+    # Equal sets: the least id stands for the class.
+    least = members.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+    others = members.filter("n > 0").join(least, "digest").filter("id <> rep").select("id", "rep").distinct()
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    prefixes = rows.mapInArrow(_prefixes(size, percent, levels), "key long, id long, n int, pos int")
+    shared = prefixes.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long, n int, pos int")
+    mapped = shared.join(others, "id", "left").select("key", F.coalesce("rep", "id").alias("id"), "n", "pos").distinct()
+    index = materialize(mapped, "prefix-index")
+    wanted = materialize(index.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").join(index, "key").select("id").distinct(), "to-verify")
+    few = wanted.count() <= broadcast_rows
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "id")
+    sets = materialize(texts.select("id", "text").mapInArrow(_whole_sets(size, levels), "id long, keys array<long>, parts array<int>"), "whole-sets")
+    links = tested = labels = None
+    for turn in range(star_rounds + 1):
+        now = index.select("key", "id", "n", "pos", F.col("id").alias("comp")) if labels is None else index.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
+        lead = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "pos", "comp")).alias("y")).filter("lo <> hi")
+        last = turn == star_rounds
+        if last:  # whatever is still apart is paired in full
+            alive = now.join(lead.select("key"), "key", "left_semi")
+            found = alive.alias("x").join(alive.alias("y"), "key").filter(F.expr("x.comp <> y.comp and x.id < y.id"))
+        else:
+            found = now.alias("x").join(lead.select("key", "y.*").alias("y"), "key").filter(F.expr("x.comp <> y.comp"))
+        pairs = found.filter(_may_link(percent)).select(*_pair()).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        new = materialize(verify(pairs, sets, percent), "links-found")
+        links = new if links is None else links.union(new)
+        if not new.isEmpty():
+            labels = materialize(components(links), "labels")
+        elif not last:
+            continue
+    discard(sets)
+    reps = members.filter("id is not null").join(others, "id", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("node"))
+    per_node = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    label = labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
+    joined = reps.join(label, "node", "left").join(per_node, "node", "left")
+    alone = members.filter("id is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).union(alone)

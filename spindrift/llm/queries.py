@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .bpe_codec import encode_decode
 from . import quality_model, secret_scan
 from .common import table
+from .html_extract import main_text
+from .ngram_join import near_duplicates
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 
@@ -28,6 +30,14 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -48,7 +58,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_counts": op4_token_counts,
+    "op6_html_extract": op6_html_extract,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
