@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe_codec import encode_decode
 from . import quality_model, secret_scan
 from .common import table
+from .compact_windows import repeated_passages
 from .decontaminate import leaks
 from .html_extract import main_text
 from .ngram_join import near_duplicates
@@ -54,6 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secret_scan.scan(docs, secret_scan.fit(docs), with_text=False)
@@ -67,6 +72,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
     "op6_html_extract": op6_html_extract,
+    "op8_compact_windows": op8_compact_windows,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
