@@ -130,7 +130,7 @@ def pack_texts(id_type: pa.DataType):
     return run
 
 
-def join_back(path: str, with_text: bool):
+def join_back(path: str, with_ids: bool, with_text: bool):
     """Of one block: its dictionary and its texts; ids go to the words' positions."""
 
     def run(key, dictionary: pa.Table, packed: pa.Table) -> pa.Table:
@@ -158,19 +158,22 @@ def join_back(path: str, with_text: bool):
                 out["n"].append(sum(map(count_of.__getitem__, words)))
                 out["ids"].append(hashlib.sha256(joined).hexdigest())
                 out["decoded"].append(hashlib.sha256(decoded).hexdigest())
+                if with_ids:
+                    out["id_list"].append(np.array(joined.split(), np.int32))
                 if with_text:
-                    out["id_list"].append([int(x) for x in joined.split()])
                     out["decoded_text"].append(decoded.decode())
         columns = {"doc_id": pa.chunked_array(doc_ids), "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["ids"], pa.string()), "decoded_sha256": pa.array(out["decoded"], pa.string())}
+        if with_ids:
+            columns["ids"] = pa.array(out["id_list"], pa.list_(pa.int32()))
         if with_text:
-            columns |= {"ids": pa.array(out["id_list"], pa.list_(pa.int32())), "decoded": pa.array(out["decoded_text"], pa.string())}
+            columns["decoded"] = pa.array(out["decoded_text"], pa.string())
         return pa.table(columns)
 
     return run
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 24, with_text: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; ``with_text`` adds ids (array) and decoded (text).
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block_mb: float = 24, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; ``with_ids`` adds ids (array), ``with_text`` decoded (text).
 
     Ids are those of the tokenizer in ``vocabulary`` (JSON) without added special tokens, truncation or
     padding; the decoded text is that of its ``decode(ids, skip_special_tokens=False)``. The tokenizer
@@ -184,5 +187,5 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     from pyspark.sql.pandas.types import to_arrow_type
 
     packed = rows.select("block", "id", "text").mapInArrow(pack_texts(to_arrow_type(kind)), f"block long, ids array<{kind.simpleString()}>, sizes binary, texts binary")
-    schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_text
-    return answered.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(join_back(vocabulary, with_text), schema)
+    schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    return answered.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(join_back(vocabulary, with_ids, with_text), schema)

@@ -67,7 +67,7 @@ def leaks(
     penalty: int = 3,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
-    """doc_id, item_id, doc_start, doc_end, item_start (tokens), n_matched, n_aligned, n_item, n_seeds: the best run of each pair."""
+    """doc_id, text_hash (xxhash64 of the text), item_id, doc_start, doc_end, item_start (tokens), n_matched, n_aligned, n_item, n_seeds: the best run of each pair."""
     tests = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
     tests = tests.withColumn("iw", F.transform(tokens(F.col("item_text")), lambda x: F.xxhash64(x))).filter(F.size("iw") >= SPAN)
     tests = tests.select("item_id", F.xxhash64("item_text").alias("ih"), F.col("iw").alias("hw"))
@@ -99,6 +99,6 @@ def leaks(
         (-(F.col("diagonal") + F.col("first") + F.col("run.start"))).alias("minus_start"), (F.col("first") + F.col("run.start")).alias("item_start"), "n_seeds",
     ).alias("best"))
     best = run.groupBy("doc_id", "th", "item_id", "ih", "n_item").agg(F.max("best").alias("best"))
-    best = best.select("doc_id", "item_id", (-F.col("best.minus_start")).cast("long").alias("doc_start"), (-F.col("best.minus_start") + F.col("best.n_aligned")).cast("long").alias("doc_end"),
+    best = best.select("doc_id", F.col("th").alias("text_hash"), "item_id", (-F.col("best.minus_start")).cast("long").alias("doc_start"), (-F.col("best.minus_start") + F.col("best.n_aligned")).cast("long").alias("doc_end"),
                        F.col("best.item_start").cast("long").alias("item_start"), F.col("best.n_matched").cast("long").alias("n_matched"), "best.n_aligned", F.col("n_item").cast("long").alias("n_item"), F.col("best.n_seeds").alias("n_seeds"))
     return best.filter((F.col("n_matched") >= min_tokens) | (F.col("n_matched") >= min_share * F.col("n_item")))

@@ -14,6 +14,7 @@ from .html_extract import main_text
 from .ngram_join import near_duplicates
 from .quality_rules import quality_rules
 from .token_counts import token_counts
+from .warc_audit import audit, to_records
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,7 +38,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica that lost every 997th record and has one byte changed in every 499th."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damaged = F.when(F.col("page_id") % 499 == 7, F.concat(F.lit("#"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    replica = pages.filter(F.coalesce(F.col("page_id") % 997 != 11, F.lit(True))).withColumn("html", damaged)
+    found = audit(to_records(pages), to_records(replica))
+    return found.filter("status in ('corrupt', 'missing', 'extra')").select(F.col("number").alias("page_id"), "file", "offset", "length", "status", "digest", "replica_digest")
+
+
 def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -72,12 +82,26 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
     "op6_html_extract": op6_html_extract,
+    "op7_warc_audit": op7_warc_audit,
     "op8_compact_windows": op8_compact_windows,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE = {
+    "op7_warc_audit": r"""
+WITH p AS (SELECT page_id AS n, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+q AS (SELECT n, url, html, CASE WHEN n % 499 = 7 THEN '#' || html[2:] ELSE html END AS other FROM p),
+rec AS (SELECT n, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || n || '>' || chr(13) || chr(10)
+   || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head, html, other FROM q),
+full_ AS (SELECT n, head || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS r1,
+   head || strlen(other) || chr(13) || chr(10) || chr(13) || chr(10) || other || chr(13) || chr(10) || chr(13) || chr(10) AS r2 FROM rec),
+h AS (SELECT n, n // 1024 AS file, strlen(r1) AS length, sha256(r1) AS d1, CASE WHEN n % 997 = 11 THEN NULL ELSE sha256(r2) END AS d2 FROM full_),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM h)
+SELECT n AS page_id, CAST(file AS BIGINT) AS file, CAST(off AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+   CASE WHEN d2 IS NULL THEN 'missing' ELSE 'corrupt' END AS status, d1 AS digest, d2 AS replica_digest
+FROM o WHERE d2 IS NULL OR d1 <> d2
+""",
     "op5_decontaminate": r"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
 dt AS (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM d),

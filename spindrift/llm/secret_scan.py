@@ -297,7 +297,7 @@ def scan(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "t
                         rows[kind].append(sum(s[1] == kind for s in base))
                     rows[3].append(spans_text(base))
                     rows[4].append(spans_text(spans))
-                    rows[5].append(redact(text, spans) if with_text else "")
+                    rows[5].append((redact(text, spans) if batch.column(1)[k].is_valid else None) if with_text else "")
                 out = [pa.array(r, pa.int64()) for r in rows[:3]] + [pa.array(r, pa.string()) for r in rows[3:]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *out], names=["doc_id", *carry, "n_assign", "n_access", "n_hex", "base_spans", "spans", "redacted"])
 
