@@ -1,0 +1,131 @@
+"""Text functions on columns: prompts, commands, models, previews, redaction, sentences."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Tools by category.
+CATEGORIES = {
+    "Read": "read", "NotebookRead": "read", "Glob": "search", "Grep": "search", "LS": "search", "Edit": "edit", "MultiEdit": "edit", "NotebookEdit": "edit", "Write": "write",
+    "Bash": "shell", "BashOutput": "shell", "KillShell": "shell", "WebFetch": "web", "WebSearch": "web", "Task": "agent", "Agent": "agent", "TodoWrite": "plan", "ExitPlanMode": "plan",
+    "EnterPlanMode": "plan", "Skill": "skill", "AskUserQuestion": "ask",
+}
+#: Words that carry no content of their own.
+STOP_WORDS = tuple(
+    "about after again also been before being between both could does doing done each else ever every from have having here into just like make many more most much must"
+    " need only other over please same should some such than that their them then there these they this those very want well were what when where which while will with would your".split()
+)
+SENTENCE_END = r"[.!?]+(?:\s+|$)"
+#: Kinds of marks and the patterns that they replace, in order.
+REDACTIONS = (
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
+    ("url-password", r"://[^\s:/@]+:[^\s/@]+@"),
+    ("aws-key", r"\bAKIA[A-Z0-9]{16}\b"),
+    ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
+    ("api-key", r"\bsk-[A-Za-z0-9_-]{20,}"),
+    ("slack-token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
+    ("google-key", r"\bAIza[A-Za-z0-9_-]{35}"),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("bearer", r"\b[Bb]earer\s+[A-Za-z0-9._~+/-]{16,}=*"),
+    ("assignment", r"(?i)\b(?:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("hash", r"\b[0-9a-f]{40}\b"),
+    ("ip", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
+)
+
+
+def tool_category(name: Column) -> Column:
+    lookup = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
+    return F.when(name.startswith("mcp__"), "mcp").otherwise(F.coalesce(F.try_element_at(lookup, name), F.lit("other")))
+
+
+def folded(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
+
+
+def preview(text: Column, most: int) -> Column:
+    """White space folded; longer texts are cut at the last space that fits and end in an ellipsis."""
+    t = folded(text)
+    head = F.substring(t, 1, most - 1)
+    cut = F.regexp_extract(head, r"^(.*) [^ ]*$", 1)
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.when(cut == "", head).otherwise(cut), F.lit("…")))
+
+
+def is_correction(text: Column) -> Column:
+    """Whether a prompt corrects what went before."""
+    return F.coalesce(text.rlike(r"(?i)^\s*(no|nope|wrong|stop|undo|revert)\b") | text.rlike(r"(?i)\b(that is wrong|not what i|you forgot|still (fails|broken|wrong)|try again)\b"), F.lit(False))
+
+
+def prompt_kind(text: Column, is_meta: Column) -> Column:
+    t = F.trim(text)
+    return (
+        F.when(F.coalesce(is_meta, F.lit(False)), "meta").when(t.startswith("<command-name>"), "command").when(t.startswith("<task-notification>"), "notification")
+        .when(t.startswith("<teammate-message"), "peer").when(t.startswith("<scheduled"), "scheduled").when(t.rlike(r"(?i)^\[request interrupted"), "interrupt").otherwise("human")
+    )
+
+
+def segments(command: Column) -> Column:
+    """Commands of a shell line."""
+    return F.filter(F.transform(F.split(F.coalesce(command, F.lit("")), r"&&|\|\||[;|\n]"), F.trim), lambda s: s != "")
+
+
+def command_class(command: Column) -> Column:
+    """test, build or none, by the leading program of any segment."""
+    lead = r"^(?:[A-Za-z_]+=\S* +)*(?:npx +|uv run +|python[0-9.]* -m +)?"
+    test = lead + r"(?:pytest|vitest|jest|mocha|tox|ctest|(?:npm|pnpm|yarn)(?: run)? test|(?:go|cargo|make|mvn|gradle) test)\b"
+    build = lead + r"(?:tsc|webpack|(?:npm|pnpm|yarn)(?: run)? build|(?:go|cargo) build|make|mvn package|gradle build)\b"
+    parts = segments(command)
+    return F.when(F.exists(parts, lambda s: s.rlike(test)), "test").when(F.exists(parts, lambda s: s.rlike(build)), "build").otherwise("none")
+
+
+def bash_template(command: Column) -> Column:
+    """A command with paths, hashes and numbers replaced by marks."""
+    t = F.regexp_replace(F.coalesce(command, F.lit("")), r"[A-Za-z0-9_.~-]*(?:/[A-Za-z0-9_.-]+)+", "«path»")
+    return F.regexp_replace(F.regexp_replace(t, r"\b[0-9a-f]{7,40}\b", "«hash»"), r"[0-9]+", "«n»")
+
+
+def error_signature(text: Column) -> Column:
+    t = F.lower(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(F.regexp_replace(t, r"(?:/[a-z0-9_.-]+)+", "<path>"), r"0x[0-9a-f]+|\b[0-9a-f]{8,}\b", "<hex>")
+    return F.substring(folded(F.regexp_replace(t, r"[0-9]+", "<n>")), 1, 80)
+
+
+def normalize_model(raw: Column) -> Column:
+    """A model's plain name: region, vendor, version, date and context tags stripped."""
+    m = F.regexp_replace(F.lower(F.trim(raw)), r"^(?:us|eu|apac|global)\.", "")
+    m = F.regexp_replace(F.regexp_replace(m, r"^[a-z]+\.", ""), r"\[[^\]]*\]$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(m, r"-v[0-9]+(?::[0-9]+)?$", ""), r"[@-][0-9]{8}$", ""), r"-fast$", "")
+
+
+def content_words(text: Column, most: int = 40) -> Column:
+    """Distinct words of four letters or more, no stop words, in order; URLs and paths do not count."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"https?://\S+", " "), r"\S*/\S*", " ")
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"[a-z]{4,}"), 0))
+    return F.slice(F.array_except(found, F.array(*[F.lit(w) for w in STOP_WORDS])), 1, most)
+
+
+def redact(text: Column) -> Column:
+    """Every pattern's matches replaced by a mark that later patterns leave alone."""
+    out = text
+    for kind, pattern in REDACTIONS:
+        out = F.regexp_replace(out, pattern, f"‹{kind}›")
+    return out
+
+
+def redaction_counts(text: Column) -> dict[str, Column]:
+    """Matches of each pattern, each counted in the text that the ones before it left."""
+    out, counts = F.coalesce(text, F.lit("")), {}
+    for kind, pattern in REDACTIONS:
+        counts[kind] = F.regexp_count(out, F.lit(pattern))
+        out = F.regexp_replace(out, pattern, f"‹{kind}›")
+    return counts
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.split(folded(text), SENTENCE_END), lambda s: s != "")
+
+
+def home_path(path: Column, home: str) -> Column:
+    """A home folder at a path's start becomes ~."""
+    return F.when(path == home, "~").when(path.startswith(home + "/"), F.concat(F.lit("~"), F.substring(path, len(home) + 1, 1 << 20))).otherwise(path)

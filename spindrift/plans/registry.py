@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import session_queries, table_queries
+
+QUERIES: dict = {**session_queries.QUERIES, **table_queries.QUERIES}
+ORACLE: dict = {**session_queries.ORACLE, **table_queries.ORACLE}
