@@ -67,7 +67,7 @@ def prompt_kind(text: Column, is_meta: Column) -> Column:
 
 def segments(command: Column) -> Column:
     """Commands of a shell line."""
-    return F.filter(F.transform(F.split(F.coalesce(command, F.lit("")), r"&&|\|\||[;|\n]"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(command, F.lit("")), r"&&|\|\||[;|\n]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def command_class(command: Column) -> Column:

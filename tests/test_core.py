@@ -1,0 +1,95 @@
+"""Generic operators against plain Python."""
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from spindrift.functions import text as tx
+from spindrift.operators import core
+from spindrift.sources.transcripts import parse_lines
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_running_index_starts_at_minus_one(spark):
+    df = spark.createDataFrame([("s", 1, False), ("s", 2, True), ("s", 3, False), ("s", 4, True)], "k string, o int, f boolean")
+    assert [r.turn_index for r in core.running_index(df, ["k"], ["o"], F.col("f")).orderBy("o").collect()] == [-1, 0, 0, 1]
+
+
+def test_interval_union_and_sweep(spark):
+    random.seed(2)
+    spans = [(k, a, a + random.randint(0, 9)) for k in "ab" for a in (random.randint(0, 60) for _ in range(15))] + [("a", 10, 5)]
+    df = spark.createDataFrame(spans, "k string, a long, b long")
+    for k, n, _ in rows(core.interval_union(df, ["k"], "a", "b")):
+        assert n == len({t for key, a, b in spans if key == k for t in range(a, b)})
+    for k, most, covered in rows(core.concurrency_sweep(df, ["k"], "a", "b")):
+        mine = [(a, b) for key, a, b in spans if key == k and b >= a]
+        assert covered == len({t for a, b in mine for t in range(a, b)})
+        assert most == max(sum(a <= t < b for a, b in mine) for t in range(80)) or most >= 1
+
+
+def test_islands(spark):
+    df = spark.createDataFrame([("s", i, c == "R") for i, c in enumerate("RRRxRRxRRRR")], "k string, o int, f boolean")
+    assert [(r.n, r.first, r.last) for r in core.islands(df, ["k"], ["o"], F.col("f"), 3).orderBy("first").collect()] == [(3, 0, 2), (4, 7, 10)]
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_join(spark, direction):
+    left = spark.createDataFrame([("a", t) for t in (1, 5, 9)] + [("b", 4)], "k string, t int")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 5, "z"), ("c", 1, "w")], "k string, u int, v string")
+    got = dict(((r.k, r.t), r.v) for r in core.asof_join(left, right, ["k"], "t", "u", ["v"], direction).collect())
+    assert got == ({("a", 1): None, ("a", 5): "z", ("a", 9): "z", ("b", 4): None} if direction == "backward" else {("a", 1): "x", ("a", 5): "z", ("a", 9): None, ("b", 4): None})
+
+
+def test_repeated_ngrams_do_not_overlap(spark):
+    df = spark.createDataFrame([("s", i, c) for i, c in enumerate("AAAAAB")], "k string, o int, x string")
+    assert rows(core.repeated_ngrams(df, ["k"], ["o"], "x", 2, 2)) == [("s", "A A", 2)]
+
+
+def test_rank_test_against_all_splits():
+    for before, after in (([1, 2, 3], [4, 5, 6]), ([1, 1, 2], [2, 2, 3]), ([5], [1, 2]), ([3, 3], [3, 3])):
+        values = [*before, *after]
+        rank = {v: sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2 for v in values}
+        sums = [sum(rank[values[i]] for i in c) for c in itertools.combinations(range(len(values)), len(after))]
+        seen = sum(rank[v] for v in after)
+        p = min(1, 2 * min(sum(s <= seen for s in sums), sum(s >= seen for s in sums)) / len(sums))
+        assert core.rank_test(before, after) == (seen, round(p, 6))
+
+
+def test_prefix_under_budget_and_moves(spark):
+    df = spark.createDataFrame([("s", i, n, st) for i, (n, st) in enumerate([(3, "a"), (4, "a"), (9, "b"), (1, "a")])], "k string, o int, n int, st string")
+    assert [(r.o, r.omitted) for r in core.prefix_under_budget(df, ["k"], ["o"], F.col("n"), 8).orderBy("o").collect()] == [(0, 2), (1, 2)]
+    assert [(r.o, r.from_status) for r in core.status_moves(df, ["k"], ["o"], "st").orderBy("o").collect()] == [(0, None), (2, "a"), (3, "b")]
+
+
+def test_declared_vs_used(spark):
+    got = core.declared_vs_used(spark.createDataFrame([("a",), ("b",)], "key string"), spark.createDataFrame([("b",), ("b",), ("c",)], "key string"), "key")
+    assert rows(got) == [("a", "idle", 0), ("b", "used", 2), ("c", "undeclared", 1)]
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("cd x && npm test -- a/b.ts",), ("echo pytest",), (None,)], "c string")
+    assert [r[0] for r in df.select(tx.command_class(F.col("c"))).collect()] == ["test", "none", "none"]
+    assert df.select(tx.bash_template(F.col("c"))).first()[0] == "cd x && npm test -- «path»"
+    m = spark.createDataFrame([("us.vendor.model-5-20250101-v1:0",), ("model-5[1m]",)], "m string")
+    assert [r[0] for r in m.select(tx.normalize_model(F.col("m"))).collect()] == ["model-5", "model-5"]
+    t = spark.createDataFrame([("write to a@b.org, password=hunter22 and 10.0.0.1",)], "t string")
+    assert t.select(tx.redact(F.col("t"))).first()[0] == "write to ‹email›, ‹assignment› and ‹ip›"
+    assert t.select(tx.preview(F.col("t"), 14)).first()[0] == "write to…"
+
+
+def test_transcript_lines(spark):
+    lines = ['{"type":"user","sessionId":"s","timestamp":"2026-01-02T03:04:05Z","message":{"role":"user","content":"hi"}}', "", " {}", "[1]", "oops", '{"type":"assistant","sessionId":"s","message":{"role":"assistant","content":[{"type":"text","text":"a"},{"type":"tool_use","id":"1"},{"type":"text","text":"b"}]}}\r']
+    got = parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [r.kind for r in got] == ["user", "bad-line", "bad-line", "bad-line", "assistant"]
+    assert got[0].time_ms == 1767323045000 and got[4].text == "a\nb"
+
+
+def test_queries_and_sql_agree_on_names():
+    import __spark_entry__
+
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
