@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import session_queries, table_queries
+from ..sources.records import records
+from . import rules, session_queries, table_queries
 
-QUERIES: dict = {**session_queries.QUERIES, **table_queries.QUERIES}
-ORACLE: dict = {**session_queries.ORACLE, **table_queries.ORACLE}
+QUERIES: dict = {**session_queries.QUERIES, **table_queries.QUERIES, **{n: lambda spark, sf_dir, f=f: f(records(spark, sf_dir)) for n, f in rules.QUERIES.items()}}
+ORACLE: dict = {**session_queries.ORACLE, **table_queries.ORACLE, **rules.ORACLE}
