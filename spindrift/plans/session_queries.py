@@ -351,3 +351,137 @@ def confounders(rec: DataFrame) -> DataFrame:
 def context_before_error(rec: DataFrame) -> DataFrame:
     points = rec.filter("not is_error").select("session_id", F.col("ord").alias("at"), F.col("cache_read").alias("context_before"))
     return core.asof_join(rec.filter("is_error").select("session_id", "ord"), points, ["session_id"], "ord", "at", ["context_before"])
+
+
+@query("model_normalisation", None)
+def model_normalisation(rec: DataFrame) -> DataFrame:
+    """Requests by plain model name; the binding spells the models in several ways."""
+    from ..functions.text import normalize_model
+
+    raw = F.concat(F.when(F.col("k") % 2 == 0, "us.vendor.").otherwise(""), F.lit("model-"), (F.col("k") % 3).cast("string"), F.when(F.col("k") % 5 == 0, "-20250101").when(F.col("k") % 7 == 0, "-v1:0").otherwise(""))
+    return rec.select(normalize_model(raw).alias("model"), F.expr(TOTAL).alias("n")).groupBy("model").agg(F.count("*").alias("requests"), F.sum("n").alias("tokens"))
+
+
+ORACLE["model_normalisation"] = REC + f"SELECT 'model-' || (k % 3) AS model, count(*) AS requests, sum({TOTAL})::BIGINT AS tokens FROM rec GROUP BY 1"
+
+
+@query("agent_rollup", f"""SELECT session_id, agent_id, min(start_ms) AS start_ms, max(start_ms) AS end_ms, count(tool) AS calls, sum(CASE WHEN is_error THEN 1 ELSE 0 END)::BIGINT AS errors, sum({TOTAL})::BIGINT AS tokens,
+ floor(sum({TOTAL})::DOUBLE / any_value(t) * 10000 + 0.5) / 10000 AS share FROM rec JOIN (SELECT session_id, sum({TOTAL}) AS t FROM rec GROUP BY 1) USING (session_id) WHERE agent_id IS NOT NULL GROUP BY session_id, agent_id""")
+def agent_rollup(rec: DataFrame) -> DataFrame:
+    """Agents with their span, calls, errors, tokens and share of the session's tokens."""
+    whole = rec.groupBy("session_id").agg(F.sum(F.expr(TOTAL)).alias("t"))
+    runs = rec.filter("agent_id is not null").groupBy("session_id", "agent_id").agg(F.min("start_ms").alias("start_ms"), F.max("start_ms").alias("end_ms"), F.count("tool").alias("calls"), flag(F.col("is_error")).alias("errors"), F.sum(F.expr(TOTAL)).alias("tokens"))
+    return runs.join(whole, "session_id").withColumn("share", core.ratio(F.col("tokens"), F.col("t"))).drop("t")
+
+
+@query("agent_to_turn", """, t AS (SELECT session_id, turn_index, min(start_ms) AS s FROM rec GROUP BY ALL), a AS (SELECT session_id, agent_id, min(start_ms) AS s FROM rec WHERE agent_id IS NOT NULL GROUP BY ALL)
+SELECT session_id, agent_id, a.s AS start_ms, (SELECT arg_max(turn_index, (t.s, turn_index)) FROM t WHERE t.session_id = a.session_id AND t.s <= a.s) AS turn_index FROM a""")
+def agent_to_turn(rec: DataFrame) -> DataFrame:
+    """The turn in which an agent begins: the last turn that started at or before it."""
+    turns = rec.groupBy("session_id", "turn_index").agg(F.min("start_ms").alias("s"))
+    agents = rec.filter("agent_id is not null").groupBy("session_id", "agent_id").agg(F.min("start_ms").alias("start_ms"))
+    return core.asof_join(agents, turns, ["session_id"], "start_ms", "s", ["turn_index"])
+
+
+@query("compaction_segments", f"""SELECT session_id, segment, count(*) AS requests, sum({TOTAL})::BIGINT AS tokens FROM (SELECT *, sum(CASE WHEN k = 99 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ord ROWS UNBOUNDED PRECEDING)::INT AS segment FROM rec) GROUP BY ALL""")
+def compaction_segments(rec: DataFrame) -> DataFrame:
+    """Requests between cuts of the context; a cut opens a segment."""
+    cut = core.running_index(rec, ["session_id"], ["ord"], F.col("k") == 99, "segment")
+    return cut.groupBy("session_id", (F.col("segment") + 1).alias("segment")).agg(F.count("*").alias("requests"), F.sum(F.expr(TOTAL)).alias("tokens"))
+
+
+@query("session_ending", """, l AS (SELECT session_id, arg_max(is_error, ord) AS failed, max(ord) AS at FROM rec WHERE tool = 'Bash' GROUP BY 1), s AS (SELECT DISTINCT session_id FROM rec)
+SELECT session_id, CASE WHEN failed IS NULL THEN 'unknown' WHEN failed THEN 'failing' ELSE 'clean' END AS ending FROM s LEFT JOIN l USING (session_id)""")
+def session_ending(rec: DataFrame) -> DataFrame:
+    """How the last run of a session's commands went; one pass, no join."""
+    last = F.max_by(F.when(F.col("tool") == "Bash", F.col("is_error")), F.when(F.col("tool") == "Bash", F.col("ord")))
+    return rec.groupBy("session_id").agg(last.alias("f")).select("session_id", F.when(F.col("f").isNull(), "unknown").when(F.col("f"), "failing").otherwise("clean").alias("ending"))
+
+
+@query("first_response", """, p AS (SELECT session_id, turn_index, min(CASE WHEN event_type = 'signup' THEN start_ms END) AS s, min(CASE WHEN tool IS NOT NULL THEN start_ms END) AS r FROM rec WHERE turn_index >= 0 GROUP BY ALL)
+SELECT session_id, quantile_disc(r - s, 0.5) AS p50_ms, quantile_disc(r - s, 0.95) AS p95_ms, max(r - s) AS max_ms FROM p WHERE r >= s GROUP BY 1""")
+def first_response(rec: DataFrame) -> DataFrame:
+    p = rec.filter("turn_index >= 0").groupBy("session_id", "turn_index").agg(F.min(F.when(F.col("event_type") == "signup", F.col("start_ms"))).alias("s"), F.min(F.when(F.col("tool").isNotNull(), F.col("start_ms"))).alias("r"))
+    d = p.filter("r >= s").select("session_id", (F.col("r") - F.col("s")).alias("d"))
+    return d.groupBy("session_id").agg(core.nearest_rank("d", 0.5).alias("p50_ms"), core.nearest_rank("d", 0.95).alias("p95_ms"), F.max("d").alias("max_ms"))
+
+
+@query("outcomes", """SELECT session_id, sum(CASE WHEN tool = 'Bash' AND k % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS test_runs, sum(CASE WHEN tool = 'Bash' AND k % 4 = 0 AND is_error THEN 1 ELSE 0 END)::BIGINT AS test_failures, count(DISTINCT CASE WHEN tool = 'Read' THEN path END) AS files_read, count(DISTINCT CASE WHEN tool = 'Edit' THEN path END) AS files_edited FROM rec GROUP BY 1""")
+def outcomes(rec: DataFrame) -> DataFrame:
+    """Test runs and their failures, distinct files read and edited. A command with k divisible by 4 is a test run."""
+    test = (F.col("tool") == "Bash") & (F.col("k") % 4 == 0)
+    return rec.groupBy("session_id").agg(
+        flag(test).alias("test_runs"), flag(test & F.col("is_error")).alias("test_failures"), F.countDistinct(F.when(F.col("tool") == "Read", F.col("path"))).alias("files_read"), F.countDistinct(F.when(F.col("tool") == "Edit", F.col("path"))).alias("files_edited")
+    )
+
+
+@query("activity_gate", f"""SELECT session_id, sum({TOTAL})::BIGINT AS tokens, sum(CASE WHEN is_error THEN 1 ELSE 0 END)::BIGINT AS errors FROM rec GROUP BY 1 HAVING sum({TOTAL}) > 100000 OR sum(CASE WHEN is_error THEN 1 ELSE 0 END) >= 8""")
+def activity_gate(rec: DataFrame) -> DataFrame:
+    """Sessions that a gate would stop: too many tokens or errors."""
+    return rec.groupBy("session_id").agg(F.sum(F.expr(TOTAL)).alias("tokens"), flag(F.col("is_error")).alias("errors")).filter("tokens > 100000 or errors >= 8")
+
+
+@query("finding_identity", """SELECT DISTINCT session_id, substr(sha1('{"rule":"tool-errors","scope":"' || session_id || '","tools":["' || tools || '"]}'), 1, 12) AS id FROM (SELECT session_id, string_agg(DISTINCT tool, '","' ORDER BY tool) AS tools FROM rec WHERE is_error OR tool = 'Edit' GROUP BY 1)""")
+def finding_identity(rec: DataFrame) -> DataFrame:
+    """Twelve hex digits of the SHA-1 of a finding's canonical JSON."""
+    tools = rec.filter("is_error or tool = 'Edit'").groupBy("session_id").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
+    body = F.to_json(F.struct(F.lit("tool-errors").alias("rule"), F.col("session_id").alias("scope"), "tools"))
+    return tools.select("session_id", F.substring(F.sha1(body), 1, 12).alias("id"))
+
+
+@query("evidence_violations", """, s AS (SELECT session_id, ord, duration_ms, result_bytes, path FROM rec) SELECT ord, 'negative-duration' AS violation FROM s WHERE duration_ms < 0 UNION ALL SELECT ord, 'large-result' FROM s WHERE result_bytes > 98000
+UNION ALL SELECT min(ord), 'duplicate' FROM s GROUP BY session_id, path, duration_ms HAVING count(*) > 1""")
+def evidence_violations(rec: DataFrame) -> DataFrame:
+    """Rows that break a bound, and keys that come twice, as one table of violations."""
+    bad = rec.filter("duration_ms < 0").select("ord", F.lit("negative-duration").alias("violation"))
+    large = rec.filter("result_bytes > 98000").select("ord", F.lit("large-result").alias("violation"))
+    twice = rec.groupBy("session_id", "path", "duration_ms").agg(F.min("ord").alias("ord"), F.count("*").alias("n")).filter("n > 1").select("ord", F.lit("duplicate").alias("violation"))
+    return bad.unionByName(large).unionByName(twice)
+
+
+@query("checkpoints", f""", s AS (SELECT workspace, start_ms // 86400000 AS day, min(start_ms) AS t, sum(k)::BIGINT AS tokens FROM rec GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY t) AS q, count(*) OVER (PARTITION BY workspace) AS n FROM s WHERE t >= {CUT})
+SELECT workspace, sum(CASE WHEN q <= 3 THEN tokens ELSE 0 END)::BIGINT AS early_tokens, sum(CASE WHEN q <= 10 THEN tokens ELSE 0 END)::BIGINT AS all_tokens, max(n) >= 10 AS complete FROM r GROUP BY 1""")
+def checkpoints(rec: DataFrame) -> DataFrame:
+    """After the cut: what the first three sessions and what the first ten used, and whether ten are there."""
+    s = rec.groupBy("workspace", F.floor(F.col("start_ms") / 86_400_000).alias("day")).agg(F.min("start_ms").alias("t"), F.sum(F.col("k").cast("long")).alias("tokens")).filter(F.col("t") >= int(CUT))
+    r = s.withColumn("q", F.row_number().over(Window.partitionBy("workspace").orderBy("t")))
+    return r.groupBy("workspace").agg(F.sum(F.when(F.col("q") <= 3, F.col("tokens")).otherwise(0)).alias("early_tokens"), F.sum(F.when(F.col("q") <= 10, F.col("tokens")).otherwise(0)).alias("all_tokens"), (F.max("q") >= 10).alias("complete"))
+
+
+@query("alert_moves", """, x AS (SELECT workspace, ord, start_ms, CASE event_type WHEN 'error' THEN 'stuck' WHEN 'purchase' THEN 'your-turn' ELSE 'working' END AS level FROM rec),
+m AS (SELECT *, lag(level) OVER (PARTITION BY workspace ORDER BY ord) AS before FROM x), a AS (SELECT * FROM m WHERE before IS NOT NULL AND before <> level AND level <> 'working')
+SELECT workspace, ord, level FROM (SELECT *, start_ms - lag(start_ms) OVER (PARTITION BY workspace ORDER BY ord) AS gap FROM a) WHERE gap IS NULL OR gap >= 300000""")
+def alert_moves(rec: DataFrame) -> DataFrame:
+    """Changes into a level that asks for someone, five minutes or more after the candidate before it."""
+    level = F.when(F.col("event_type") == "error", "stuck").when(F.col("event_type") == "purchase", "your-turn").otherwise("working")
+    moved = core.status_moves(rec.withColumn("level", level), ["workspace"], ["ord"], "level").filter("from_status is not null and level <> 'working'")
+    gap = F.col("start_ms") - F.lag("start_ms").over(Window.partitionBy("workspace").orderBy("ord"))
+    return moved.withColumn("gap", gap).filter("gap is null or gap >= 300000").select("workspace", "ord", "level")
+
+
+@query("board", """, l AS (SELECT session_id, workspace, arg_max(event_type, ord) AS last_type, max(start_ms) AS t FROM rec GROUP BY ALL), b AS (SELECT *, CASE last_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS level FROM l)
+SELECT session_id, level, row_number() OVER (PARTITION BY workspace ORDER BY level, t, session_id)::INT AS place FROM b""")
+def board(rec: DataFrame) -> DataFrame:
+    """Sessions of a workspace in the order in which they ask for attention."""
+    last = rec.groupBy("session_id", "workspace").agg(F.max_by("event_type", "ord").alias("kind"), F.max("start_ms").alias("t"))
+    level = F.when(F.col("kind") == "error", 1).when(F.col("kind") == "purchase", 2).otherwise(3)
+    w = Window.partitionBy("workspace").orderBy("level", "t", "session_id")
+    return last.withColumn("level", level).select("session_id", "level", F.row_number().over(w).alias("place"))
+
+
+@query("rule_violations", """, r AS (SELECT workspace, min(ord) AS since FROM rec WHERE event_type = 'signup' GROUP BY 1) SELECT workspace, count(*) AS calls, count(agent_id) AS agent_calls, min(ord) AS first_call FROM rec JOIN r USING (workspace) WHERE tool = 'Bash' AND path = 'f3' AND ord >= since GROUP BY 1""")
+def rule_violations(rec: DataFrame) -> DataFrame:
+    """Calls that break a workspace's rule (no shell on f3) from its first prompt on."""
+    since = rec.filter("event_type = 'signup'").groupBy("workspace").agg(F.min("ord").alias("since"))
+    calls = rec.filter("tool = 'Bash' and path = 'f3'").join(since, "workspace").filter("ord >= since")
+    return calls.groupBy("workspace").agg(F.count("*").alias("calls"), F.count("agent_id").alias("agent_calls"), F.min("ord").alias("first_call"))
+
+
+@query("retention", """, l AS (SELECT session_id, workspace, max(start_ms) AS t FROM rec GROUP BY ALL), n AS (SELECT max(t) AS now FROM l) SELECT workspace, count(*) AS sessions, sum(CASE WHEN now - t > 20 * 86400000::BIGINT THEN 1 ELSE 0 END)::BIGINT AS past_cut, sum(CASE WHEN now - t <= 20 * 86400000::BIGINT AND now - t > 13 * 86400000::BIGINT THEN 1 ELSE 0 END)::BIGINT AS expiring, max((now - t) // 86400000)::BIGINT AS oldest_days FROM l, n GROUP BY 1""")
+def retention(rec: DataFrame, days: int = 20) -> DataFrame:
+    """Sessions past a window of days, those that expire within a week, and the oldest one's age."""
+    last = rec.groupBy("session_id", "workspace").agg(F.max("start_ms").alias("t"))
+    age = F.col("now") - F.col("t")
+    day = 86_400_000
+    aged = last.join(F.broadcast(rec.agg(F.max("start_ms").alias("now"))), F.lit(True)).withColumn("age", age)  # one row
+    return aged.groupBy("workspace").agg(F.count("*").alias("sessions"), flag(F.col("age") > days * day).alias("past_cut"), flag((F.col("age") <= days * day) & (F.col("age") > (days - 7) * day)).alias("expiring"), F.max(F.floor(F.col("age") / day)).alias("oldest_days"))
