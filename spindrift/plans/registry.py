@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.records import records
-from . import rules, session_queries, table_queries
+from . import census, rules, session_queries, table_queries
 
-QUERIES: dict = {**session_queries.QUERIES, **table_queries.QUERIES, **{n: lambda spark, sf_dir, f=f: f(records(spark, sf_dir)) for n, f in rules.QUERIES.items()}}
-ORACLE: dict = {**session_queries.ORACLE, **table_queries.ORACLE, **rules.ORACLE}
+QUERIES: dict = {**session_queries.QUERIES, **table_queries.QUERIES, **census.QUERIES, **{n: lambda spark, sf_dir, f=f: f(records(spark, sf_dir)) for n, f in rules.QUERIES.items()}}
+ORACLE: dict = {**session_queries.ORACLE, **table_queries.ORACLE, **rules.ORACLE, **census.ORACLE}
