@@ -182,3 +182,11 @@ def streamed_sessions(read) -> DataFrame:
     from ..streaming.sessions import totals_of_landed
 
     return totals_of_landed(read("events"))
+
+
+@query("streamed_alerts", None)
+def streamed_alerts(read) -> DataFrame:
+    """Debounced alerts from a stream of landed files, with a state per user."""
+    from ..streaming.alerts import alerts_of_landed
+
+    return alerts_of_landed(read("events"))

@@ -32,3 +32,45 @@ def test_query(spark, name):
         for f in os.listdir(DATA):
             con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
         assert canon(got) == canon(con.sql(ORACLE[name]).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_streamed_alerts_equal_a_plain_loop(spark):
+    from spindrift.streaming.alerts import decide
+
+    rows = duckdb.sql(f"SELECT user_id, event_id, epoch_us(ts) // 1000, event_type FROM '{DATA}/events.parquet' ORDER BY event_id").fetchall()
+    by_user = {}
+    for user, *row in rows:
+        by_user.setdefault(user, []).append(tuple(row))
+    want = sorted((u, n, level) for u, r in by_user.items() for n, level in decide(None, None, r, 300_000)[2])
+    assert sorted(map(tuple, QUERIES["streamed_alerts"](spark, DATA).collect())) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_repeated_ngrams_equal_a_plain_loop(spark):
+    from spindrift.sources.records import records
+
+    tools = {}
+    for r in records(spark, DATA).filter("tool is not null").orderBy("session_id", "ord").collect():
+        tools.setdefault(r.session_id, []).append(r.tool)
+    want = set()
+    for s, seq in tools.items():
+        for gram in {tuple(seq[i : i + 3]) for i in range(len(seq) - 2)}:
+            i = n = 0
+            while i <= len(seq) - 3:
+                hit = tuple(seq[i : i + 3]) == gram
+                n, i = n + hit, i + (3 if hit else 1)
+            if n >= 2:
+                want.add((s, " ".join(gram), n))
+    assert set(map(tuple, QUERIES["repeated_ngrams"](spark, DATA).collect())) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_redaction_report_counts_marks(spark):
+    from pyspark.sql import functions as F
+
+    from spindrift.functions.text import redact
+
+    got = {r.kind: r.masked for r in QUERIES["redaction_report"](spark, DATA).collect()}
+    texts = [r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select(redact(F.col("text"))).collect()]
+    assert got == {k: sum((t or "").count(f"‹{k}›") for t in texts) for k in got}
