@@ -93,6 +93,62 @@ def repeated_errors(rec: DataFrame) -> DataFrame:
     return _finding(s.groupBy("session_id").agg(F.sum("t").alias("t")), F.lit(1), F.col("t"))
 
 
+SLOW_MS, SLOW_CALLS, CACHE_SHARE, IDLE_CALLS, BURST_TOKENS, BURSTS, SCRIPT_RUNS, WAIT_MS = 90_000, 2, 0.9, 1, 12, 3, 3, 86_400_000
+
+
+@rule("slow-tool")
+def slow_tool(rec: DataFrame) -> DataFrame:
+    s = rec.filter("tool is not null").groupBy("session_id", "tool").agg(F.count("*").alias("n"), core.nearest_rank("duration_ms", 0.95).alias("p"))
+    return _finding(s.filter((F.col("n") >= SLOW_CALLS) & (F.col("p") >= SLOW_MS)).select("session_id").distinct(), F.lit(1), F.lit(0))
+
+
+@rule("cache-dominates")
+def cache_dominates(rec: DataFrame) -> DataFrame:
+    s = rec.groupBy("session_id").agg(F.sum("cache_read").alias("c"), F.sum(F.expr(TOTAL)).alias("n"))
+    return _finding(s.filter(F.col("c") > CACHE_SHARE * F.col("n")), F.lit(0), F.floor(F.col("c") / 10))
+
+
+@rule("idle-agents")
+def idle_agents(rec: DataFrame) -> DataFrame:
+    s = rec.filter("agent_id is not null").groupBy("session_id", "agent_id").agg(F.count("tool").alias("n"), F.sum(F.expr(TOTAL)).alias("t"))
+    return _finding(s.filter(F.col("n") <= IDLE_CALLS).groupBy("session_id").agg(F.sum("t").alias("t")), F.lit(1), F.col("t"))
+
+
+@rule("output-burst")
+def output_burst(rec: DataFrame) -> DataFrame:
+    s = rec.filter(F.col("output_tokens") >= BURST_TOKENS).groupBy("session_id").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("t"))
+    return _finding(s.filter(F.col("n") >= BURSTS), F.lit(0), F.col("t"))
+
+
+@rule("script-candidate")
+def script_candidate(rec: DataFrame) -> DataFrame:
+    s = rec.filter("tool = 'Bash'").groupBy("session_id", "path").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("t")).filter(F.col("n") >= SCRIPT_RUNS)
+    return _finding(s.groupBy("session_id").agg(F.sum("t").alias("t")), F.lit(0), F.col("t"))
+
+
+@rule("write-not-read")
+def write_not_read(rec: DataFrame) -> DataFrame:
+    """Edits of a file that the session had not read before."""
+    w = Window.partitionBy("session_id", "path").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    x = rec.filter("tool in ('Read', 'Edit')").withColumn("r", F.max(F.when(F.col("tool") == "Read", 1).otherwise(0)).over(w)).filter("tool = 'Edit' and coalesce(r, 0) = 0")
+    return _finding(x.groupBy("session_id").agg(F.count("*").alias("n")), F.lit(1), F.lit(0))
+
+
+@rule("long-gap")
+def long_gap(rec: DataFrame) -> DataFrame:
+    gap = F.col("start_ms") - F.lag("start_ms").over(Window.partitionBy("session_id").orderBy("ord"))
+    s = rec.withColumn("gap", gap).groupBy("session_id").agg(F.max("gap").alias("gap"), F.sum("cache_write").alias("t"))
+    return _finding(s.filter(F.col("gap") >= WAIT_MS), F.lit(0), F.col("t"))
+
+
+@rule("model-for-task")
+def model_for_task(rec: DataFrame) -> DataFrame:
+    """Agents that only read, with more output than their reads call for."""
+    s = rec.filter("agent_id is not null").groupBy("session_id", "agent_id").agg(F.count("tool").alias("n"), flag(F.col("tool") == "Read").alias("r"), F.sum("output_tokens").alias("t"))
+    only = s.filter("n > 0 and n = r and t > 5 * n")
+    return _finding(only.groupBy("session_id").agg(F.sum("t").alias("t")), F.lit(1), F.col("t"))
+
+
 def findings(rec: DataFrame, rules: dict | None = None) -> DataFrame:
     """Findings of all rules; a saving is at most what the session used."""
     parts = None
@@ -115,7 +171,15 @@ raw AS (
  UNION ALL SELECT 'human-wait-dominates', session_id, 0, 0 FROM (SELECT session_id, coalesce(sum(g), 0) AS g, max(start_ms) - min(start_ms) AS wall FROM (SELECT *, CASE WHEN event_type = 'signup' THEN start_ms - lag(start_ms) OVER (PARTITION BY session_id ORDER BY ord) END AS g FROM rec) GROUP BY 1) WHERE wall > 0 AND g > {GAP_SHARE} * wall
  UNION ALL SELECT 'agent-fanout', session_id, 0, 0 FROM rec WHERE agent_id IS NOT NULL GROUP BY session_id HAVING count(DISTINCT agent_id) >= {AGENTS_MANY}
  UNION ALL SELECT 'large-writes', session_id, 1, sum(output_tokens)::BIGINT FROM rec WHERE tool = 'Edit' AND result_bytes >= {WRITES_LARGE} GROUP BY session_id
- UNION ALL SELECT 'repeated-errors', session_id, 1, sum(t)::BIGINT FROM (SELECT session_id, path, sum(output_tokens) AS t FROM rec WHERE is_error GROUP BY ALL HAVING count(*) > {RETRIES}) GROUP BY session_id),
+ UNION ALL SELECT 'repeated-errors', session_id, 1, sum(t)::BIGINT FROM (SELECT session_id, path, sum(output_tokens) AS t FROM rec WHERE is_error GROUP BY ALL HAVING count(*) > {RETRIES}) GROUP BY session_id
+ UNION ALL SELECT DISTINCT 'slow-tool', session_id, 1, 0 FROM (SELECT session_id, tool FROM rec WHERE tool IS NOT NULL GROUP BY ALL HAVING count(*) >= {SLOW_CALLS} AND quantile_disc(duration_ms, 0.95) >= {SLOW_MS})
+ UNION ALL SELECT 'cache-dominates', session_id, 0, sum(cache_read)::BIGINT // 10 FROM rec GROUP BY session_id HAVING sum(cache_read) > {CACHE_SHARE} * sum({TOTAL})
+ UNION ALL SELECT 'idle-agents', session_id, 1, sum(t)::BIGINT FROM (SELECT session_id, agent_id, sum({TOTAL}) AS t FROM rec WHERE agent_id IS NOT NULL GROUP BY ALL HAVING count(tool) <= {IDLE_CALLS}) GROUP BY session_id
+ UNION ALL SELECT 'output-burst', session_id, 0, sum(output_tokens)::BIGINT FROM rec WHERE output_tokens >= {BURST_TOKENS} GROUP BY session_id HAVING count(*) >= {BURSTS}
+ UNION ALL SELECT 'script-candidate', session_id, 0, sum(t)::BIGINT FROM (SELECT session_id, path, sum(output_tokens) AS t FROM rec WHERE tool = 'Bash' GROUP BY ALL HAVING count(*) >= {SCRIPT_RUNS}) GROUP BY session_id
+ UNION ALL SELECT 'write-not-read', session_id, 1, 0 FROM (SELECT session_id, tool, max(CASE WHEN tool = 'Read' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM rec WHERE tool IN ('Read', 'Edit')) WHERE tool = 'Edit' AND coalesce(r, 0) = 0 GROUP BY session_id
+ UNION ALL SELECT 'long-gap', session_id, 0, sum(cache_write)::BIGINT FROM (SELECT *, start_ms - lag(start_ms) OVER (PARTITION BY session_id ORDER BY ord) AS gap FROM rec) GROUP BY session_id HAVING max(gap) >= {WAIT_MS}
+ UNION ALL SELECT 'model-for-task', session_id, 1, sum(t)::BIGINT FROM (SELECT session_id, agent_id, sum(output_tokens) AS t FROM rec WHERE agent_id IS NOT NULL GROUP BY ALL HAVING count(tool) > 0 AND count(tool) = sum((tool IS NOT DISTINCT FROM 'Read')::INT) AND sum(output_tokens) > 5 * count(tool)) GROUP BY session_id),
 found AS (SELECT rule, session_id, severity, least(saving, used) AS saving FROM raw JOIN total USING (session_id))
 """
 
