@@ -93,3 +93,27 @@ def test_queries_and_sql_agree_on_names():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_blocks_calls_and_usage(spark):
+    import json
+
+    from spindrift.sources import transcripts as t
+
+    at = lambda s: f"2026-01-01T00:00:{s:02d}Z"
+    say = lambda s, id_, content, **usage: {"type": "assistant", "uuid": f"u{s}", "timestamp": at(s), "message": {"id": id_, "role": "assistant", "model": "m", "content": content, **usage}}
+    lines = [
+        {"type": "user", "uuid": "u0", "timestamp": at(0), "message": {"role": "user", "content": "do it"}},
+        say(1, "a", [{"type": "text", "text": "ok"}, {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "ls"}}], usage={"input_tokens": 5, "output_tokens": 2}),
+        say(2, "a", [{"type": "tool_use", "id": "t2", "name": "Read", "input": {}}, {"type": "odd"}], usage={"input_tokens": 5, "output_tokens": 9}, stop_reason="tool_use"),
+        {"type": "user", "uuid": "u3", "timestamp": at(4), "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": "no", "is_error": True}, {"type": "tool_result", "tool_use_id": "t9", "content": "?"}]}},
+        {"type": "user", "uuid": "u3", "timestamp": at(5), "message": {"role": "user", "content": "twice"}},
+    ]
+    raw = spark.createDataFrame([("s", i, json.dumps(x)) for i, x in enumerate(lines)], "session string, ord int, value string")
+    rec = t.first_of_uuid(t.numbered(raw, "session", "ord"))
+    assert rec.count() == 4
+    content = t.blocks(rec)
+    assert sorted(r.kind for r in content.collect()) == ["text", "text", "tool_result", "tool_result", "tool_use", "tool_use", "unknown"]
+    assert [(r.call, r.tool, r.duration_ms, r.is_error, r.unresolved) for r in t.tool_calls(content).orderBy("call").collect()] == [("t1", "Bash", 3000, True, False), ("t2", "Read", None, False, True)]
+    assert [r.call for r in t.orphans(content).collect()] == ["t9"]
+    assert [(r.message_id, r.input_tokens, r.output_tokens, r.ord) for r in t.usage_events(rec).collect()] == [("a", 5, 9, 2)]
