@@ -27,10 +27,13 @@ REDACTIONS = (
     ("slack-token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     ("google-key", r"\bAIza[A-Za-z0-9_-]{35}"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("authorization", r"(?i)\bauthorization[\"']?\s*[:=]\s*[\"']?[a-z]+\s+[a-z0-9._~+/=-]{8,}"),
     ("bearer", r"\b[Bb]earer\s+[A-Za-z0-9._~+/-]{16,}=*"),
     ("assignment", r"(?i)\b(?:password|passwd|secret|token|api_?key)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}"),
+    ("quoted-pair", r"(?i)\"[a-z0-9_-]*(?:password|passwd|secret|token|api_?key)[a-z0-9_-]*\"\s*:\s*\"[^\"]{4,}\""),
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     ("hash", r"\b[0-9a-f]{40}\b"),
+    ("blob", r"\b[A-Za-z0-9+/]{80,}={0,2}"),
     ("ip", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
 )
 
@@ -129,3 +132,35 @@ def sentences(text: Column) -> Column:
 def home_path(path: Column, home: str) -> Column:
     """A home folder at a path's start becomes ~."""
     return F.when(path == home, "~").when(path.startswith(home + "/"), F.concat(F.lit("~"), F.substring(path, len(home) + 1, 1 << 20))).otherwise(path)
+
+
+#: Words that forbid, and the shapes of what they forbid.
+FORBID = r"(?i)\b(?:do not|don't|never|must not|avoid)\b[^`.]*?`([^`]+)`"
+INSTEAD = r"(?i)`([^`]+)`\s*(?:,\s*)?(?:not|instead of|over|rather than)\s+`([^`]+)`"
+
+
+def forbidden_targets(line: Column) -> Column:
+    """What a line of instructions forbids: code spans after a forbidding word, or after "not" and the like."""
+    plain = F.regexp_extract_all(line, F.lit(FORBID), 1)
+    other = F.regexp_extract_all(line, F.lit(INSTEAD), 2)
+    return F.array_distinct(F.filter(F.transform(F.concat(plain, other), lambda t: F.trim(t)), lambda t: t != ""))
+
+
+def target_kind(target: Column) -> Column:
+    return F.when(target.startswith("mcp__"), "tool").when(target.startswith("-"), "flag").when(target.rlike("^[A-Z][A-Za-z]+$"), "tool").otherwise("command")
+
+
+def mask_secret_names(values: Column) -> Column:
+    """A map with the values of secret names masked whole."""
+    return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike(r"password|passwd|secret|token|api_?key|credential|authorization"), "‹secret›").otherwise(v))
+
+
+def origin_spans(text: Column) -> Column:
+    """Start and end (code points) of every redacted part of the text, each pattern on the text as it was."""
+    def of(kind: str, pattern: str) -> Column:
+        parts = F.split(text, pattern)
+        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+        before = lambda i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, x: a + F.length(x))
+        return F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), before(i).alias("start"), (before(i) + F.length(m)).alias("end")))
+
+    return F.flatten(F.array(*[of(k, p) for k, p in REDACTIONS]))

@@ -117,3 +117,11 @@ def test_blocks_calls_and_usage(spark):
     assert [(r.call, r.tool, r.duration_ms, r.is_error, r.unresolved) for r in t.tool_calls(content).orderBy("call").collect()] == [("t1", "Bash", 3000, True, False), ("t2", "Read", None, False, True)]
     assert [r.call for r in t.orphans(content).collect()] == ["t9"]
     assert [(r.message_id, r.input_tokens, r.output_tokens, r.ord) for r in t.usage_events(rec).collect()] == [("a", 5, 9, 2)]
+
+
+def test_instruction_targets_and_masks(spark):
+    df = spark.createDataFrame([("Do not use `npm publish` or `rm -rf`.",), ("Use `rg`, not `grep`.",), ("Never call `mcp__x__y`!",), ("All is fine with `ls`.",)], "t string")
+    assert [r[0] for r in df.select(tx.forbidden_targets(F.col("t"))).collect()] == [["npm publish"], ["grep"], ["mcp__x__y"], []]
+    assert spark.sql("select map('apiKey', 'x', 'name', 'y') m").select(tx.mask_secret_names(F.col("m"))).first()[0] == {"apiKey": "‹secret›", "name": "y"}
+    t = spark.createDataFrame([("é a@b.org and c@d.net",)], "t string")
+    assert [(s.kind, s.start, s.end) for s in t.select(tx.origin_spans(F.col("t"))).first()[0]] == [("email", 2, 9), ("email", 14, 21)]
