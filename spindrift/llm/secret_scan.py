@@ -49,7 +49,15 @@ FEATURES = (
 N = len(FEATURES)
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
+def hex_runs(data: np.ndarray, offsets: np.ndarray) -> set[int]:
+    """Numbers of the texts with 24 hex characters in a row (or that may have: a run may span two texts)."""
+    stops = np.concatenate([[-1], np.flatnonzero(~_HEXCH[data]), [len(data)]])
+    runs = np.flatnonzero(np.diff(stops) > 24)
+    owner = lambda at: np.searchsorted(offsets, at, "right") - 1
+    return {k for a, b in zip(owner(stops[runs] + 1).tolist(), owner(stops[runs + 1] - 1).tolist()) for k in range(a, b + 1)}
+
+
+def base_spans(text: str, may_have_hex: bool = True) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base rules, by start and kind."""
     found = []
     low = text.lower()
@@ -57,7 +65,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    if may_have_hex:
+        found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
@@ -90,12 +99,15 @@ def _name_hashes() -> np.ndarray:
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, first token of each text, the numbers of the long tokens and their features.
 
-    Only tokens of ``LEAST`` bytes or more can be part of a secret; a shorter token has emission 0 for
-    outside and none for the rest, so it needs no features.
+    Only tokens of ``LEAST`` bytes or more that hold a digit can be part of a secret; any other token has
+    emission 0 for outside and none for the rest, so it needs no features.
     """
     starts, ends, first = tokens_of(data, offsets)
     size = ends - starts
-    long = np.flatnonzero(size >= LEAST)
+    digits = np.flatnonzero(_DIGIT[data])
+    long = np.searchsorted(starts, digits, "right") - 1
+    long = np.unique(long[(long >= 0) & (digits < ends[long])]) if len(starts) else np.zeros(0, np.int64)
+    long = long[size[long] >= LEAST]
     x = np.zeros((len(long), N), np.float32)
     if not len(long):
         return starts, ends, first, long, x
@@ -260,8 +272,14 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 1200, train_t
     t = F.coalesce(F.col(text_col), F.lit(""))
     sample = docs.select(F.substring(t, 1, train_chars).alias("t")).withColumn("h", F.xxhash64("t"))
     has = F.col("t").rlike(r"(?i)(passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}")
-    part = lambda cond: [r.t for r in sample.filter(cond).orderBy("h").limit(train_rows // 2).select("t").collect()]
-    chains = _chains(part(has) + part(~has), train_tokens)
+
+    def part(cond) -> list[str]:
+        """The texts with the least hashes. First only the hashes are sorted, so that few bytes come together."""
+        some = sample.filter(cond)
+        least = [r.h for r in some.select("h").distinct().orderBy("h").limit(train_rows // 2).collect()]
+        return [r.t for r in some.filter(F.col("h") <= least[-1]).dropDuplicates(["h"]).select("t", "h").collect()] if least else []
+
+    chains = _chains(sorted(part(has) + part(~has)), train_tokens)
     if not any(t.any() for _, t in chains):
         return Crf(np.full((N, 2), -9.0), np.zeros((3, 3)))
     return Crf.fit(chains)
@@ -282,9 +300,10 @@ def scan(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "t
                 for a, b in crf.decode(long, first, crf.emissions(x)):
                     owner = int(np.searchsorted(first, a, "right")) - 1
                     extra.setdefault(owner, []).append((int(starts[a] - offsets[owner]), int(ends[b] - offsets[owner])))
+                with_hex = hex_runs(data, offsets)
                 rows: list[list] = [[], [], [], [], [], []]
                 for k, text in enumerate(texts):
-                    base = base_spans(text)
+                    base = base_spans(text, k in with_hex)
                     spans = list(base)
                     if k in extra:
                         raw = text.encode()
