@@ -33,6 +33,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # lets the context cleaner drop the shuffle files of steps that are done
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,13 +7,13 @@ shingle's key, the hash follows; any order gives the same pairs, this one keeps
 of the prefixes. Two sets of Jaccard similarity >= t share a shingle among the first
 n - ceil(t n) + 1 of each, so only these are dealt out, by shingle. Of shingles that two classes or
 more hold, pairs are formed and pass the length filter, the positional filter (what stands before and
-after the shared shingle bounds the overlap) and the suffix filter (a fixed partition of the sets by
-hash bounds it again, part by part); what is left is verified once per pair on the whole sets.
+after the shared shingle bounds the overlap) and the suffix filter (a partition of the sets by
+hash, about as fine as they are large, bounds it again, part by part); what is left is verified once per pair on the whole sets.
 
 Only classes' connection is asked for, so a large group of near copies is not expanded into all of its
-pairs: a round links the members of each shingle to one of them, takes the components found so far, and
-drops shingles whose members are all together. Rounds go on with other leaders while they find links;
-then every pair of members that are still apart is formed and tested, so no link is lost.
+pairs: for shingles with ``star_members`` members or more a round links each member to one of them and
+takes the components found so far; ``star_rounds`` rounds use one partner after the other. Then, for all
+shingles, every pair of members that are still apart is formed and tested, so no link is lost.
 
 Null and blank texts have an empty set and stay alone. Equal rows give equal rows, one out for each in;
 rows that share an id are one document that links by any of its texts; rows with a null id take part in
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ from .components import components
 from .secret_scan import slices
 
 SKETCH, CHUNKS = 1 << 17, 16
-PARTS = 8  # of the fixed partition for the suffix filter
 LEVELS = 5  # bits of a key that say how frequent the shingle is
 SEEN = 200_000
 
@@ -55,20 +55,43 @@ def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def profile(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each part of a partition by their first bits, packed.
+
+    There are about as many parts as hashes (a power of two), so that sets which share little differ in
+    many parts. Partitions of different sizes nest.
+    """
+    bits = max(len(hashes).bit_length() - 1, 0)
+    while True:
+        places = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+        counts = np.bincount(places, minlength=1 << bits)
+        if counts.max() < 256:
+            return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint8).tobytes())
+        bits += 1
+
+
+def overlap_bound(x: bytes, y: bytes) -> tuple[int, int]:
+    """The most that two sets can have in common by their profiles, and the sum of their sizes."""
+    one, two = (np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8).astype(np.int64) for p in (x, y))
+    if len(one) > len(two):
+        one, two = two, one
+    return int(np.minimum(one, two.reshape(len(one), -1).sum(1)).sum()), int(one.sum() + two.sum())
+
+
 def _first_pass(size: int):
     """Digest and size of each document's set; and, as rows of size -1, the task's sketch of shingle counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
-        names = ["id", "digest", "n", "chunk"]
+        names = ["id", "digest", "n", "chunk", "parts"]
         for batch in batches:
             for part in slices(batch):
                 sets = list(shingle_sets(part.column(1), size))
                 if sets:
                     counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.nulls(len(sets), pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.nulls(len(sets), pa.int32()), pa.array([profile(s) for s in sets], pa.binary())], names=names)
         parts = counts.reshape(CHUNKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([-1] * CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([-1] * CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.nulls(CHUNKS, pa.binary())], names=names)
 
     return run
 
@@ -156,17 +179,28 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
 
 
-def _whole_sets(size: int, levels: np.ndarray):
-    """Keys of whole sets, and the number of them in each part of a fixed partition by hash."""
-
+def _whole_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                keys = [keys_of(s, levels) for s in shingle_sets(part.column(1), size)]
-                counts = [np.bincount((k & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32) for k in keys]
-                lists = lambda xs, kind: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32), pa.array(np.concatenate(xs).view(kind)))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([part.column(0), lists(keys, np.int64), lists(counts, np.int32)], names=["id", "keys", "parts"])
+                sets = list(shingle_sets(part.column(1), size))
+                if sets:
+                    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "hashes"])
+
+    return run
+
+
+def _suffix_filter(percent: int):
+    """Keep pairs whose sets can overlap enough, part by part of the fixed partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                most, total = overlap_bound(x, y)
+                keep.append((100 + percent) * most >= percent * total)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -188,16 +222,15 @@ def _pair() -> list[Column]:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: the suffix filter, then the overlap of the whole sets."""
-    one = lambda c: sets.select(F.col("id").alias(c), F.col("keys").alias(f"{c}_keys"), F.col("parts").alias(f"{c}_parts"))
+    """The pairs (a, b) that link, by the overlap of the whole sets."""
+    one = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}_hashes"))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
-    na, nb = F.size("a_keys").cast("long"), F.size("b_keys").cast("long")
-    bound = sum((F.least(F.get("a_parts", k), F.get("b_parts", k)) for k in range(PARTS)), F.lit(0))
-    overlap = F.size(F.array_intersect("a_keys", "b_keys"))
-    return both.filter((100 + percent) * bound >= _needed(na, nb, percent)).filter((100 + percent) * overlap >= _needed(na, nb, percent)).select("a", "b")
+    na, nb = F.size("a_hashes").cast("long"), F.size("b_hashes").cast("long")
+    overlap = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    return both.filter((100 + percent) * overlap >= _needed(na, nb, percent)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 3, star_members: int = 6, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links), n_links (verified links of the document's class).
 
     ``n_links`` counts the links that the search verified; links inside a group that is known to hang
@@ -205,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verify are sent to all tasks, more are joined by shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = materialize(rows.mapInArrow(_first_pass(size), "id long, digest binary, n long, chunk int"), "shingle-sets")
+    first = materialize(rows.mapInArrow(_first_pass(size), "id long, digest binary, n long, chunk int, parts binary"), "shingle-sets")
     levels = _levels(first.filter("n = -1"))
     members = first.filter("n >= 0")
     # Equal sets: the least id stands for the class.
@@ -216,32 +249,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = prefixes.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long, n int, pos int")
     mapped = shared.join(others, "id", "left").select("key", F.coalesce("rep", "id").alias("id"), "n", "pos").distinct()
     index = materialize(mapped, "prefix-index")
-    wanted = materialize(index.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").join(index, "key").select("id").distinct(), "to-verify")
-    few = wanted.count() <= broadcast_rows
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "id")
-    sets = materialize(texts.select("id", "text").mapInArrow(_whole_sets(size, levels), "id long, keys array<long>, parts array<int>"), "whole-sets")
+    profiles = members.filter("n > 0 and id is not null").select("id", "parts")
+    many = index.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") >= star_members).select("key")
+    crowded = materialize(index.join(many, "key", "left_semi"), "crowded-keys")
     links = tested = labels = None
     for turn in range(star_rounds + 1):
-        now = index.select("key", "id", "n", "pos", F.col("id").alias("comp")) if labels is None else index.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
-        lead = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "pos", "comp")).alias("y")).filter("lo <> hi")
         last = turn == star_rounds
+        rows_of = index if last else crowded
+        now = rows_of.withColumn("comp", F.col("id")) if labels is None else rows_of.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
+        apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "pos", "comp")).alias("y")).filter("lo <> hi")
         if last:  # whatever is still apart is paired in full
-            alive = now.join(lead.select("key"), "key", "left_semi")
+            alive = now.join(apart.select("key"), "key", "left_semi")
             found = alive.alias("x").join(alive.alias("y"), "key").filter(F.expr("x.comp <> y.comp and x.id < y.id"))
         else:
-            found = now.alias("x").join(lead.select("key", "y.*").alias("y"), "key").filter(F.expr("x.comp <> y.comp"))
+            found = now.alias("x").join(apart.select("key", "y.*").alias("y"), "key").filter(F.expr("x.comp <> y.comp"))
         pairs = found.filter(_may_link(percent)).select(*_pair()).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        one = lambda c: profiles.select(F.col("id").alias(c), F.col("parts").alias(f"{c}_parts"))
+        near = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "a_parts", "b_parts").mapInArrow(_suffix_filter(percent), "a long, b long")
+        pairs = materialize(near.distinct(), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
+        count = pairs.count()
+        if not count:
+            links = pairs if links is None else links
+            continue
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        few = count <= broadcast_rows
+        texts = rows.join(F.broadcast(wanted) if few else wanted, "id")
+        sets = materialize(texts.select("id", "text").mapInArrow(_whole_sets(size), "id long, hashes array<long>"), "whole-sets")
         new = materialize(verify(pairs, sets, percent), "links-found")
+        discard(sets)
         links = new if links is None else links.union(new)
         if not new.isEmpty():
             labels = materialize(components(links), "labels")
-        elif not last:
-            continue
-    discard(sets)
+    discard(index)
+    discard(crowded)
     reps = members.filter("id is not null").join(others, "id", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("node"))
     per_node = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     label = labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
