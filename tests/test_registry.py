@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from spindrift.plans.registry import ORACLE, QUERIES
@@ -13,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 def canon(frame):
     def one(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
             return None
         try:
             return round(float(v), 6)
