@@ -14,6 +14,7 @@ each in; a null id is kept. Extra columns are not carried. A table of no rows gi
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -26,27 +27,42 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 _tokenizers: dict = {}
 
 
+def vocabulary_text(path: str) -> str:
+    try:
+        return open(path, encoding="utf-8").read()
+    except FileNotFoundError:
+        return open(SparkFiles.get(path.rsplit("/", 1)[-1]), encoding="utf-8").read()
+
+
 def tokenizer_of(path: str):
     """The tokenizer of a JSON file that is on every worker or was shipped with addFile."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        try:
-            text = open(path, encoding="utf-8").read()
-        except FileNotFoundError:
-            text = open(SparkFiles.get(path.rsplit("/", 1)[-1]), encoding="utf-8").read()
-        found = Tokenizer.from_str(text)
+        found = Tokenizer.from_str(vocabulary_text(path))
         found.no_truncation()
         found.no_padding()
         _tokenizers[path] = found
     return _tokenizers[path]
 
 
+def pieces_of(path: str) -> dict[bytes, bytes]:
+    """The piece of each id (both as text in UTF-8), without a tokenizer in memory."""
+    if (path, "pieces") not in _tokenizers:
+        spec = json.loads(vocabulary_text(path))
+        found = {str(i).encode(): t.encode() for t, i in spec["model"]["vocab"].items()}
+        found |= {str(t["id"]).encode(): t["content"].encode() for t in spec["added_tokens"]}
+        del spec
+        release()
+        _tokenizers[path, "pieces"] = found
+    return _tokenizers[path, "pieces"]
+
+
 def pack(parts: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"\n".join(parts))
 
@@ -83,6 +99,7 @@ def distinct_words(buckets: int):
                 if block != now:
                     if words:
                         yield send(now, words)
+                        release()
                     now, words = block, set()
                 words.update(text.encode().split())
         if words:
@@ -107,6 +124,7 @@ def encode_bucket(path: str):
             for block, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 encode([w for w in unpack(blob) if w not in ids_of])
                 asked.append((block, blob))
+        release()
         for block, blob in asked:
             ids = pack([ids_of[w] for w in unpack(blob)])
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob], pa.binary()), pa.array([ids], pa.binary())], names=["block", "words", "ids"])
@@ -134,10 +152,7 @@ def join_back(path: str, with_ids: bool, with_text: bool):
     """Of one block: its dictionary and its texts; ids go to the words' positions."""
 
     def run(key, dictionary: pa.Table, packed: pa.Table) -> pa.Table:
-        tokenizer = tokenizer_of(path)
-        pieces = _tokenizers.get((path, "pieces"))
-        if pieces is None:
-            pieces = _tokenizers[path, "pieces"] = {str(i).encode(): t.encode() for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+        pieces = pieces_of(path)
         ids_of, piece_of, count_of = {}, {}, {}
         for words, ids in zip(dictionary["words"].to_pylist(), dictionary["ids"].to_pylist()):
             for w, i in zip(unpack(words), unpack(ids)):
@@ -167,7 +182,10 @@ def join_back(path: str, with_ids: bool, with_text: bool):
             columns["ids"] = pa.array(out["id_list"], pa.list_(pa.int32()))
         if with_text:
             columns["decoded"] = pa.array(out["decoded_text"], pa.string())
-        return pa.table(columns)
+        done = pa.table(columns)
+        del ids_of, piece_of, count_of, out, columns
+        release()
+        return done
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import discard, materialize
+from .common import discard, materialize, release
 from .components import components
 from .secret_scan import slices
 
@@ -201,6 +201,7 @@ def _suffix_filter(percent: int):
                 most, total = overlap_bound(x, y)
                 keep.append((100 + percent) * most >= percent * total)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            release()
 
     return run
 

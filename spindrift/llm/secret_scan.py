@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel
+from .common import release
 
 KINDS = ("assign", "access", "hex")
 #: Fixed: the base rules.
@@ -333,6 +334,7 @@ def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
         upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, upto - at)
         at = upto
+    release()
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
