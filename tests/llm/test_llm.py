@@ -235,6 +235,15 @@ def test_op8_passages(docs, rows, empty):
     assert compact_windows.repeated_passages(empty).count() == 0
 
 
+def test_op8_line_that_the_other_text_repeats_does_not_cut_a_passage(spark):
+    rng = random.Random(17)
+    line, rest = sentence(rng, 12), [sentence(rng, 40) for _ in range(2)]
+    passage = f"{rest[0]} {line} {rest[1]}"
+    texts = [f"{sentence(rng, 30)} {passage} {sentence(rng, 20)}", f"{line} {sentence(rng, 60)} {passage} {sentence(rng, 9)}"]
+    got = compact_windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end, r.other_start, r.other_end) for r in got} == {(0, 30, 122, 72, 164), (1, 72, 164, 30, 122)}
+
+
 def test_op8_windows_cover_every_subsequence():
     rng = random.Random(6)
     for _ in range(30):
