@@ -244,6 +244,28 @@ def test_op8_line_that_the_other_text_repeats_does_not_cut_a_passage(spark):
     assert {(r.doc_id, r.start, r.end, r.other_start, r.other_end) for r in got} == {(0, 30, 122, 72, 164), (1, 72, 164, 30, 122)}
 
 
+def test_op8_finds_passages_with_substituted_words(spark):
+    rng = random.Random(23)
+    rows, planted = [], 40
+    for k in range(planted):
+        passage = sentence(rng, 50).split()
+        for end in range(2):
+            rows.append((2 * k + end, f"{sentence(rng, 40)} {' '.join(passage)} {sentence(rng, 40)}"))
+            passage[25] = "substituted"
+    got = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.doc_id // 2 for r in got}) >= 0.95 * planted and all(r.other_id == r.doc_id ^ 1 for r in got)
+
+
+def test_op8_members_that_never_led_meet(spark):
+    rng = random.Random(29)
+    line, rows = sentence(rng, 36), []
+    pairs = [(sentence(rng, 10), sentence(rng, 10)) for _ in range(15)]
+    for before, after in pairs * 2:  # all share the line, two of them more
+        rows.append((len(rows), f"{sentence(rng, 30)} {before} {line} {after} {sentence(rng, 30)}"))
+    got = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(i, (i + 15) % 30) for i in range(30)}
+
+
 def test_op8_windows_cover_every_subsequence():
     rng = random.Random(6)
     for _ in range(30):
