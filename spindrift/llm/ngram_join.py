@@ -6,18 +6,23 @@ rare first: a sketch of fixed size counts shingles over all documents, the count
 shingle's key, the hash follows; any order gives the same pairs, this one keeps frequent shingles out
 of the prefixes. Two sets of Jaccard similarity >= t share a shingle among the first
 n - ceil(t n) + 1 of each, so only these are dealt out, by shingle. Of shingles that two classes or
-more hold, pairs are formed and pass the length filter, the positional filter (what stands before and
-after the shared shingle bounds the overlap) and the suffix filter (a partition of the sets by
-hash, about as fine as they are large, bounds it again, part by part); what is left is verified once per pair on the whole sets.
+more hold, pairs are formed and pass the length filter, the positional filter (the first shingle that
+both hold has the whole overlap behind it, in either set) and the suffix filter (a partition of the sets
+by hash, about as fine as they are large, bounds the overlap part by part); what is left is verified
+once per pair on the whole sets.
 
 Only classes' connection is asked for, so a large group of near copies is not expanded into all of its
-pairs: for shingles with ``star_members`` members or more a round links each member to one of them and
-takes the components found so far; ``star_rounds`` rounds use one partner after the other. Then, for all
-shingles, every pair of members that are still apart is formed and tested, so no link is lost.
+pairs. For shingles with ``crowd`` members or more, each of ``star_rounds`` rounds lays the members beside
+one of them, the one with the fewest rare shingles that is not yet connected to an earlier one, and takes
+the components found so far. For those still apart, classes are drawn together further: two sets of one
+size that hold the same shingles but for those that no other of them holds overlap alike with any third
+set, so one of them stands for all. Then every pair of members that are still apart is formed and
+tested, so no link is lost.
 
 Null and blank texts have an empty set and stay alone. Equal rows give equal rows, one out for each in;
 rows that share an id are one document that links by any of its texts; rows with a null id take part in
-no link (their component is null). Extra columns are not carried.
+no link (their component is null). Extra columns are not carried. The number of links is not given: inside
+a group that is known to hang together most pairs are never tested.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from .common import discard, materialize, release
 from .components import components
 from .secret_scan import slices
 
-SKETCH, CHUNKS = 1 << 17, 16
+SKETCH, CHUNKS = 1 << 20, 16
 LEVELS = 5  # bits of a key that say how frequent the shingle is
 SEEN = 200_000
 
@@ -90,41 +95,51 @@ def _first_pass(size: int):
                 if sets:
                     counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_digest, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.nulls(len(sets), pa.int32()), pa.array([profile(s) for s in sets], pa.binary())], names=names)
-        parts = counts.reshape(CHUNKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([-1] * CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.nulls(CHUNKS, pa.binary())], names=names)
+        parts = [_packed(p) for p in counts.reshape(CHUNKS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.array(parts, pa.binary()), pa.array([-1] * CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.nulls(CHUNKS, pa.binary())], names=names)
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.int64)
+
+
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(raw, np.int64)
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            part = _unpacked(raw.as_py())
             sums[k] = sums[k] + part if k in sums else part
     for k, part in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "digest"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(part)], pa.binary())], names=["chunk", "digest"])
 
 
 def _levels(parts: DataFrame) -> np.ndarray:
     """Of each place of the sketch, the logarithm of how far its count is above the usual one.
 
-    The sketch's size is fixed; each task's part is added chunk by chunk, in two steps.
+    The sketch's size is fixed. The tasks' parts are added chunk by chunk, in two steps; the first has as
+    many sums for a chunk as the root of the number of parts, so that neither step gathers them all.
     """
     add = lambda df: df.mapInArrow(_add, "chunk int, digest binary")
-    some = add(parts.select("chunk", "digest").repartition(CHUNKS * 8, "chunk", F.pmod(F.spark_partition_id(), F.lit(8))))
+    ways = max(1, math.isqrt(parts.count() // CHUNKS))
+    some = add(parts.select("chunk", "digest").repartition(CHUNKS * ways, "chunk", F.pmod(F.xxhash64("digest"), F.lit(ways))))
     counts = np.zeros((CHUNKS, SKETCH // CHUNKS), np.int64)
     for r in add(some.repartition(CHUNKS, "chunk")).collect():
-        counts[r.chunk] += np.frombuffer(r.digest, np.int64)
+        counts[r.chunk] += _unpacked(r.digest)
     counts = counts.ravel()
     usual = float(np.median(counts))
     above = np.maximum(counts - usual - 4 * math.sqrt(usual + 1), 0)
-    return np.minimum(np.log2(above + 1), (1 << LEVELS) - 1).astype(np.uint64)
+    return np.minimum(np.log2(above + 1), (1 << LEVELS) - 1).astype(np.uint8)
 
 
 def keys_of(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Keys in the global order, sorted: rare shingles first. The low bits of the hash give their place in the sketch."""
-    level = levels[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)]
+    level = levels[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
     return np.sort((level << np.uint64(63 - LEVELS)) | (hashes >> np.uint64(LEVELS + 1)))
 
 
@@ -212,9 +227,9 @@ def _needed(na: Column, nb: Column, percent: int) -> Column:
 
 
 def _may_link(percent: int) -> Column:
-    """Length and positional filters for rows x and y of one key."""
+    """Length and positional filters for rows x and y of one key, as if it were the first that both hold."""
     na, nb = F.col("x.n").cast("long"), F.col("y.n").cast("long")
-    bound = F.least("x.pos", "y.pos") + 1 + F.least(na - F.col("x.pos") - 1, nb - F.col("y.pos") - 1)
+    bound = F.least(na - F.col("x.pos"), nb - F.col("y.pos"))
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bound >= _needed(na, nb, percent))
 
 
@@ -231,12 +246,117 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * overlap >= _needed(na, nb, percent)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 3, star_members: int = 6, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links), n_links (verified links of the document's class).
+class Search:
+    """What the rounds of one search share: the documents, their profiles, and the links found so far."""
+
+    def __init__(self, rows: DataFrame, profiles: DataFrame, size: int, percent: int, broadcast_rows: int):
+        self.rows, self.profiles, self.size, self.percent, self.broadcast_rows = rows, profiles, size, percent, broadcast_rows
+        self.tested = self.labels = None
+
+    def with_components(self, index: DataFrame) -> DataFrame:
+        """Rows of the index with the component that their document is known to belong to."""
+        if self.labels is None:
+            return index.withColumn("comp", F.col("id"))
+        return index.join(self.labels, F.col("id") == F.col("node"), "left").select(*index.columns, F.coalesce("component", "id").alias("comp"))
+
+    def add(self, links: DataFrame) -> None:
+        """Take links (a, b) into the components. What is known already is a star per component."""
+        known = None if self.labels is None else self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        self.labels = materialize(components(links if known is None else links.union(known)), "labels")
+
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """The whole sets of some documents; their ids are counted before they are sent about."""
+        few = ids.count() <= self.broadcast_rows
+        texts = self.rows.join(F.broadcast(ids) if few else ids, "id")
+        return materialize(texts.select("id", "text").mapInArrow(_whole_sets(self.size), "id long, hashes array<long>"), "whole-sets")
+
+    def test(self, found: DataFrame) -> DataFrame | None:
+        """The pairs (a, b) among joined rows x and y of one key that link; None if there is none to test."""
+        pairs = found.filter(_may_link(self.percent)).select(*_pair()).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        one = lambda c: self.profiles.select(F.col("id").alias(c), F.col("parts").alias(f"{c}_parts"))
+        near = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "a_parts", "b_parts")
+        pairs = materialize(near.mapInArrow(_suffix_filter(self.percent), "a long, b long").distinct(), "pairs")
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        if pairs.isEmpty():
+            return None
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        links = materialize(verify(pairs, sets, self.percent), "links-found")
+        discard(sets)
+        return None if links.isEmpty() else links
+
+
+def _lead(now: DataFrame, turn: int) -> DataFrame:
+    """Of each key whose members are still apart, the one that the others are laid beside.
 
-    ``n_links`` counts the links that the search verified; links inside a group that is known to hang
-    together need no test, so it is a lower bound. ``broadcast_rows``: up to so many ids of documents to
-    verify are sent to all tasks, more are joined by shuffle.
+    First the one with the least share of rarer shingles, which most near copies of a text are nearest to;
+    then the best that is not connected to it, then any such.
+    """
+    order = lambda k: F.struct((F.col("pos") / F.col("n")).alias("o"), F.xxhash64("id").alias("h")) if k < 2 else F.struct(F.xxhash64("id", F.lit(k)).alias("h"))
+    best = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", order(0)).alias("first")).filter("lo <> hi")
+    rest = now if not turn else now.join(best.select("key", "first"), "key").filter("comp <> first")
+    lead = rest.groupBy("key").agg(F.min_by(F.struct("id", "n", "pos", "comp"), order(turn)).alias("y"))
+    return lead.join(best.select("key"), "key", "left_semi").select("key", "y.*")
+
+
+def _alike(alive: DataFrame, search: Search) -> DataFrame:
+    """(id, rep, held): of each document of ``alive`` the least one that overlaps with all others of them as it does.
+
+    Shingles that no second one of them holds add nothing to an overlap; sets of one size with the same
+    other shingles, ``held`` in number, are alike.
+    """
+    ids = materialize(alive.select("id").distinct(), "alive")
+    sets = search.sets_of(ids)
+    each = sets.select("id", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    held = each.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("h")
+    several = sets.groupBy("id").count().filter("count > 1").select("id")  # documents of more than one text stand for themselves
+    core = each.join(several, "id", "left_anti").join(held, "h").groupBy("id", "n").agg(F.count("*").alias("held"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("s2"))
+    least = core.groupBy("n", "held", "s1", "s2").agg(F.min("id").alias("rep"))
+    alone = several.select("id", F.col("id").alias("rep"), F.lit(1).alias("n"), F.lit(0).cast("long").alias("held"))
+    out = materialize(core.join(least, ["n", "held", "s1", "s2"]).select("id", "rep", "n", "held").union(alone), "alike")
+    discard(sets)
+    return out
+
+
+def _crowded(search: Search, crowded: DataFrame, star_rounds: int) -> None:
+    """All links that connect anything, among members of one key with many."""
+    percent = search.percent
+    for turn in range(star_rounds):
+        now = materialize(search.with_components(crowded), "members")
+        found = now.alias("x").join(_lead(now, turn).alias("y"), "key").filter(F.expr("x.comp <> y.comp"))
+        links = search.test(found)
+        if links is None:
+            break
+        search.add(links)
+    now = search.with_components(crowded)
+    apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    alive = materialize(now.join(apart, "key", "left_semi").drop("comp"), "alive-members")
+    if alive.isEmpty():
+        return
+    alike = _alike(alive, search)
+    together = F.expr(f"{100 + percent} * held >= {2 * percent} * n")
+    mates = alike.filter("id <> rep")
+    if not mates.isEmpty():
+        linked = mates.filter(together).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        if not linked.isEmpty():
+            search.add(linked)
+    # Those alike without linking each other may stand in several components: their one is tested with all.
+    several = alike.filter(~together).groupBy("rep").agg(F.count("*").alias("m")).filter("m > 1").select("rep", F.lit(True).alias("lone"))
+    only = search.with_components(alive.join(alike.filter("id = rep").select("id"), "id", "left_semi"))
+    only = materialize(only.join(several, F.col("id") == F.col("rep"), "left").drop("rep"), "alike-members")
+    links = search.test(only.alias("x").join(only.alias("y"), "key").filter(F.expr("x.id < y.id and (x.comp <> y.comp or x.lone or y.lone)")))
+    if links is not None:
+        also = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+        also = mates.join(also, "rep").select(F.col("id").alias("a"), F.col("other").alias("b"))
+        search.add(links.union(also))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 3, crowd: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links).
+
+    ``broadcast_rows``: up to so many ids of documents to verify are sent to all tasks, more are joined by
+    shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = materialize(rows.mapInArrow(_first_pass(size), "id long, digest binary, n long, chunk int, parts binary"), "shingle-sets")
@@ -250,45 +370,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = prefixes.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long, n int, pos int")
     mapped = shared.join(others, "id", "left").select("key", F.coalesce("rep", "id").alias("id"), "n", "pos").distinct()
     index = materialize(mapped, "prefix-index")
-    profiles = members.filter("n > 0 and id is not null").select("id", "parts")
-    many = index.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") >= star_members).select("key")
-    crowded = materialize(index.join(many, "key", "left_semi"), "crowded-keys")
-    links = tested = labels = None
-    for turn in range(star_rounds + 1):
-        last = turn == star_rounds
-        rows_of = index if last else crowded
-        now = rows_of.withColumn("comp", F.col("id")) if labels is None else rows_of.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
-        apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "pos", "comp")).alias("y")).filter("lo <> hi")
-        if last:  # whatever is still apart is paired in full
-            alive = now.join(apart.select("key"), "key", "left_semi")
-            found = alive.alias("x").join(alive.alias("y"), "key").filter(F.expr("x.comp <> y.comp and x.id < y.id"))
-        else:
-            found = now.alias("x").join(apart.select("key", "y.*").alias("y"), "key").filter(F.expr("x.comp <> y.comp"))
-        pairs = found.filter(_may_link(percent)).select(*_pair()).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        one = lambda c: profiles.select(F.col("id").alias(c), F.col("parts").alias(f"{c}_parts"))
-        near = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "a_parts", "b_parts").mapInArrow(_suffix_filter(percent), "a long, b long")
-        pairs = materialize(near.distinct(), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        count = pairs.count()
-        if not count:
-            links = pairs if links is None else links
-            continue
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        few = count <= broadcast_rows
-        texts = rows.join(F.broadcast(wanted) if few else wanted, "id")
-        sets = materialize(texts.select("id", "text").mapInArrow(_whole_sets(size), "id long, hashes array<long>"), "whole-sets")
-        new = materialize(verify(pairs, sets, percent), "links-found")
-        discard(sets)
-        links = new if links is None else links.union(new)
-        if not new.isEmpty():
-            labels = materialize(components(links), "labels")
+    counts = index.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
+    crowded = materialize(index.join(counts.filter(F.col("m") >= crowd).select("key"), "key", "left_semi"), "crowded-keys")
+    sparse = materialize(index.join(counts.filter(F.col("m") < crowd).select("key"), "key", "left_semi"), "other-keys")
     discard(index)
+    search = Search(rows, members.filter("n > 0 and id is not null").select("id", "parts"), size, percent, broadcast_rows)
+    if not crowded.isEmpty():
+        _crowded(search, crowded, star_rounds)
     discard(crowded)
+    now = search.with_components(sparse)
+    links = search.test(now.alias("x").join(now.alias("y"), "key").filter(F.expr("x.comp <> y.comp and x.id < y.id")))
+    if links is not None:
+        search.add(links)
+    discard(sparse)
     reps = members.filter("id is not null").join(others, "id", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("node"))
-    per_node = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    label = labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
-    joined = reps.join(label, "node", "left").join(per_node, "node", "left")
-    alone = members.filter("id is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).union(alone)
+    label = search.labels if search.labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
+    joined = reps.join(label, "node", "left")
+    alone = members.filter("id is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id")).union(alone)

@@ -147,6 +147,35 @@ def test_op3_random_groups_lose_no_link(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def family(m, rng, changes=1):
+    """Near copies of one text of 40 words, which is not among them: each has other words in a few places."""
+    base = [f"t{k}" for k in range(40)]
+    out = []
+    for i in range(m):
+        w = list(base)
+        for _ in range(changes):
+            w[rng.randrange(40)] = f"u{rng.randint(0, 10**6)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("changes", [1, 2])
+def test_op3_tests_grow_with_a_family_not_with_its_square(spark, monkeypatch, changes):
+    tested, plain = [], ngram_join.Search.test
+
+    def test(self, found):
+        tested[-1] += found.filter(ngram_join._may_link(self.percent)).count()
+        return plain(self, found)
+
+    monkeypatch.setattr(ngram_join.Search, "test", test)
+    for m in (150, 300):
+        rows = family(m, random.Random(m), changes)
+        tested.append(0)
+        got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute.components(rows)
+    assert tested[1] <= 3 * tested[0] + 100 and tested[1] <= 40 * 300
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 20)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randint(200, 240), rng.randint(200, 240)) for _ in range(25)]
