@@ -319,6 +319,21 @@ def _alike(alive: DataFrame, search: Search) -> DataFrame:
     return out
 
 
+def _hopeful(index: DataFrame, percent: int) -> DataFrame:
+    """Rows of an index that some other row of their key may link with, by the least size and the longest rest in it."""
+    of_key = index.groupBy("key").agg(F.min("n").alias("least_n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    n = F.col("n").cast("long")
+    other = F.greatest(F.col("least_n").cast("long"), F.ceil(n * percent / 100))
+    ok = ((100 + percent) * F.least(n - F.col("pos"), F.col("rest")) >= percent * (n + other))
+    return index.join(of_key, "key").filter(ok).select(*index.columns)
+
+
+def _of_size(index: DataFrame, least: int, most: int | None = None) -> DataFrame:
+    """Rows of keys that so many rows hold, two documents among them."""
+    counts = index.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
+    return index.join(counts.filter(F.col("m") >= least if most is None else F.col("m").between(least, most)).select("key"), "key", "left_semi")
+
+
 def _crowded(search: Search, crowded: DataFrame, star_rounds: int) -> None:
     """All links that connect anything, among members of one key with many."""
     percent = search.percent
@@ -326,9 +341,9 @@ def _crowded(search: Search, crowded: DataFrame, star_rounds: int) -> None:
         now = materialize(search.with_components(crowded), "members")
         found = now.alias("x").join(_lead(now, turn).alias("y"), "key").filter(F.expr("x.comp <> y.comp"))
         links = search.test(found)
-        if links is None:
-            break
-        search.add(links)
+        discard(now)
+        if links is not None:
+            search.add(links)
     now = search.with_components(crowded)
     apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     alive = materialize(now.join(apart, "key", "left_semi").drop("comp"), "alive-members")
@@ -337,22 +352,19 @@ def _crowded(search: Search, crowded: DataFrame, star_rounds: int) -> None:
     alike = _alike(alive, search)
     together = F.expr(f"{100 + percent} * held >= {2 * percent} * n")
     mates = alike.filter("id <> rep")
-    if not mates.isEmpty():
-        linked = mates.filter(together).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-        if not linked.isEmpty():
-            search.add(linked)
     # Those alike without linking each other may stand in several components: their one is tested with all.
     several = alike.filter(~together).groupBy("rep").agg(F.count("*").alias("m")).filter("m > 1").select("rep", F.lit(True).alias("lone"))
     only = search.with_components(alive.join(alike.filter("id = rep").select("id"), "id", "left_semi"))
     only = materialize(only.join(several, F.col("id") == F.col("rep"), "left").drop("rep"), "alike-members")
     links = search.test(only.alias("x").join(only.alias("y"), "key").filter(F.expr("x.id < y.id and (x.comp <> y.comp or x.lone or y.lone)")))
+    new = mates.filter(together).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     if links is not None:
         also = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-        also = mates.join(also, "rep").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        search.add(links.union(also))
+        new = new.union(links).union(mates.join(also, "rep").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    search.add(new)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 3, crowd: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 2, crowd: int = 32, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links).
 
     ``broadcast_rows``: up to so many ids of documents to verify are sent to all tasks, more are joined by
@@ -370,9 +382,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = prefixes.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long, n int, pos int")
     mapped = shared.join(others, "id", "left").select("key", F.coalesce("rep", "id").alias("id"), "n", "pos").distinct()
     index = materialize(mapped, "prefix-index")
-    counts = index.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi")
-    crowded = materialize(index.join(counts.filter(F.col("m") >= crowd).select("key"), "key", "left_semi"), "crowded-keys")
-    sparse = materialize(index.join(counts.filter(F.col("m") < crowd).select("key"), "key", "left_semi"), "other-keys")
+    crowded = materialize(_of_size(_hopeful(_of_size(index, crowd), percent), 2), "crowded-keys")
+    sparse = materialize(_of_size(index, 2, crowd - 1), "other-keys")
     discard(index)
     search = Search(rows, members.filter("n > 0 and id is not null").select("id", "parts"), size, percent, broadcast_rows)
     if not crowded.isEmpty():
