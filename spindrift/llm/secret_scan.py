@@ -1,20 +1,26 @@
 """Operator 9: secret scans with a linear-chain conditional random field.
 
-Base rules find three kinds of secrets by pattern. Beside them a CRF tags tokens as begin, inside or
-outside of a secret. Features are a token's shape (length, classes of characters, their mix), the words
-beside it (a secret's name, an assignment sign) and the file (density of such names and of digits).
-Weights are fitted here by gradient ascent on the likelihood, on a bounded sample of texts whose base
-spans are the labels (``train_rows`` documents by hash order, ``train_tokens`` tokens of each); the
-labels hide the names in half of the windows, so that shape alone also counts. Decoding covers every
-token of every whole text: a token whose emission favours outside by more than two transitions can win
-is outside in every best path, so Viterbi runs, exactly, over the runs of the other tokens only.
+Base rules find three kinds of secrets by pattern. Beside them a CRF tags the tokens of a text, in the
+order in which they stand, as begin, inside or outside of a secret. Features are a token's shape (length,
+classes of characters, their mix), the words beside it (the name of a secret up to three tokens before,
+a sign of assignment between) and the file (whether it assigns to such names, its share of digits).
+Weights are fitted here by gradient ascent on the likelihood. Training chains are runs of adjacent tokens
+like those decoded: around base spans, which are the labels, and elsewhere, of at most ``train_rows``
+documents by the order of a hash, each read whole; and copies of such runs into which a name and a made
+value are put (letters, digits or both; passphrases of the text's own words), or a name and plain words,
+so that values which the patterns don't see are found and prose about secrets is left alone.
+
+Decoding covers every token of every whole text. A token is left out of the arithmetic only where its
+shape's bound on the emission (a table by classes of characters and length, made from the weights)
+proves it outside in every best path; Viterbi runs, exactly, over the runs of the other tokens.
 
 Null text counts as empty: no spans. One row out for each row in; a null id is kept; extra columns are
-not carried. Positions are code points, ends exclusive.
+not carried. Positions are code points, ends exclusive. No documents to fit on: no spans but the base ones.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -42,12 +48,20 @@ _HEXCH[48:58] = _HEXCH[97:103] = True
 _ASSIGNS = np.zeros(256, bool)
 _ASSIGNS[[*b"=:"]] = True
 
-FEATURES = (
-    "bias", "short", "len8", "len16", "len20", "len32", "len48", "digits", "many digits", "upper and digits", "mixed case and digits",
-    "hex only", "hex with letters and digits", "no lower case", "letters only", "high bytes", "digits only", "class changes", "AKIA",
-    "name before", "name before, assigned", "assigned", "name", "same class after", "file has names", "file of digits", "dots",
-)
-N = len(FEATURES)
+#: Names of secrets: a token that ends in one (an ending of up to two bytes aside) names what follows.
+TITLES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "credential", "bearer", "private_key", "access_key")
+NEAR = 3  # tokens after a name that know of it
+
+#: Bits of the classes of a token's characters.
+LOWER, UPPER, DIGIT, MARK, HIGH = 1, 2, 4, 8, 16
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[*b"+/_.-"]], _CLASS[128:] = LOWER, UPPER, DIGIT, MARK, HIGH
+LENGTHS = np.array([6, 8, 12, 16, 20, 32, 48])
+#: Features that classes and length give; those that a token's bytes give; those of its place.
+SHAPE = ("bias", *(f"length {n}" for n in LENGTHS), "lower", "upper", "digit", "mark", "high", "lower and upper", "lower and digit", "upper and digit", "all three", "letters only", "digits only", "lower only, 12")
+FINE = ("hex", "hex of both", "digits, a fourth", "changes", "capitals inside", "AKIA")
+PLACE = (*(f"name {k} before" for k in range(1, NEAR + 1)), "name before, assigned", "name, assigned farther", "beside the last", "file has names", "file of digits")
+N = len(SHAPE) + len(FINE) + len(PLACE)
 
 
 def hex_runs(data: np.ndarray, offsets: np.ndarray) -> set[int]:
@@ -90,72 +104,100 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _name_hashes() -> np.ndarray:
-    words = [b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"pwd", b"pass", b"credential", b"credentials", b"auth", b"bearer", b"key", b"access_key", b"secret_key", b"private_key"]
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    return textkernel.word_hashes(data, ends - [len(w) for w in words], ends)
-
-
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, first token of each text, the numbers of the long tokens and their features.
-
-    Only tokens of ``LEAST`` bytes or more that hold a digit can be part of a secret; any other token has
-    emission 0 for outside and none for the rest, so it needs no features.
-    """
-    starts, ends, first = tokens_of(data, offsets)
-    size = ends - starts
-    digits = np.flatnonzero(_DIGIT[data])
-    long = np.searchsorted(starts, digits, "right") - 1
-    long = np.unique(long[(long >= 0) & (digits < ends[long])]) if len(starts) else np.zeros(0, np.int64)
-    long = long[size[long] >= LEAST]
-    x = np.zeros((len(long), N), np.float32)
-    if not len(long):
-        return starts, ends, first, long, x
-    s, n = starts[long], size[long]
-    # Counts by class over the bytes of the long tokens only.
-    at = np.concatenate([[0], np.cumsum(n)])
-    flat = data[np.repeat(s - at[:-1], n) + np.arange(at[-1])]
-    share = lambda mask: np.add.reduceat(mask[flat].astype(np.int32), at[:-1])
-    digit, upper, hexch, lower, high = share(_DIGIT), share(_UPPER), share(_HEXCH), share(_LOWERC), share(_HIGH)
-    kind = _DIGIT[flat] * 1 + _UPPER[flat] * 2 + _LOWERC[flat] * 4
-    change = np.concatenate([[0], kind[1:] != kind[:-1]]).astype(np.int32)
-    change[at[:-1]] = 0
-    changes = np.add.reduceat(change, at[:-1])
-    owner = np.searchsorted(first, long, "right") - 1
-    before = np.maximum(long - 1, 0)
-    has_before = (long > 0) & (before >= first[owner])
-    names = _names()
-    name_at = np.isin(textkernel.word_hashes(data, starts[before], ends[before]), names) & has_before & (size[before] <= 12)
-    gap = np.where(has_before, s - ends[before], 99)
-    signs = np.zeros(len(long), bool)
-    for k in range(1, 5):
-        signs |= has_before & (gap >= k) & (gap <= 6) & _ASSIGNS[data[np.maximum(s - k, 0)]]
-    name = np.isin(textkernel.word_hashes(data, s, ends[long]), names) & (n <= 12)
-    text_bytes = np.maximum(np.diff(offsets), 1)
-    per_text = lambda v: np.bincount(owner, weights=v, minlength=len(offsets) - 1)
-    has_names = per_text(name_at & signs) > 0
-    digits_share = per_text(digit) / text_bytes
-    dots = np.add.reduceat((flat == 46).astype(np.int32), at[:-1])
-    columns = (
-        1, n < 12, n >= 8, n >= 16, n >= 20, n >= 32, n >= 48, digit > 0, digit * 4 >= n, (upper > 0) & (digit > 0) & (lower == 0), (upper > 0) & (digit > 0) & (lower > 0),
-        hexch == n, (hexch == n) & (digit > 1) & (lower > 1), (lower == 0) & (upper > 0), lower + upper == n, high > 0, digit == n, np.minimum(changes, 12) / 12.0,
-        (data[s] == 65) & (data[np.minimum(s + 1, len(data) - 1)] == 75) & (upper + digit == n),
-        name_at, name_at & signs, signs, name, 0, has_names[owner], digits_share[owner] > 0.05, dots > 0,
-    )
-    for k, c in enumerate(columns):
-        x[:, k] = c
-    return starts, ends, first, long, x
-
-
-LEAST = 6
-_cache: dict[str, np.ndarray] = {}
-
-
-def _names() -> np.ndarray:
-    if "names" not in _cache:
-        _cache["names"] = _name_hashes()
-    return _cache["names"]
+def shape_table() -> tuple[np.ndarray, np.ndarray]:
+    """Features of each (classes, length) code, and of each code which of FINE and PLACE a token may have."""
+    code = np.arange(32 * 8)
+    mask, bucket = code >> 3, code & 7
+    has = lambda m: (mask & m) == m
+    only = lambda m: (mask & ~m) == 0
+    shape = [np.ones(len(code)), *(bucket > k for k in range(len(LENGTHS)))]
+    shape += [has(m) for m in (LOWER, UPPER, DIGIT, MARK, HIGH, LOWER | UPPER, LOWER | DIGIT, UPPER | DIGIT, LOWER | UPPER | DIGIT)]
+    shape += [only(LOWER | UPPER), only(DIGIT), only(LOWER) & (bucket > 2)]
+    mixed = (mask & (mask - 1)) != 0
+    may = [only(LOWER | DIGIT), has(LOWER | DIGIT) & only(LOWER | DIGIT), has(DIGIT), mixed, has(LOWER | UPPER), only(UPPER | DIGIT) & has(UPPER), *[code >= 0] * len(PLACE)]
+    return np.array(shape, float).T, np.array(may, float).T
+
+
+_SHAPES, _MAY = shape_table()
+
+
+class Tokens:
+    """The tokens of a batch of texts: places, shape codes, and which follow a name."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
+        self.starts, self.ends, self.first = tokens_of(data, offsets)
+        n = len(self.starts)
+        if n:
+            masks = np.bitwise_or.reduceat(_CLASS[data], self.starts)
+            self.codes = masks.astype(np.int64) * 8 + np.searchsorted(LENGTHS, self.ends - self.starts, "right")
+        else:
+            self.codes = np.zeros(0, np.int64)
+        self.name_at = self._names()
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+        self.of_digits = (digits[offsets[1:]] - digits[offsets[:-1]]) > 0.05 * np.maximum(np.diff(offsets), 1)
+
+    def _names(self) -> np.ndarray:
+        """Numbers of the tokens that name a secret."""
+        low, found = textkernel.LOWER[self.data].tobytes(), set()
+        for title in TITLES:
+            name, at = title.encode(), -1
+            while (at := low.find(name, at + 1)) >= 0:
+                k = int(np.searchsorted(self.starts, at, "right")) - 1
+                if k >= 0 and at + len(name) <= self.ends[k] <= at + len(name) + 2:
+                    found.add(k)
+        return np.array(sorted(found), np.int64)
+
+    def after_names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens up to NEAR after a name in the same text, how far the name is, and whether a sign of assignment stands between."""
+        if not len(self.name_at):
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+        names = np.repeat(self.name_at, NEAR)
+        away = np.tile(np.arange(1, NEAR + 1), len(self.name_at))
+        at = names + away
+        ok = at < len(self.starts)
+        names, away, at = names[ok], away[ok], at[ok]
+        ok = np.searchsorted(self.first, names, "right") == np.searchsorted(self.first, at, "right")
+        names, away, at = names[ok], away[ok], at[ok]
+        signs = np.array([b"=" in gap or b":" in gap for gap in (self.data[self.ends[a] : min(self.starts[t], self.ends[a] + 64)].tobytes() for a, t in zip(names, at))], bool)
+        return at, away, signs
+
+    def features(self, some: np.ndarray) -> np.ndarray:
+        """All features of some tokens."""
+        x = np.zeros((len(some), N))
+        if not len(some):
+            return x
+        x[:, : len(SHAPE)] = _SHAPES[self.codes[some]]
+        s, n = self.starts[some], self.ends[some] - self.starts[some]
+        at = np.concatenate([[0], np.cumsum(n)])
+        flat = self.data[np.repeat(s - at[:-1], n) + np.arange(at[-1])]
+        count = lambda mask: np.add.reduceat(mask.astype(np.int64), at[:-1])
+        kind = _CLASS[flat]
+        digit, lower, hexch = count(kind == DIGIT), count(kind == LOWER), count(_HEXCH[flat])
+        change = np.concatenate([[False], kind[1:] != kind[:-1]])
+        inner = np.concatenate([[False], (kind[1:] == UPPER) & (kind[:-1] == LOWER)])
+        change[at[:-1]] = inner[at[:-1]] = False
+        akia = np.array([self.data[a : a + 4].tobytes() == b"AKIA" for a in s]) & ((_MAY[self.codes[some]][:, 5]) > 0)
+        x[:, len(SHAPE) : len(SHAPE) + len(FINE)] = np.array([hexch == n, (hexch == n) & (digit > 1) & (lower > 1), digit * 4 >= np.maximum(n, 4), np.minimum(count(change), 12) / 12, count(inner) > 1, akia]).T
+        place = len(SHAPE) + len(FINE)
+        near, away, signs = self.after_names()
+        where = np.searchsorted(some, near)
+        hit = (where < len(some)) & (some[np.minimum(where, len(some) - 1)] == near)
+        for w, k, sign in zip(where[hit], away[hit], signs[hit]):
+            x[w, place + k - 1] = 1
+            if sign:
+                x[w, place + NEAR + (k > 1)] = 1
+        owner = np.searchsorted(self.first, some, "right") - 1
+        before = np.maximum(some - 1, 0)
+        x[:, place + NEAR + 2] = (some > self.first[owner]) & (s - self.ends[before] == 1) & ~_SPACE[self.data[np.maximum(s - 1, 0)]]
+        assigned = np.zeros(len(self.offsets), bool)
+        assigned[np.searchsorted(self.first, near[signs], "right") - 1] = True
+        x[:, place + NEAR + 3], x[:, place + NEAR + 4] = assigned[owner], self.of_digits[owner]
+        return x
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 class Crf:
@@ -167,6 +209,26 @@ class Crf:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros((len(x), 1)), x.astype(float) @ self.weights], axis=1)
 
+    def open_codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each shape code, whether a token of it may be inside of a secret: without a name near it, and with one.
+
+        Another tag than outside changes two moves; what they can gain at most, and what the features that
+        the code leaves open can add at most, is added to the code's own emission.
+        """
+        m = self.moves
+        gain = np.array([max(m[a, x] + m[x, b] - m[a, 0] - m[0, b] for a in range(3) for b in range(3)) for x in (1, 2)])
+        above = np.maximum(self.weights[len(SHAPE) :], 0)
+        apart = above.copy()
+        apart[len(FINE) : len(FINE) + NEAR + 2] = 0
+        own = _SHAPES @ self.weights[: len(SHAPE)] + gain
+        return tuple((own + _MAY @ rest).max(1) >= -1e-9 for rest in (apart, above))
+
+    def open_tokens(self, tokens: Tokens) -> np.ndarray:
+        """Numbers of the tokens that are not proved to be outside."""
+        alone, named = self.open_codes()
+        near = np.unique(tokens.after_names()[0])
+        return np.union1d(np.flatnonzero(alone[tokens.codes]), near[named[tokens.codes[near]]])
+
     def viterbi(self, e: np.ndarray) -> list[int]:
         """Best tags of a run of tokens between two outside ones."""
         score, back = e[0] + self.moves[0], []
@@ -181,18 +243,17 @@ class Crf:
             tags.append(tag)
         return tags[::-1]
 
-    def decode(self, long: np.ndarray, first: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
-        """(first, last) token of each secret. ``long``: numbers of the tokens with emissions ``e``."""
-        slack = 2 * (self.moves.max() - self.moves.min())
-        open_ = np.flatnonzero(e[:, 1:].max(1) + slack >= 0)
-        if not len(open_):
+    def decode(self, tokens: Tokens) -> list[tuple[int, int]]:
+        """(first, last) token of each secret."""
+        at = self.open_tokens(tokens)
+        if not len(at):
             return []
-        at = long[open_]
-        owner = np.searchsorted(first, at, "right")
+        e = self.emissions(tokens.features(at))
+        owner = np.searchsorted(tokens.first, at, "right")
         breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(owner) > 0)) + 1
         found = []
         for a, b in zip([0, *breaks], [*breaks, len(at)]):
-            tags, begun = self.viterbi(e[open_[a:b]]), None
+            tags, begun = self.viterbi(e[a:b]), None
             for k, tag in enumerate([*tags, 0]):
                 if tag != 2 and begun is not None:
                     found.append((int(at[a + begun]), int(at[a + k - 1])))
@@ -202,85 +263,128 @@ class Crf:
         return found
 
     @staticmethod
-    def fit(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.15, decay: float = 2e-6) -> Crf:
-        """Likelihood ascent (Adam) over chains of (features, tags), run side by side by length."""
+    def fit(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.3, decay: float = 3e-6) -> Crf:
+        """Likelihood ascent (Adam, with a falling rate) over chains of (features, tags), run side by side.
+
+        Forward and backward sums are scaled at every token.
+        """
         w, m = np.zeros((N, 2)), np.zeros((3, 3))
+        w[0] = -4.0
         state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(m), np.zeros_like(m)]
         width = max(len(t) for _, t in chains)
-        x = np.zeros((len(chains), width, N), np.float32)
-        tags = np.zeros((len(chains), width), int)
-        live = np.zeros((len(chains), width), bool)
+        x = np.zeros((width, len(chains), N), np.float32)
+        tags = np.zeros((width, len(chains)), int)
+        live = np.zeros((width, len(chains)), bool)
         for k, (f, t) in enumerate(chains):
-            x[k, : len(t)], tags[k, : len(t)], live[k, : len(t)] = f, t, True
-        total = live.sum()
-        hot = np.eye(3)[tags] * live[..., None]
-        seen_moves = np.einsum("bti,btj->ij", hot[:, :-1], hot[:, 1:])
+            x[: len(t), k], tags[: len(t), k], live[: len(t), k] = f, t, True
+        flat, total = x.reshape(-1, N), live.sum()
+        hot = (np.eye(3)[tags] * live[..., None]).astype(np.float32)
+        seen_moves = np.einsum("tbi,tbj->ij", hot[:-1], hot[1:])
         for step in range(1, rounds + 1):
-            e = np.concatenate([np.zeros((*x.shape[:2], 1)), x @ w], axis=2)
-            alpha, beta = np.zeros_like(e), np.zeros_like(e)
-            alpha[:, 0] = e[:, 0]
-            for t in range(1, width):
-                nxt = e[:, t] + np.logaddexp.reduce(alpha[:, t - 1, :, None] + m[None], axis=1)
-                alpha[:, t] = np.where(live[:, t, None], nxt, alpha[:, t - 1])
+            e = np.zeros((width, len(chains), 3))
+            e[..., 1:] = (flat @ w.astype(np.float32)).reshape(width, -1, 2)
+            top = np.exp(e - e.max(2, keepdims=True))
+            p_move, alpha, beta, scale = np.exp(m), np.zeros_like(top), np.ones_like(top), np.ones(top.shape[:2])
+            for t in range(width):
+                a = top[t] if not t else np.where(live[t, :, None], (alpha[t - 1] @ p_move) * top[t], alpha[t - 1])
+                scale[t] = a.sum(1)
+                alpha[t] = a / scale[t, :, None]
             for t in range(width - 2, -1, -1):
-                nxt = np.logaddexp.reduce(m[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-                beta[:, t] = np.where(live[:, t + 1, None], nxt, 0)
-            z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-            p = np.exp(alpha + beta - z[:, None, None]) * live[..., None]
-            pair = alpha[:, :-1, :, None] + m[None, None] + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
-            moves = (np.exp(np.minimum(pair, 0)) * live[:, 1:, None, None]).sum((0, 1))
-            gw = np.einsum("btf,btk->fk", x, (hot - p)[..., 1:]) / total - decay * w
+                a = (top[t + 1] * beta[t + 1]) @ p_move.T / scale[t + 1, :, None]
+                beta[t] = np.where(live[t + 1, :, None], a, 1.0)
+            p = alpha * beta
+            p = (p / p.sum(2, keepdims=True) * live[..., None]).astype(np.float32)
+            ahead = top[1:] * beta[1:] / scale[1:, :, None] * live[1:, :, None]
+            moves = p_move * (alpha[:-1].reshape(-1, 3).T @ ahead.reshape(-1, 3))
+            gw = flat.T @ (hot - p).reshape(-1, 3)[:, 1:] / total - decay * w
             gm = (seen_moves - moves) / total - decay * m
             for value, grad, a, b in ((w, gw, state[0], state[1]), (m, gm, state[2], state[3])):
                 a += 0.1 * (grad - a)
-                b += 0.001 * (grad**2 - b)
-                value += rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                b += 0.01 * (grad**2 - b)
+                value += rate * (1 - step / (rounds + 1)) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
         return Crf(w, m)
 
 
-def _chains(texts: list[str], tokens: int, chain: int = 40) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training chains: windows of long tokens around base spans, and as many elsewhere."""
-    out = []
-    rng = np.random.RandomState(7)
-    for text in texts:
-        spans = base_spans(text)
+CHAIN = 24
+
+
+def _made(rng: random.Random, words: list[str], kinds: tuple[str, ...]) -> str:
+    """A value as secrets have it: of one of the kinds that are not held back, or of letters."""
+    draw = lambda letters, a, b: "".join(rng.choices(letters, k=rng.randint(a, b)))
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    plain = [w for w in words if w.isascii() and w.isalpha() and len(w) > 2] or ["plain", "words"]
+    made = [draw(low + up + dig, 12, 44), draw(low + up, 12, 40), draw(low + up + dig + "+/", 20, 60), draw(low, 14, 28), "".join(rng.choices(plain, k=rng.randint(3, 5))).lower()[:40], draw(low + dig, 8, 24)]
+    return rng.choice(made + [draw("0123456789abcdef", 24, 48)] * ("hex" in kinds) + ["AKIA" + draw(up + dig, 16, 16)] * ("access" in kinds))
+
+
+def _planted(text: str, rng: random.Random, kinds: tuple[str, ...]) -> tuple[str, list[tuple[int, int]]]:
+    """A copy of a piece of text with a name in it, and a made value beside it or none; and where the value is."""
+    words = text.split(" ")
+    at, name = rng.randint(0, len(words)), rng.choice(TITLES)
+    name = rng.choice([name, name.capitalize(), name.upper(), "db_" + name])
+    before = " ".join(words[:at]) + " " + name
+    if rng.random() < 0.5:  # prose: plain words follow
+        return before + rng.choice([" ", " is ", ": ", "s ", ", "]) + " ".join(words[at:]), []
+    sign, value = rng.choice([" = ", "=", ": ", " is ", " ", ': "', "='"]), _made(rng, words, kinds)
+    return before + sign + value + rng.choice([" ", '" ', "; "]) + " ".join(words[at:]), [(len(before) + len(sign), len(before) + len(sign) + len(value))]
+
+
+def chains_of(text: str, kinds: tuple[str, ...], most: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training chains of one text: (features, tags) of adjacent tokens, at most ``most`` around its base spans, one anywhere, one around the longest other token, two made ones."""
+    out, rng = [], random.Random(text[:200])
+
+    def add(text: str, secrets: list[tuple[int, int]], pick: int, around: bool) -> None:
         raw = text.encode()
-        data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64)
-        starts, ends, first, long, x = features(data, offsets)
-        if not len(long):
-            continue
-        place = np.cumsum((data & 0xC0) != 0x80) - 1
-        a, tags = place[starts[long]], np.zeros(len(long), int)
-        for s, kind, e in spans:
-            value = ASSIGN.match(text, s).start(2) if kind == 0 else s
-            inside = np.flatnonzero((a >= value) & (a < e))
+        tokens = Tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
+        if not len(tokens.starts):
+            return
+        place = np.cumsum((tokens.data & 0xC0) != 0x80) - 1
+        begins, tags = place[tokens.starts], np.zeros(len(tokens.starts), int)
+        for a, b in secrets:
+            inside = np.flatnonzero((begins >= a) & (begins < b))
             tags[inside] = 2
             tags[inside[:1]] = 1
-        if rng.rand() < 0.5:
-            x = x.copy()
-            x[:, 19:23] = 0
-        marked = np.flatnonzero(tags == 1)[: max(1, tokens // chain)]
-        at = [max(0, int(k) - chain // 2) for k in marked] or [int(rng.randint(len(long)))]
-        out += [(x[k : k + chain], tags[k : k + chain]) for k in at]
+        marked = np.flatnonzero(tags == 1)
+        middles = rng.sample(marked.tolist(), min(pick, len(marked))) if around else [rng.randrange(len(tags)), int(np.where(tags, 0, tokens.ends - tokens.starts).argmax())][:pick]
+        for k in middles:
+            some = np.arange(max(0, k - CHAIN // 2), min(len(tags), k + CHAIN // 2))
+            out.append((tokens.features(some), tags[some]))
+
+    spans = [(ASSIGN.match(text, a).start(2) if k == 0 else a, b) for a, k, b in base_spans(text) if KINDS[k] in kinds]
+    if spans:
+        add(text, spans, most, True)
+    add(text, spans, 2, False)
+    if text:
+        for _ in range(2):
+            at = rng.randrange(len(text))
+            piece = text[max(0, at - 150) : at + 150]
+            if not base_spans(piece):
+                made, secrets = _planted(piece, rng, kinds)
+                add(made, secrets, 1, bool(secrets))
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 1200, train_tokens: int = 400, train_chars: int = 20_000) -> Crf:
-    """Fit on at most ``train_rows`` documents by hash order, half of them with a base match.
+def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 2000, kinds: tuple[str, ...] = KINDS) -> Crf:
+    """Fit on chains of at most ``train_rows`` different texts, those with the least hashes, each read whole.
 
-    Of each, at most ``train_chars`` characters are looked at. Both bounds hold for fitting only.
+    ``kinds``: base kinds whose spans are labels; one that is left out is neither labelled nor made.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    sample = docs.select(F.substring(t, 1, train_chars).alias("t")).withColumn("h", F.xxhash64("t"))
-    has = F.col("t").rlike(r"(?i)(passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}")
-
-    def part(cond) -> list[str]:
-        """The texts with the least hashes. First only the hashes are sorted, so that few bytes come together."""
-        some = sample.filter(cond)
-        least = [r.h for r in some.select("h").distinct().orderBy("h").limit(train_rows // 2).collect()]
-        return [r.t for r in some.filter(F.col("h") <= least[-1]).dropDuplicates(["h"]).select("t", "h").collect()] if least else []
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    least = [r.h for r in texts.select("h").distinct().orderBy("h").limit(train_rows).collect()]
+    if not least:
+        return Crf(np.full((N, 2), -9.0), np.zeros((3, 3)))
 
-    chains = _chains(sorted(part(has) + part(~has)), train_tokens)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                chains = chains_of(text.as_py(), kinds)
+                if chains:  # features are parts of twelve
+                    x, t = [np.round(f * 12).astype(np.uint8).tobytes() for f, _ in chains], [t.astype(np.uint8).tobytes() for _, t in chains]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(t, pa.binary())], names=["x", "t"])
+
+    sample = texts.filter(F.col("h") <= least[-1]).dropDuplicates(["h"]).select("t")
+    rows = sorted((bytes(r.t), bytes(r.x)) for r in sample.mapInArrow(run, "x binary, t binary").collect())
+    chains = [(np.frombuffer(x, np.uint8).reshape(-1, N) / 12, np.frombuffer(t, np.uint8).astype(int)) for t, x in rows]
     if not any(t.any() for _, t in chains):
         return Crf(np.full((N, 2), -9.0), np.zeros((3, 3)))
     return Crf.fit(chains)
@@ -296,11 +400,11 @@ def scan(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "t
             for batch in slices(whole):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 data, offsets = textkernel.buffer_of(batch.column(1))
-                starts, ends, first, long, x = features(data, offsets)
+                tokens = Tokens(data, offsets)
                 extra: dict[int, list[tuple[int, int]]] = {}
-                for a, b in crf.decode(long, first, crf.emissions(x)):
-                    owner = int(np.searchsorted(first, a, "right")) - 1
-                    extra.setdefault(owner, []).append((int(starts[a] - offsets[owner]), int(ends[b] - offsets[owner])))
+                for a, b in crf.decode(tokens):
+                    owner = int(np.searchsorted(tokens.first, a, "right")) - 1
+                    extra.setdefault(owner, []).append((int(tokens.starts[a] - offsets[owner]), int(tokens.ends[b] - offsets[owner])))
                 with_hex = hex_runs(data, offsets)
                 rows: list[list] = [[], [], [], [], [], []]
                 for k, text in enumerate(texts):
