@@ -45,6 +45,7 @@ from .secret_scan import slices
 SKETCH, CHUNKS = 1 << 20, 16
 LEVELS = 5  # bits of a key that say how frequent the shingle is
 SEEN = 200_000
+FEW = 16  # pairs a member
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -344,9 +345,19 @@ def _crowded(search: Search, crowded: DataFrame, star_rounds: int) -> None:
         discard(now)
         if links is not None:
             search.add(links)
-    now = search.with_components(crowded)
-    apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    alive = materialize(now.join(apart, "key", "left_semi").drop("comp"), "alive-members")
+    now = materialize(search.with_components(crowded), "members")
+    parts = now.groupBy("key", "comp").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
+    apart = parts.filter("m * m > same").select("key", (F.expr("m * m - same") > 2 * FEW * F.col("m")).alias("wide"))
+    alive = materialize(now.join(apart, "key"), "alive-members")
+    discard(now)
+    if alive.isEmpty():
+        return
+    # Where few pairs a member are still apart, these are tested.
+    near = alive.filter("not wide")
+    links = search.test(near.alias("x").join(near.alias("y"), "key").filter(F.expr("x.comp <> y.comp and x.id < y.id")))
+    if links is not None:
+        search.add(links)
+    alive = alive.filter("wide").drop("wide", "comp")
     if alive.isEmpty():
         return
     alike = _alike(alive, search)
