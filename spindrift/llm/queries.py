@@ -10,7 +10,7 @@ from . import quality_model, secret_scan
 from .common import table
 from .compact_windows import repeated_passages
 from .decontaminate import leaks
-from .html_extract import main_text
+from .html_extract import fit, main_text
 from .ngram_join import near_duplicates
 from .quality_rules import quality_rules
 from .token_counts import token_counts
@@ -42,7 +42,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, fit(pages))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,59 @@ def test_op6_pages(spark):
     assert by[2].text == "" == by[None].text and by[3].text.startswith("plain text")
 
 
+def test_op6_the_cut_keeps_what_a_threshold_would_lose():
+    para = "A long paragraph that says many things about rivers and stones, and a few about the people there."
+    page = f"<body><div><p>{para}</p><h2>Results</h2><p>{para}</p></div><div><a href=x>Home</a></div><div><a href=y>Shop</a></div></body>"
+    blocks = html_extract.blocks_of(page)
+    scores = [html_extract.score(text, zone, links) for text, zone, links, _, _ in blocks]
+    assert [x > 0 for x in scores] == [True, False, True, False, False]  # by its score alone the heading goes
+    assert html_extract.extract(page) == f"{para}\nResults\n{para}"
+    assert [e[:2] for e in html_extract.edges_of(blocks, 0.6, 0.6)[4:]] == [(0, 1), (1, 2), (3, 4)]  # siblings
+
+
+def test_op6_embedded_elements():
+    text = "This is a sentence of the article, and it is long enough to stand for itself."
+    assert html_extract.extract(f"<article><p>{text}</p><video src=a><p>{text} Two.</p></article>") == f"{text}\n{text} Two."
+    assert html_extract.extract(f"<article><p>{text}</p><video src=a><video src=b>none</video><p>{text} Two.</p></article>") == f"{text}\n{text} Two."
+    assert html_extract.extract(f"<article><p>{text}</p><object><p>in <object>deep</object> out</p></object><p>{text} Two.</p></article>") == f"{text}\n{text} Two."
+    assert html_extract.extract(f"<article><svg><title>x</title><text>y</text></svg><p>{text}</p><select><option>a<option>b</select></article>") == text
+
+
+def generated_pages(rng, n=60):
+    """(page, its article's text): menus, adverts and comments around articles of several makes."""
+    words = ["river", "stone", "walks", "slowly", "under", "bridge", "morning", "light"]
+    say = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b))).capitalize() + "."
+    out = []
+    for i in range(n):
+        blocks = [("h1", say(3, 6)[:-1])] + [(rng.choice(["p", "p", "p", "h2", "li"]), say(8, 60)) for _ in range(rng.randint(3, 9))]
+        blocks = [(t, x if t != "h2" else say(1, 4)[:-1]) for t, x in blocks]
+        body = "".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+        wrap = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<div>{}</div>"]).format(body)
+        menu = "<nav>" + "".join(f"<a href='/{k}'>{rng.choice(words)}</a> " for k in range(6)) + "</nav>"
+        side = f"<div class='sidebar'><p>{say(10, 20)}</p></div><div id='comments'><p>{say(10, 40)}</p></div>"
+        out.append((f"<html><head><title>{blocks[0][1]}</title></head><body>{menu}{wrap}{side}<footer>{say(6, 12)}</footer></body></html>", "\n".join(x for _, x in blocks)))
+    return out
+
+
+def test_op6_f1_on_generated_pages(spark):
+    pages = generated_pages(random.Random(8))
+    table = spark.createDataFrame([(i, "u", p, 1, "x") for i, (p, _) in enumerate(pages)], "page_id long, url string, html string, n_chars int, text string")
+    weights = html_extract.fit(table)
+    got = {r.page_id: r.text for r in html_extract.main_text(table, weights).collect()}
+    right = found = wanted = 0
+    for i, (_, want) in enumerate(pages):
+        a, b = got[i].split("\n"), want.split("\n")
+        right, found, wanted = right + len(set(a) & set(b)), found + len(a), wanted + len(b)
+    assert 2 * right / (found + wanted) >= 0.98
+    empty = table.limit(0)
+    assert html_extract.fit(empty) == html_extract.WEIGHTS and html_extract.main_text(empty).count() == 0
+
+
+def test_op6_long_page():
+    text = "A sentence of some length that says what it says, again."
+    assert html_extract.extract("<article>" + f"<p>{text}</p>" * 20_000 + "</article>").count("\n") == 19_999
+
+
 def test_op6_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
