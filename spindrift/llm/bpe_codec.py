@@ -5,7 +5,9 @@ tokenizer drops anyway) to word buckets; each bucket encodes each distinct word
 corpus and sends the ids back to the blocks that asked; there ids are joined to the words' positions,
 and decoding joins ids to the pieces of the vocabulary, whose size the tokenizer file fixes.
 What moves: each text once, compressed, and each distinct word of a block, so that no row per word
-position is ever shuffled. Blocks hold about ``block_mb`` of text, whatever the table's size.
+position is ever shuffled. A block holds at most ``block_mb`` of text or one longer text: rows are
+grouped by the power of two of their length, longer ones in shorter runs. A block's words for one
+bucket are one row; there are never more such rows than distinct words of blocks.
 
 Null text counts as empty: no tokens, the empty text decoded. Equal rows give equal rows, one out for
 each in; a null id is kept. Extra columns are not carried. A table of no rows gives none.
@@ -44,6 +46,10 @@ def tokenizer_of(path: str):
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
+        spec = json.loads(vocabulary_text(path))
+        cut = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}])[0]
+        if spec.get("decoder") is not None or cut.get("type") != "WhitespaceSplit" and (cut.get("behavior"), cut.get("invert")) != ("Removed", True):
+            raise ValueError(f"{path}: it doesn't drop white space between words, or its decoding isn't joining by spaces")
         found = Tokenizer.from_str(vocabulary_text(path))
         found.no_truncation()
         found.no_padding()
@@ -79,9 +85,13 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_mb: float) -> t
     except AnalysisException:  # not a table of files: blocks must be the same in both scans, so it becomes one
         rows = one(materialize(docs.select(id_col, text_col), "bpe-input"))
     n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    per_block = max(1, int(block_mb * 1e6 * max(n, 1) / max(size or 0, 1)))
-    block = F.xxhash64("file_path", F.floor(F.col("row_index") / per_block))
-    return rows.select("id", "text", block.alias("block")), math.ceil((size or 0) / 1e6)
+    usual = max((size or 0) / max(n, 1), 1.0)
+    per_block = max(1, int(block_mb * 1e6 / usual))
+    # Texts of up to 2 ** k times the usual length, in runs of per_block / 2 ** k rows.
+    kind = F.greatest(F.ceil(F.log2(F.greatest(F.octet_length("text"), F.lit(1)) / usual)), F.lit(0)).cast("int")
+    run = F.greatest(F.floor(F.lit(per_block) / F.pow(F.lit(2.0), kind)), F.lit(1))
+    block = F.xxhash64("file_path", "kind", F.floor(F.col("row_index") / run))
+    return rows.withColumn("kind", kind).select("id", "text", "kind", block.alias("block")), math.ceil((size or 0) / 1e6)
 
 
 def distinct_words(buckets: int):
@@ -93,17 +103,20 @@ def distinct_words(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words = None, set()
+        open_: dict[int, tuple[int, set[bytes]]] = {}  # of each length, the block at hand
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for kind, block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                now, words = open_.get(kind, (None, set()))
                 if block != now:
                     if words:
                         yield send(now, words)
                         release()
-                    now, words = block, set()
-                words.update(text.encode().split())
-        if words:
-            yield send(now, words)
+                    words = set()
+                    open_[kind] = block, words
+                words.update(text.as_buffer().to_pybytes().split())
+        for now, words in open_.values():
+            if words:
+                yield send(now, words)
 
     return run
 
@@ -136,14 +149,13 @@ def pack_texts(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(block)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(block)]):
-                if b > a:
-                    texts = [t.encode() for t in batch.column(2).slice(a, b - a).to_pylist()]
-                    blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-                    sizes = np.array(list(map(len, texts)), np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(1).slice(a, b - a).cast(id_type))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int64()), ids, pa.array([sizes.tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["block", "ids", "sizes", "texts"])
+            for one in np.unique(block):
+                at = pa.array(np.flatnonzero(block == one))
+                texts = [t.as_buffer().to_pybytes() for t in batch.column(2).take(at)]
+                blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+                sizes = np.array(list(map(len, texts)), np.int64)
+                ids = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), batch.column(1).take(at).cast(id_type))
+                yield pa.RecordBatch.from_arrays([pa.array([int(one)], pa.int64()), ids, pa.array([sizes.tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["block", "ids", "sizes", "texts"])
 
     return run
 
@@ -164,7 +176,7 @@ def join_back(path: str, with_ids: bool, with_text: bool):
         for ids, sizes, blob in zip(packed["ids"], packed["sizes"].to_pylist(), packed["texts"].to_pylist()):
             raw, at = zstandard.ZstdDecompressor().decompress(blob), 0
             doc_ids.append(ids.values)
-            for size in np.frombuffer(sizes, np.int32).tolist():
+            for size in np.frombuffer(sizes, np.int64).tolist():
                 words = raw[at : at + size].split()
                 at += size
                 if void:
@@ -199,7 +211,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """
     rows, mb = in_blocks(docs, id_col, text_col, block_mb)
     buckets = max(4, math.ceil(mb / block_mb))
-    asked = rows.select("block", "text").mapInArrow(distinct_words(buckets), "bucket int, block long, words binary")
+    asked = rows.select("kind", "block", "text").mapInArrow(distinct_words(buckets), "bucket int, block long, words binary")
     answered = asked.repartition(buckets, "bucket").mapInArrow(encode_bucket(vocabulary), "block long, words binary, ids binary")
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
