@@ -4,7 +4,7 @@ Per document: counts of words, symbols, repeated lines and repeated five-word wi
 verdict. Beside it lines are normalised (lower case, digits to 0, white space to one space) and hashed;
 per host (``host_col``) the distinct documents of each line are counted, equal texts once. A line that
 more than ``max_share`` of the host's distinct texts hold, and more than ``min_docs`` of them, is
-boilerplate there: it is removed everywhere but in its first document (smallest id), so that text
+boilerplate there (``max_docs`` suffice, however large the host): it is removed everywhere but in its first document (smallest id), so that text
 survives once. A document that passes the base rules is rejected as depleted if removal takes away a
 line and leaves fewer than ``min_words`` words or less than ``min_left`` of its words.
 
@@ -51,6 +51,13 @@ def base_counts(docs: DataFrame, text_col: str = "text", windows_of: int = 5) ->
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_pos")
 
 
+def without_lines(text: Column, hashes: Column) -> Column:
+    """A text without the lines whose normal form has one of the hashes. White space between the others stays."""
+    norm = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[0-9]", "0"), r"[\x20\x09\x0B-\x0D]+", " "))
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, F.xxhash64(norm(x))))
+    return F.when(hashes.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
 def normalized_lines(text: Column) -> Column:
     """Hash, word count and number of each line with a word, each distinct line of a document once."""
     norm = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[0-9]", "0"), r"[\x20\x09\x0B-\x0D]+", " ")), r" ?\n ?")
@@ -66,9 +73,16 @@ def quality_rules(
     max_repeat_pct: int = 20,
     min_docs: int = 20,
     max_share: float = 0.10,
+    max_docs: int = 1000,
     min_left: float = 0.3,
+    with_lines: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, the five counts, n_removed_lines, n_left_words, base_failed, kept."""
+    """One row per row of ``docs``: key (``row_key``), id, the five counts, n_removed_lines, n_left_words, base_failed, kept.
+
+    A line's limit is ``max_share`` of the host's distinct texts, but at least ``min_docs`` and at most
+    ``max_docs`` of them, so that it acts on large hosts, too. ``with_lines`` adds common_lines, the hashes of
+    the lines that a document loses (null if none), for ``without_lines``.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col), F.lit("\x00null")).alias("host"))
     keyed = rows.withColumn("key", row_key("doc_id", "text"))
     # Grouping by the key keeps later filters on the counts from being pushed below and evaluated
@@ -92,17 +106,20 @@ def quality_rules(
         .groupBy("host", "lh").agg(F.count("*").alias("n_docs"), F.min("first_id").alias("first_id"))
     )
     per_host = keyed.groupBy("host", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    common = per_line.filter(F.col("n_docs") > min_docs).join(per_host, "host").filter(F.col("n_docs") > max_share * F.col("host_docs"))
+    limit = F.greatest(F.lit(float(min_docs)), F.least(max_share * F.col("host_docs"), F.lit(float(max_docs))))
+    common = per_line.filter(F.col("n_docs") > min_docs).join(per_host, "host").filter(F.col("n_docs") > limit)
     removed = (
         lines.join(common.select("host", "lh", "first_id"), ["host", "lh"])
         .filter(F.col("id") != F.col("first_id"))
-        .groupBy("key").agg(F.sum("w").alias("removed_words"), F.sum("c").alias("n_removed_lines"))
+        .groupBy("key").agg(F.sum("w").alias("removed_words"), F.sum("c").alias("n_removed_lines"), *[F.collect_set("lh").alias("common_lines")] * with_lines)
     )
-    left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
+    # Equal rows have one key: what was summed over all of them holds for each.
+    each_of = lambda c: F.coalesce(F.expr(f"{c} div copies"), F.lit(0)).cast("long")
+    left = F.col("n_words") - each_of("removed_words")
     depleted = (F.coalesce("removed_words", F.lit(0)) > 0) & ((left < min_words) | (left < min_left * F.col("n_words")))
     out = (
         base.join(removed, "key", "left")
-        .withColumn("n_removed_lines", F.coalesce("n_removed_lines", F.lit(0)).cast("long"))
+        .withColumn("n_removed_lines", each_of("n_removed_lines"))
         .withColumn("n_left_words", left.cast("long"))
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
     )

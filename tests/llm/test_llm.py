@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -89,6 +90,38 @@ def test_op10_boilerplate_goes_but_its_first_document_stays(spark):
     assert got[0] and not any(got[i] for i in range(1, 40)) and all(got[100 + i] for i in range(40))
 
 
+def test_op10_lines_against_brute_force(spark):
+    """Hosts of all sizes, lines of all frequencies: removed lines, verdicts and cleaned texts."""
+    rng = random.Random(31)
+    common = [f"Line  {'abcdef'[k] * 3} of the site notice, number {k}" for k in range(6)]
+    rows = []
+    for i in range(300):
+        own = [sentence(rng, rng.randint(3, 9)) for _ in range(2)]
+        rows.append((i, "\n".join(own + [c for k, c in enumerate(common) if rng.random() < (0.02, 0.05, 0.1, 0.3, 0.6, 0.95)[k]]), "hot" if i < 200 else f"h{i % 3}"))
+    rows += [rows[5], (301, None, "hot"), (302, "", None)]
+    limits = {"min_docs": 4, "max_share": 0.25, "max_docs": 30}
+    norm = lambda x: " ".join(re.sub("[0-9]", "0", x.lower()).split())
+    texts, host_texts = {}, {}
+    for i, t, h in rows:
+        host_texts.setdefault(h, set()).add(t or "")
+        for x in {norm(x) for x in (t or "").split("\n")} - {""}:
+            texts.setdefault((h, x), {}).setdefault(t, i)
+    over = {k: min(v.values()) for k, v in texts.items() if len(v) > max(4, min(0.25 * len(host_texts[k[0]]), 30))}
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.quality_rules(table, with_lines=True, **limits)
+    clean = table.withColumn("key", quality_rules.row_key("doc_id", "text")).dropDuplicates(["key"]).join(got.dropDuplicates(["key"]).select("key", "common_lines", "n_removed_lines", "kept", "base_failed"), "key")
+    clean = clean.withColumn("clean", quality_rules.F.coalesce(quality_rules.without_lines(quality_rules.F.col("text"), quality_rules.F.col("common_lines")), "text")).collect()
+    hit = 0
+    for r in clean:
+        lines = (r.text or "").split("\n")
+        left = [x for x in lines if over.get((r.source, norm(x)), r.doc_id) == r.doc_id]
+        assert r.n_removed_lines == len(lines) - len(left) and r.clean == (r.text if r.text is None else "\n".join(left))
+        words = [len(brute.words("\n".join(x))) for x in (lines, left)]
+        assert r.kept == (not r.base_failed and not (words[1] < words[0] and (words[1] < 10 or words[1] < 0.3 * words[0])))
+        hit += r.n_removed_lines > 0 and not r.kept
+    assert len(over) > 4 and hit > 5
+
+
 def test_op4_counts_prefixes(docs, rows, empty):
     from tokenizers import Tokenizer
 
