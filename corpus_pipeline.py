@@ -16,7 +16,7 @@ from spindrift.llm.bpe_codec import encode_decode
 from spindrift.llm.common import arrow_batches, materialize, row_key, table
 from spindrift.llm.decontaminate import leaks
 from spindrift.llm.ngram_join import near_duplicates
-from spindrift.llm.quality_rules import quality_rules
+from spindrift.llm.quality_rules import quality_rules, without_lines
 from spindrift.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,20 +32,28 @@ def without(docs: DataFrame, dropped: DataFrame, on: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    verdict = quality_rules(docs)
-    return without(docs.withColumn("key", row_key("doc_id", "text")), verdict.filter("not kept"), "key").select(*COLUMNS)
+    """Documents that the quality rules keep, without the lines that are common on their host."""
+    verdict = quality_rules(docs, with_lines=True).filter("not kept or common_lines is not null").select("key", "kept", "common_lines")
+    changed = materialize(verdict.groupBy("key").agg(F.first("kept").alias("kept"), F.first("common_lines").alias("common_lines")), "verdicts")
+    small = changed.count() <= BROADCAST_ROWS
+    rows = docs.withColumn("key", row_key("doc_id", "text")).join(F.broadcast(changed) if small else changed, "key", "left").filter("coalesce(kept, true)")
+    text = without_lines(F.col("text"), F.col("common_lines"))
+    n_chars = F.when(F.col("common_lines").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    return rows.withColumns({"text": text, "n_chars": n_chars}).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least id, once."""
+    """One document of each group of near duplicates: that with the least id, each of its different texts once."""
     groups = materialize(near_duplicates(docs).select("doc_id", "component_id"), "groups")
     kept = without(docs, groups.filter("doc_id <> component_id"), "doc_id").select(*COLUMNS)
     repeated = materialize(groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).union(once)
+    few = repeated.count() <= BROADCAST_ROWS
+    rows = kept.join((F.broadcast(repeated) if few else repeated).withColumn("again", F.lit(True)), "doc_id", "left")
+    each = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = rows.filter("again").groupBy("doc_id", "text").agg(F.min(F.struct(*each)).alias("r")).select("doc_id", "text", *[f"r.{c}" for c in each])
+    return rows.filter("again is null").select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
