@@ -329,13 +329,21 @@ def activity_badges(rec: DataFrame) -> DataFrame:
     return last.join(now, F.lit(True)).select("session_id", "last_ms", F.when(age < 300_000, "live").when(age < 1_800_000, "idle").otherwise("ended").alias("badge"))
 
 
-@query("overlap_flags", """, w AS (SELECT DISTINCT session_id, workspace % 50 AS repo, path, start_ms // 7200000 AS slot FROM rec WHERE tool = 'Edit')
-SELECT DISTINCT session_id, repo, path FROM w a WHERE EXISTS (SELECT 1 FROM w b WHERE b.repo = a.repo AND b.path = a.path AND b.slot = a.slot AND b.session_id <> a.session_id)""")
-def overlap_flags(rec: DataFrame) -> DataFrame:
-    """Sessions that edit one file of one repository in the same two hours; no pair is formed."""
-    w = rec.filter("tool = 'Edit'").select("session_id", (F.col("workspace") % 50).alias("repo"), "path", F.floor(F.col("start_ms") / 7_200_000).alias("slot")).distinct()
-    several = w.groupBy("repo", "path", "slot").agg(F.count("*").alias("n")).filter("n > 1")
-    return w.join(several, ["repo", "path", "slot"], "left_semi").select("session_id", "repo", "path").distinct()
+@query("overlap_flags", """, w AS (SELECT session_id, workspace % 50 AS repo, path, start_ms AS t FROM rec WHERE tool = 'Edit')
+SELECT DISTINCT session_id, repo, path FROM w a WHERE EXISTS (SELECT 1 FROM w b WHERE b.repo = a.repo AND b.path = a.path AND abs(b.t - a.t) <= 7200000 AND b.session_id <> a.session_id)""")
+def overlap_flags(rec: DataFrame, within_ms: int = 7_200_000) -> DataFrame:
+    """Sessions that edit one file of one repository within two hours of another session's edit.
+
+    No pair is formed: of another session, the last edit before and the first one after are the nearest.
+    Of a file's edits in order, a run by one session has them at its borders.
+    """
+    w = rec.filter("tool = 'Edit'").select("session_id", (F.col("workspace") % 50).alias("repo"), "path", F.col("start_ms").alias("t"))
+    by = Window.partitionBy("repo", "path").orderBy("t", "session_id")
+    run = core.running_index(w.withColumn("new", F.coalesce(F.lag("session_id").over(by) != F.col("session_id"), F.lit(True))), ["repo", "path"], ["t", "session_id"], F.col("new"), "run")
+    runs = run.groupBy("repo", "path", "run").agg(F.first("session_id").alias("session_id"), F.min("t").alias("first"), F.max("t").alias("last"))
+    near = Window.partitionBy("repo", "path").orderBy("run")
+    close = (F.col("first") - F.lag("last").over(near) <= within_ms) | (F.lead("first").over(near) - F.col("last") <= within_ms)
+    return runs.withColumn("close", close).filter("close").select("session_id", "repo", "path").distinct()
 
 
 @query("confounders", """, s AS (SELECT session_id, workspace, min(start_ms) AS a, max(start_ms) AS b FROM rec GROUP BY ALL), p AS (SELECT DISTINCT workspace, start_ms AS t, ord FROM rec WHERE event_type = 'purchase' AND k % 10 = 0)
@@ -449,14 +457,32 @@ def checkpoints(rec: DataFrame) -> DataFrame:
 
 
 @query("alert_moves", """, x AS (SELECT workspace, ord, start_ms, CASE event_type WHEN 'error' THEN 'stuck' WHEN 'purchase' THEN 'your-turn' ELSE 'working' END AS level FROM rec),
-m AS (SELECT *, lag(level) OVER (PARTITION BY workspace ORDER BY ord) AS before FROM x), a AS (SELECT * FROM m WHERE before IS NOT NULL AND before <> level AND level <> 'working')
-SELECT workspace, ord, level FROM (SELECT *, start_ms - lag(start_ms) OVER (PARTITION BY workspace ORDER BY ord) AS gap FROM a) WHERE gap IS NULL OR gap >= 300000""")
-def alert_moves(rec: DataFrame) -> DataFrame:
-    """Changes into a level that asks for someone, five minutes or more after the candidate before it."""
+m AS (SELECT *, lag(level) OVER (PARTITION BY workspace ORDER BY ord) AS before FROM x), c AS (SELECT workspace, ord, start_ms, level, row_number() OVER (PARTITION BY workspace ORDER BY ord) AS q FROM m WHERE before IS NOT NULL AND before <> level AND level <> 'working'),
+r AS (WITH RECURSIVE r AS (SELECT workspace, ord, level, q, start_ms AS alerted, true AS sent FROM c WHERE q = 1
+ UNION ALL SELECT c.workspace, c.ord, c.level, c.q, CASE WHEN c.start_ms - r.alerted >= 300000 THEN c.start_ms ELSE r.alerted END, c.start_ms - r.alerted >= 300000 FROM r JOIN c ON c.workspace = r.workspace AND c.q = r.q + 1) SELECT * FROM r)
+SELECT workspace, ord, level FROM r WHERE sent""")
+def alert_moves(rec: DataFrame, quiet_ms: int = 300_000) -> DataFrame:
+    """Changes into a level that asks for someone, five minutes or more after the last alert.
+
+    A fold over a workspace's candidates in order; what is folded is a row for each change of level.
+    """
     level = F.when(F.col("event_type") == "error", "stuck").when(F.col("event_type") == "purchase", "your-turn").otherwise("working")
     moved = core.status_moves(rec.withColumn("level", level), ["workspace"], ["ord"], "level").filter("from_status is not null and level <> 'working'")
-    gap = F.col("start_ms") - F.lag("start_ms").over(Window.partitionBy("workspace").orderBy("ord"))
-    return moved.withColumn("gap", gap).filter("gap is null or gap >= 300000").select("workspace", "ord", "level")
+
+    rows = moved.select("workspace", "ord", "level", "start_ms").repartition("workspace").sortWithinPartitions("workspace", "ord")
+
+    def run(batches):
+        last, alerted = None, None
+        for pdf in batches:
+            sent = []
+            for w, t in zip(pdf["workspace"], pdf["start_ms"]):
+                alerted = alerted if w == last else None
+                last = w
+                sent.append(alerted is None or t - alerted >= quiet_ms)
+                alerted = t if sent[-1] else alerted
+            yield pdf.loc[sent, ["workspace", "ord", "level"]]
+
+    return rows.mapInPandas(run, "workspace long, ord long, level string")
 
 
 @query("board", """, l AS (SELECT session_id, workspace, arg_max(event_type, ord) AS last_type, max(start_ms) AS t FROM rec GROUP BY ALL), b AS (SELECT *, CASE last_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS level FROM l)
