@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SCHEMA = (
     "type string, uuid string, sessionId string, timestamp string, isMeta boolean, isSidechain boolean, agentId string, cwd string, gitBranch string,"
     " message struct<id: string, role: string, model: string, stop_reason: string, content: string,"
-    " usage: struct<input_tokens: long, output_tokens: long, cache_read_input_tokens: long, cache_creation_input_tokens: long>>"
+    " usage: struct<input_tokens: long, output_tokens: long, cache_read_input_tokens: long, cache_creation_input_tokens: long, cache_creation: struct<ephemeral_5m_input_tokens: long, ephemeral_1h_input_tokens: long>>>"
 )
 
 
@@ -65,7 +65,7 @@ def blocks(records: DataFrame) -> DataFrame:
     content = F.col("r.message.content")
     listed = F.from_json(content, f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in BLOCK.split(', '))}>>")
     single = F.array(F.struct(*[F.lit("text").alias("type") if f.startswith("type ") else content.alias("text") if f.startswith("text ") else F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in BLOCK.split(", ")]))
-    rows = records.filter(content.isNotNull()).select("session", "ord", F.col("r.message.id").alias("message_id"), F.col("r.agentId").alias("agent_id"), time_ms(F.col("r.timestamp")).alias("ms"), F.posexplode(F.when(content.startswith("["), listed).otherwise(single)).alias("block", "b"))
+    rows = records.filter(content.isNotNull()).select("session", "ord", F.col("r.message.id").alias("message_id"), F.col("r.agentId").alias("agent_id"), time_ms(F.col("r.timestamp")).alias("ms"), F.posexplode(F.when(content.startswith("[{"), listed).otherwise(single)).alias("block", "b"))
     return rows.select("session", "ord", "message_id", "agent_id", "ms", "block", F.when(F.col("b.type").isin(*KINDS), F.col("b.type")).otherwise("unknown").alias("kind"), "b", F.octet_length(F.coalesce("b.text", "b.input", "b.content", F.lit(""))).alias("bytes"))
 
 
