@@ -321,12 +321,19 @@ def _alike(alive: DataFrame, search: Search) -> DataFrame:
 
 
 def _hopeful(index: DataFrame, percent: int) -> DataFrame:
-    """Rows of an index that some other row of their key may link with, by the least size and the longest rest in it."""
-    of_key = index.groupBy("key").agg(F.min("n").alias("least_n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    """Rows of an index for which their key holds another row that the length and positional filters may pass.
+
+    A row's rest (what follows the shingle, and it) bounds the size of a partner, and the partner's rest that
+    of the row. Sizes are binned, a tenth apart; of each key and bin the largest bound is enough to know.
+    """
     n = F.col("n").cast("long")
-    other = F.greatest(F.col("least_n").cast("long"), F.ceil(n * percent / 100))
-    ok = ((100 + percent) * F.least(n - F.col("pos"), F.col("rest")) >= percent * (n + other))
-    return index.join(of_key, "key").filter(ok).select(*index.columns)
+    bin_of = lambda x: F.floor(F.log(x.cast("double")) / math.log(1.1)).cast("int")
+    rows = index.withColumn("most", F.floor((100 + percent) * (n - F.col("pos")) / percent).cast("long") - n)
+    of_bin = rows.groupBy("key", bin_of(n).alias("bin")).agg(F.max(F.struct("most", "id")).alias("top"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    low, high = F.ceil(n * percent / 100), F.least(F.col("most"), F.floor(n * 100 / percent))
+    asked = rows.filter(high >= low).withColumn("bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    ok = (F.col("top.most") >= n) & ((F.col("lo") != F.col("id")) | (F.col("hi") != F.col("id")))
+    return asked.join(of_bin, ["key", "bin"]).filter(ok).select(*index.columns).distinct()
 
 
 def _of_size(index: DataFrame, least: int, most: int | None = None) -> DataFrame:
