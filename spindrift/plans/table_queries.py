@@ -142,7 +142,7 @@ def rare_shared_words(read) -> DataFrame:
 @query("redaction_report", None)
 def redaction_report(read) -> DataFrame:
     """Masked parts by kind, and documents with any."""
-    counts = read("documents").select(*[c.alias(k) for k, c in tx.redaction_counts(F.col("text")).items()])
+    counts = tx.redacted(read("documents").select("text"), "text", "_out", counts=True)
     kinds = [k for k, _ in tx.REDACTIONS]
     long = counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"`{k}`").alias("n")) for k in kinds])).alias("x")).select("x.kind", "x.n")
     return long.groupBy("kind").agg(F.sum("n").cast("long").alias("masked"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("documents"))
@@ -150,14 +150,15 @@ def redaction_report(read) -> DataFrame:
 
 def _redact_sql(column: str) -> str:
     out = column
-    for kind, pattern in tx.REDACTIONS:
-        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '‹{kind}›', 'g')"
+    for _, pattern, mark, _ in tx.STEPS:
+        mark = mark.replace("$1", chr(92) + "1")
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{mark}', 'g')"
     return out
 
 
 @query("redacted_documents", f"SELECT doc_id, md5({_redact_sql('text')}) AS redacted_md5 FROM documents")
 def redacted_documents(read) -> DataFrame:
-    return read("documents").select("doc_id", F.md5(tx.redact(F.col("text"))).alias("redacted_md5"))
+    return tx.redacted(read("documents").select("doc_id", "text"), "text", "out").select("doc_id", F.md5("out").alias("redacted_md5"))
 
 
 @query("text_lint", """WITH f AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), '[.!?]+(?:\\s+|$)'), lambda s: s <> '') AS s, coalesce(text, '') AS t FROM documents),
