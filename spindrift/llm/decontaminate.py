@@ -5,7 +5,8 @@ of ``SPAN`` tokens under a fixed mask that ignores some of its positions, so tha
 leaves seeds that match. Seeds of test items and of documents are joined; hits of one document and item
 fall on diagonals (document position minus item position). Around the hits of each diagonal the tokens
 are compared and the best run is taken, a match counting 1 and a substitution -``penalty``. A run is a
-leak if it matches ``min_tokens`` tokens or more, or ``min_share`` of a shorter item.
+leak if it matches ``min_tokens`` tokens or more, or ``min_share`` of a shorter item; so is a diagonal on
+which ``min_share`` of the item's tokens stand in their places, whatever is replaced between them.
 
 The documents' windows stay in generated code from the explode to the probe. The item seeds are sent to
 all tasks only while they number at most ``broadcast_rows``; more are joined by shuffle. Only documents
@@ -24,7 +25,7 @@ from .common import materialize
 
 SPAN = 10
 #: The positions that each mask compares.
-MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 6, 8, 9), (0, 2, 3, 5, 6, 7, 9), (0, 1, 2, 5, 7, 8, 9))
+MASKS = ((0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 6, 8, 9), (0, 2, 3, 5, 6, 7, 9), (0, 1, 2, 5, 7, 8, 9), (0, 1, 2, 6, 7, 8, 9))
 
 
 def tokens(text: Column) -> Column:
@@ -67,7 +68,7 @@ def leaks(
     penalty: int = 3,
     broadcast_rows: int = 500_000,
 ) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), item_id, doc_start, doc_end, item_start (tokens), n_matched, n_aligned, n_item, n_seeds: the best run of each pair."""
+    """doc_id, text_hash (xxhash64 of the text), item_id, doc_start, doc_end, item_start (tokens), n_matched, n_aligned, n_item, n_seeds of the best run of each pair, and n_equal, the most tokens in place on one diagonal."""
     tests = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
     tests = tests.withColumn("iw", F.transform(tokens(F.col("item_text")), lambda x: F.xxhash64(x))).filter(F.size("iw") >= SPAN)
     tests = tests.select("item_id", F.xxhash64("item_text").alias("ih"), F.col("iw").alias("hw"))
@@ -93,12 +94,13 @@ def leaks(
     first = F.greatest(-F.col("diagonal"), F.lit(0))  # of the item
     length = F.least(F.size("iw") - first, F.size("dw") - F.col("diagonal") - first)
     aligned = aligned.select("h.doc_id", "h.th", "h.item_id", "h.ih", "n_seeds", "diagonal", F.size("iw").alias("n_item"), first.alias("first"), F.slice("dw", F.col("diagonal") + first + 1, length).alias("a"), F.slice("iw", first + 1, length).alias("b"))
-    run = aligned.withColumn("run", _best_run(F.col("a"), F.col("b"), penalty))
-    run = run.select("doc_id", "th", "item_id", "ih", "n_item", F.struct(
+    equal = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x)).cast("long")
+    run = aligned.withColumn("n_equal", equal).withColumn("run", _best_run(F.col("a"), F.col("b"), penalty))
+    run = run.select("doc_id", "th", "item_id", "ih", "n_item", "n_equal", F.struct(
         F.expr("(run.score + %d * (run.end - run.start)) div %d" % (penalty, penalty + 1)).alias("n_matched"), (F.col("run.end") - F.col("run.start")).cast("long").alias("n_aligned"),
         (-(F.col("diagonal") + F.col("first") + F.col("run.start"))).alias("minus_start"), (F.col("first") + F.col("run.start")).alias("item_start"), "n_seeds",
     ).alias("best"))
-    best = run.groupBy("doc_id", "th", "item_id", "ih", "n_item").agg(F.max("best").alias("best"))
+    best = run.groupBy("doc_id", "th", "item_id", "ih", "n_item").agg(F.max("best").alias("best"), F.max("n_equal").alias("n_equal"))
     best = best.select("doc_id", F.col("th").alias("text_hash"), "item_id", (-F.col("best.minus_start")).cast("long").alias("doc_start"), (-F.col("best.minus_start") + F.col("best.n_aligned")).cast("long").alias("doc_end"),
-                       F.col("best.item_start").cast("long").alias("item_start"), F.col("best.n_matched").cast("long").alias("n_matched"), "best.n_aligned", F.col("n_item").cast("long").alias("n_item"), F.col("best.n_seeds").alias("n_seeds"))
-    return best.filter((F.col("n_matched") >= min_tokens) | (F.col("n_matched") >= min_share * F.col("n_item")))
+                       F.col("best.item_start").cast("long").alias("item_start"), F.col("best.n_matched").cast("long").alias("n_matched"), "best.n_aligned", F.col("n_item").cast("long").alias("n_item"), F.col("best.n_seeds").alias("n_seeds"), "n_equal")
+    return best.filter((F.col("n_matched") >= min_tokens) | (F.greatest("n_matched", "n_equal") >= min_share * F.col("n_item")))

@@ -243,6 +243,19 @@ def test_op5_tolerates_substitutions(spark, docs, empty):
     assert few == set(got)
 
 
+def test_op5_replaced_phrase_in_the_middle_is_a_leak(spark):
+    """Most of the item in its place, a phrase of several words replaced: no run is long enough alone."""
+    rng = random.Random(51)
+    docs, items = [], []
+    for i, (n, replaced) in enumerate([(29, 5), (20, 4), (15, 3), (15, 4), (29, 7)]):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        items.append((i, " ".join(w)))
+        at = n // 2 - replaced // 2
+        docs.append((i, " ".join([f"x{k}" for k in range(30)] + w[:at] + [f"y{k}" for k in range(replaced)] + w[at + replaced :] + ["end"] * 12)))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.n_equal for r in got} == {(0, 0): 24, (1, 1): 16, (2, 2): 12}
+
+
 def test_op6_pages(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><!-- x --><div class='ad'>Buy it now, it is really cheap today.</div>"
