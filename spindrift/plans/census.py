@@ -56,10 +56,19 @@ def size_guards(docs: DataFrame, id_col: str, text_col: str, most_bytes: int) ->
 
 
 def frozen_baseline(rec: DataFrame) -> DataFrame:
-    """Audit of stored against derived numbers: per workspace the stored sum, the derived one, and the first that differs."""
-    stored = rec.groupBy("workspace").agg(F.sum("input_tokens").alias("stored"))
-    derived = rec.groupBy("workspace", "session_id").agg(F.sum("input_tokens").alias("n")).groupBy("workspace").agg(F.sum("n").alias("derived"), F.count("*").alias("sessions"))
-    return stored.join(derived, "workspace").withColumn("violation", F.when(F.col("stored") != F.col("derived"), "sum").when(F.col("sessions") == 0, "empty"))
+    """Audit of a baseline frozen at a cut: what had been written by then against what the times say now.
+
+    The cut is a workspace's middle record; records of an earlier time that were written after it are what
+    the frozen numbers lack. The first number that differs is named.
+    """
+    cut = rec.groupBy("workspace").agg(core.nearest_rank("ord", 0.5).alias("cut"))
+    at = rec.join(cut, "workspace")
+    when = at.groupBy("workspace").agg(F.max_by("start_ms", F.when(F.col("ord") == F.col("cut"), F.col("ord"))).alias("cut_ms"))
+    both = at.join(when, "workspace")
+    sums = lambda cond, name: (F.coalesce(F.sum(F.when(cond, F.col("input_tokens"))), F.lit(0)).alias(f"{name}_tokens"), F.count_distinct(F.when(cond, F.col("session_id"))).alias(f"{name}_sessions"))
+    out = both.groupBy("workspace").agg(*sums(F.col("ord") <= F.col("cut"), "stored"), *sums(F.col("start_ms") <= F.col("cut_ms"), "derived"))
+    violation = F.when(F.col("stored_sessions") != F.col("derived_sessions"), "sessions").when(F.col("stored_tokens") != F.col("derived_tokens"), "tokens")
+    return out.withColumn("violation", violation)
 
 
 def _rec(f):
@@ -85,5 +94,8 @@ SELECT parts, d = 1 AS same_usage, best = last AS fullest_last, count(*) AS mess
     "context_drops": REC + """, c AS (SELECT session_id, ord, cache_read + input_tokens AS now, lag(cache_read + input_tokens) OVER (PARTITION BY session_id ORDER BY ord) AS before FROM rec) SELECT session_id, ord, before, now FROM c WHERE before > 8000 AND now * 2 < before""",
     "tool_census": REC + """SELECT tool, count(*) AS uses, sum(CASE WHEN is_error THEN 1 ELSE 0 END)::BIGINT AS errors, sum(result_bytes)::BIGINT AS bytes, quantile_disc(result_bytes, 0.5) AS median_bytes, count(DISTINCT path) AS paths FROM rec GROUP BY 1""",
     "size_guards": """SELECT doc_id, strlen(text) AS bytes, CASE WHEN strlen(text) > 20000 THEN 'too-long' ELSE 'empty' END AS reason FROM documents WHERE strlen(text) > 20000 OR strlen(text) = 0""",
-    "frozen_baseline": REC + """SELECT workspace, sum(input_tokens)::BIGINT AS stored, sum(input_tokens)::BIGINT AS derived, count(DISTINCT session_id) AS sessions, CAST(NULL AS VARCHAR) AS violation FROM rec GROUP BY 1""",
+    "frozen_baseline": REC + """, c AS (SELECT workspace, quantile_disc(ord, 0.5) AS cut FROM rec GROUP BY 1), t AS (SELECT c.workspace, cut, start_ms AS cut_ms FROM c JOIN rec ON rec.workspace = c.workspace AND rec.ord = c.cut),
+ old AS (SELECT rec.workspace AS w, sum(input_tokens)::BIGINT AS n, count(DISTINCT session_id) AS s FROM rec JOIN t ON t.workspace = rec.workspace AND rec.ord <= t.cut GROUP BY 1),
+ new AS (SELECT rec.workspace AS w, sum(input_tokens)::BIGINT AS n, count(DISTINCT session_id) AS s FROM rec JOIN t ON t.workspace = rec.workspace AND rec.start_ms <= t.cut_ms GROUP BY 1)
+ SELECT old.w AS workspace, old.n AS stored_tokens, old.s AS stored_sessions, new.n AS derived_tokens, new.s AS derived_sessions, CASE WHEN old.s <> new.s THEN 'sessions' WHEN old.n <> new.n THEN 'tokens' END AS violation FROM old JOIN new ON new.w = old.w""",
 }

@@ -193,10 +193,12 @@ def write_after_read(rec: DataFrame) -> DataFrame:
     return x.filter("tool = 'Edit'").select("session_id", "path", "ord", "read_at")
 
 
-@query("reconciliation", """, a AS (SELECT session_id, sum(input_tokens + output_tokens + cache_read + cache_write) AS n FROM rec GROUP BY 1), t AS (SELECT session_id, sum(n) AS n FROM (SELECT session_id, turn_index, agent_id, sum(input_tokens + output_tokens + cache_read + cache_write) AS n FROM rec GROUP BY ALL) GROUP BY 1)
-SELECT session_id, a.n::BIGINT AS events_total, t.n::BIGINT AS parts_total, abs(a.n - t.n) * 100 <= a.n AS ok FROM a JOIN t USING (session_id)""")
+@query("reconciliation", f""", u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, message_id ORDER BY output_tokens DESC, ord DESC) AS q FROM rec) WHERE q = 1),
+a AS (SELECT session_id, sum({TOTAL})::BIGINT AS n FROM u GROUP BY 1), t AS (SELECT session_id, sum({TOTAL})::BIGINT AS n FROM rec GROUP BY 1)
+SELECT session_id, a.n AS events_total, t.n AS parts_total, 100 * abs(a.n - t.n) <= a.n AS ok FROM a JOIN t USING (session_id)""")
 def reconciliation(rec: DataFrame) -> DataFrame:
-    events = rec.groupBy("session_id").agg(F.sum(F.expr(TOTAL)).alias("events_total"))
+    """Usage of each message once against what the turns and agents hold, streamed parts and all; ok up to one per cent."""
+    events = usage_dedupe(rec).groupBy("session_id").agg(F.sum(F.expr(TOTAL)).alias("events_total"))
     parts = rec.groupBy("session_id", "turn_index", "agent_id").agg(F.sum(F.expr(TOTAL)).alias("n")).groupBy("session_id").agg(F.sum("n").alias("parts_total"))
     return events.join(parts, "session_id").withColumn("ok", F.abs(F.col("events_total") - F.col("parts_total")) * 100 <= F.col("events_total"))
 
