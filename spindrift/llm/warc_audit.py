@@ -10,7 +10,7 @@ A tree level is one grouped sum over the level below: no task sees more than ``f
 node, and the top has one row. Files come from number ranges: no file is gathered whole; the running
 offset is a window over the records of one file.
 
-Null ids, urls and bodies are written as empty strings (a null id has the number 0). Rows with one
+Null urls and bodies are written as empty strings; a null id becomes a number below zero, from a hash of url and body. Rows with one
 number are records of one leaf, ordered by their hash. Extra columns are not carried. An empty replica
 has no root; against it every record of the other one is missing or extra.
 """
@@ -39,7 +39,9 @@ def warc_record(number: Column, url: Column, body: Column) -> Column:
 
 def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_file: int = 1024) -> DataFrame:
     """number, file, url, length, digest (SHA-256 of the record's bytes), offset of each record in its file."""
-    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("number"), F.col(url_col).alias("url"), F.col(html_col).alias("body"))
+    # Rows without an id get a number below zero by their content, so that they do not all meet in one file.
+    unnamed = -1 - F.pmod(F.xxhash64(F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))), F.lit(1 << 31))
+    rows = pages.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("number"), F.col(url_col).alias("url"), F.col(html_col).alias("body"))
     record = rows.withColumn("record", warc_record(F.col("number"), F.col("url"), F.col("body")))
     record = record.select("number", "url", F.floor(F.col("number") / per_file).cast("long").alias("file"), F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
     before = Window.partitionBy("file").orderBy("number", "digest").rowsBetween(Window.unboundedPreceding, -1)

@@ -338,9 +338,9 @@ def test_op7_finds_what_is_corrupt(spark):
     schema = "page_id long, url string, html string"
     bad = [(i, u, h + "!" if i in (17, 250) else h) for i, u, h in rows if i != 120] + [(900, "new", "page")]
     one, two = (warc_audit.to_records(spark.createDataFrame(r, schema), per_file=64) for r in (rows, bad))
-    got = warc_audit.audit(one, two, fanout=4)
+    got = warc_audit.audit(one, two, fanout=8)
     assert {(r.number, r.status) for r in got.filter("status <> 'moved'").collect()} == {(17, "corrupt"), (250, "corrupt"), (120, "missing"), (900, "extra")}
-    assert warc_audit.audit(one, one, fanout=4).count() == 0
+    assert warc_audit.audit(one, one, fanout=16).count() == 0
     void = warc_audit.to_records(spark.createDataFrame([], schema))
     assert warc_audit.audit(void, void).count() == 0
     record = spark.createDataFrame([(3, "http://x", "é body")], schema)
