@@ -183,6 +183,32 @@ def projects(files: DataFrame) -> DataFrame:
     return r.groupBy("slug").agg(F.count_distinct("session").alias("sessions"), F.max(ts.time_ms(F.col("r.timestamp"))).alias("last_ms"))
 
 
+def crosswalk(declared: DataFrame, used: DataFrame, keys: list[str], cap: int = 50) -> DataFrame:
+    """Declared against used names: status used, idle or undeclared, calls, sessions, tools; ranked by calls, then name, up to ``cap`` a project."""
+    sums = used.groupBy(*keys).agg(F.count("*").alias("calls"), F.count_distinct("session").alias("sessions"), F.count_distinct("tool").alias("tools"))
+    both = declared.select(*keys, F.lit(True).alias("declared")).distinct().join(sums, keys, "full_outer")
+    status = F.when(F.col("calls").isNull(), "idle").when(F.col("declared"), "used").otherwise("undeclared")
+    out = both.select(*keys, status.alias("status"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("calls", "sessions", "tools")])
+    return core.top_k(out, [keys[0]], [F.col("calls").desc(), keys[1]], cap)
+
+
+def server_crosswalk(files: DataFrame) -> DataFrame:
+    """MCP servers: every project declares search, the even ones db, too."""
+    project = F.col("slug").substr(10, 9).cast("int")
+    declared = files.select("slug", F.explode(F.when(project % 2 == 0, F.array(F.lit("db"), F.lit("search"))).otherwise(F.array(F.lit("search")))).alias("server")).distinct()
+    used = calls(files).filter("server is not null").join(files.select("session", "slug"), "session")
+    return crosswalk(declared, used, ["slug", "server"])
+
+
+def model_drift(files: DataFrame) -> DataFrame:
+    """Models that a project's sessions used against the one configured for it, by whole segments of the name: a setting of a family fits its members."""
+    project = F.col("slug").substr(10, 9).cast("int")
+    configured = files.select("slug", F.when(project < 3, "large").otherwise("small-1").alias("configured")).distinct()
+    seen = usage(files).join(files.select("session", "slug"), "session").groupBy("slug", "model").agg(F.count("*").alias("sessions"), F.sum("messages").alias("messages"))
+    same = (F.col("model") == F.col("configured")) | F.array_contains(F.split("model", "-"), F.col("configured"))
+    return seen.join(configured, "slug").select("slug", "model", "configured", "sessions", "messages", (~same).alias("drift"))
+
+
 def _of_files(f: Callable[[DataFrame], DataFrame]):
     return lambda spark, sf_dir: f(files_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -190,6 +216,7 @@ def _of_files(f: Callable[[DataFrame], DataFrame]):
 QUERIES = {
     "transcript_scan": _of_files(scan_report), "transcript_records": _of_files(record_census), "transcript_blocks": _of_files(block_census), "transcript_calls": _of_files(calls),
     "transcript_usage": _of_files(usage), "transcript_titles": _of_files(titles), "session_inventory": _of_files(inventory), "project_inventory": _of_files(projects),
+    "server_crosswalk": _of_files(server_crosswalk), "model_drift": _of_files(model_drift),
 }
 _CALLS = """, use AS (SELECT session, number, ms, b->>'$.id' AS call, b->>'$.name' AS tool, b->'$.input' AS i FROM bl WHERE kind = 'tool_use'),
 res AS (SELECT * FROM (SELECT session, ms, b->>'$.tool_use_id' AS call, (b->>'$.is_error') = 'true' AS e, row_number() OVER (PARTITION BY session, b->>'$.tool_use_id' ORDER BY number DESC, block DESC) AS q FROM bl WHERE kind = 'tool_result') WHERE q = 1)"""
@@ -205,6 +232,12 @@ SELECT session, type, n, n - kept AS repeats, type IN ('user', 'assistant', 'sys
     "transcript_usage": _sql_files() + """, v AS (SELECT *, row_number() OVER (PARTITION BY session, mid ORDER BY stop IS NOT NULL DESC, (u->>'$.output_tokens')::BIGINT DESC, number DESC) AS q FROM one WHERE u IS NOT NULL),
 w AS (SELECT session, 'large-4' AS model, (u->>'$.input_tokens')::BIGINT AS i, (u->>'$.output_tokens')::BIGINT AS o, (u->>'$.cache_read_input_tokens')::BIGINT AS r, (u->>'$.cache_creation_input_tokens')::BIGINT AS w, coalesce((u->>'$.cache_creation.ephemeral_5m_input_tokens')::BIGINT, 0) AS s, coalesce((u->>'$.cache_creation.ephemeral_1h_input_tokens')::BIGINT, 0) AS l FROM v WHERE q = 1)
 SELECT session, model, count(*) AS messages, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(r)::BIGINT AS cache_read, sum(s)::BIGINT AS short, sum(CASE WHEN w > 0 AND s + l = 0 THEN w ELSE l END)::BIGINT AS long FROM w GROUP BY ALL""",
+    "server_crosswalk": _sql_files() + """, d AS (SELECT DISTINCT slug, 'search' AS server FROM files UNION SELECT slug, 'db' FROM files WHERE right(slug, 1)::INT % 2 = 0),
+u AS (SELECT f.slug AS slug, string_split(b->>'$.name', '__')[2] AS server, count(*) AS calls, count(DISTINCT f.session) AS sessions, count(DISTINCT b->>'$.name') AS tools FROM bl JOIN files f ON f.session = bl.session WHERE kind = 'tool_use' AND starts_with(b->>'$.name', 'mcp__') GROUP BY ALL),
+x AS (SELECT coalesce(d.slug, u.slug) AS slug, coalesce(d.server, u.server) AS server, CASE WHEN calls IS NULL THEN 'idle' WHEN d.slug IS NULL THEN 'undeclared' ELSE 'used' END AS status, coalesce(calls, 0) AS calls, coalesce(sessions, 0) AS sessions, coalesce(tools, 0) AS tools FROM d FULL JOIN u ON d.slug = u.slug AND d.server = u.server)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY calls DESC, server)::INT AS rank FROM x) WHERE rank <= 50""",
+    "model_drift": _sql_files() + """, v AS (SELECT session, slug, count(DISTINCT mid) AS n FROM one WHERE u IS NOT NULL GROUP BY ALL)
+SELECT slug, 'large-4' AS model, CASE WHEN right(slug, 1)::INT < 3 THEN 'large' ELSE 'small-1' END AS configured, count(*) AS sessions, sum(n)::BIGINT AS messages, right(slug, 1)::INT >= 3 AS drift FROM v GROUP BY slug""",
     "project_inventory": _sql_files() + " SELECT slug, count(DISTINCT session) AS sessions, max(ms) AS last_ms FROM one GROUP BY 1",
     "session_inventory": _sql_files() + """, e AS (SELECT session, slug, max(ms) AS last_ms FROM one GROUP BY ALL), x AS (SELECT s.session, p.n, (SELECT count(*) FROM e o WHERE starts_with(o.session, left(s.session, p.n::INT))) AS c FROM e s, (SELECT unnest(range(2, 12)) AS n) p WHERE p.n <= length(s.session)),
 g AS (SELECT session, min(n) AS n FROM x WHERE c = 1 GROUP BY 1) SELECT e.session AS session, slug, (SELECT strlen(content) FROM files f WHERE f.session = e.session) AS bytes, last_ms, row_number() OVER (PARTITION BY slug ORDER BY last_ms DESC, e.session)::INT AS place, left(e.session, g.n::INT) AS prefix FROM e LEFT JOIN g USING (session)""",
