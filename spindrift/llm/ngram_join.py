@@ -252,7 +252,7 @@ class Search:
 
     def __init__(self, rows: DataFrame, profiles: DataFrame, size: int, percent: int, broadcast_rows: int):
         self.rows, self.profiles, self.size, self.percent, self.broadcast_rows = rows, profiles, size, percent, broadcast_rows
-        self.tested = self.labels = None
+        self.tested = self.labels = self.waiting = None
 
     def with_components(self, index: DataFrame) -> DataFrame:
         """Rows of the index with the component that their document is known to belong to."""
@@ -260,8 +260,17 @@ class Search:
             return index.withColumn("comp", F.col("id"))
         return index.join(self.labels, F.col("id") == F.col("node"), "left").select(*index.columns, F.coalesce("component", "id").alias("comp"))
 
-    def add(self, links: DataFrame) -> None:
+    def later(self, links: DataFrame) -> None:
+        """Links (a, b) for the next time that components are made."""
+        self.waiting = links if self.waiting is None else self.waiting.union(links)
+
+    def add(self, links: DataFrame | None = None) -> None:
         """Take links (a, b) into the components. What is known already is a star per component."""
+        if links is not None:
+            self.later(links)
+        links, self.waiting = self.waiting, None
+        if links is None:
+            return
         known = None if self.labels is None else self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         self.labels = materialize(components(links if known is None else links.union(known)), "labels")
 
@@ -363,7 +372,7 @@ def _crowded(search: Search, crowded: DataFrame, star_rounds: int) -> None:
     near = alive.filter("not wide")
     links = search.test(near.alias("x").join(near.alias("y"), "key").filter(F.expr("x.comp <> y.comp and x.id < y.id")))
     if links is not None:
-        search.add(links)
+        search.later(links)
     alive = alive.filter("wide").drop("wide", "comp")
     if alive.isEmpty():
         return
@@ -379,7 +388,7 @@ def _crowded(search: Search, crowded: DataFrame, star_rounds: int) -> None:
     if links is not None:
         also = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
         new = new.union(links).union(mates.join(also, "rep").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    search.add(new)
+    search.later(new)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, star_rounds: int = 2, crowd: int = 32, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -409,8 +418,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(crowded)
     now = search.with_components(sparse)
     links = search.test(now.alias("x").join(now.alias("y"), "key").filter(F.expr("x.comp <> y.comp and x.id < y.id")))
-    if links is not None:
-        search.add(links)
+    search.add(links)
     discard(sparse)
     reps = members.filter("id is not null").join(others, "id", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("node"))
     label = search.labels if search.labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
