@@ -42,7 +42,7 @@ from .common import discard, materialize, release
 from .components import components
 from .secret_scan import slices
 
-SKETCH, CHUNKS = 1 << 20, 16
+SKETCH, CHUNKS = 1 << 22, 16
 LEVELS = 5  # bits of a key that say how frequent the shingle is
 SEEN = 200_000
 FEW = 16  # pairs a member
