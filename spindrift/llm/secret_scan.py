@@ -134,7 +134,7 @@ class Tokens:
         else:
             self.codes = np.zeros(0, np.int64)
         self.name_at = self._names()
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+        digits = np.concatenate([np.zeros(1, np.int32), np.cumsum(_DIGIT[data], dtype=np.int32)])
         self.of_digits = (digits[offsets[1:]] - digits[offsets[:-1]]) > 0.05 * np.maximum(np.diff(offsets), 1)
 
     def _names(self) -> np.ndarray:
@@ -397,7 +397,7 @@ def scan(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = Crf(weights, moves)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 1 << 20):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 data, offsets = textkernel.buffer_of(batch.column(1))
                 tokens = Tokens(data, offsets)
