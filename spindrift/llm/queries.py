@@ -11,8 +11,10 @@ from .common import table
 from .compact_windows import repeated_passages
 from .decontaminate import leaks
 from .html_extract import fit, main_text
+from .lexical_search import search
 from .ngram_join import near_duplicates
 from .quality_rules import quality_rules
+from .source_divergence import divergence
 from .token_counts import token_counts
 from .warc_audit import audit, to_records
 
@@ -76,6 +78,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_bpe_codec": op2_bpe_codec,
@@ -87,6 +97,8 @@ QUERIES = {
     "op8_compact_windows": op8_compact_windows,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE = {
@@ -151,6 +163,28 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT base_failed AND NOT (rw > 0 AND (n_words - rw < 10 OR n_words - rw < 0.3 * n_words)) AS kept,
   CAST(rl AS BIGINT) AS n_removed_lines, CAST(n_words - rw AS BIGINT) AS n_left_words
 FROM f
+""",
+    "op11_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+all_ AS (SELECT count(*) AS nn, sum(len(w))::BIGINT AS ll FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+v AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, all_ GROUP BY term),
+s AS (SELECT item_id, text, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score FROM i JOIN p USING (term) JOIN v USING (term), all_ GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 10
+""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+v AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(*) >= 3), size_ AS (SELECT lang, count(*) AS vv FROM v GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang AS lang, g.source AS source, v.term AS term, coalesce(s.n, 0)::HUGEINT AS n FROM g JOIN v USING (lang) LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM t GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source AND s.term = v.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + vv)::HUGEINT AS p FROM c JOIN size_ USING (lang)),
+a AS (SELECT lang, term, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + vv)::HUGEINT AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL) JOIN size_ USING (lang)),
+pairs AS (SELECT x.lang AS lang, x.source AS source, 'pair' AS part, y.source AS item, coalesce(sum((px.p - py.p) * (px.p - py.p) // py.p), 0) AS value
+  FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source LEFT JOIN p px ON px.lang = x.lang AND px.source = x.source LEFT JOIN p py ON py.lang = y.lang AND py.source = y.source AND py.term = px.term GROUP BY ALL),
+terms AS (SELECT p.lang AS lang, source, 'term' AS part, p.term AS item, (p - q) * (p - q) // q AS value FROM p JOIN a USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 200
 """,
 }
-

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 BLOCK = 1 << 20
 _rng = np.random.RandomState(20240117)
@@ -112,3 +113,39 @@ def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
         for t in short:
             total[at[t]] = (padded[first[t] : first[t + 1]] * _ORDER[: n_words[t]]).sum() + _ORDER[63] * np.uint64(n_words[t])
     return mix(total), at
+
+
+#: Which bytes belong to terms: letters and, with digits, digits; bytes of other than ASCII characters always do.
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+ALNUM = LETTERS.copy()
+ALNUM[48:58] = True
+
+
+def terms_of(texts: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All terms of a batch (maximal runs of the bytes in ``inside``, A-Z lower-cased) and the first term of each text (n + 1)."""
+    data, offsets = buffer_of(texts)
+    keep = inside[data]
+    first = keep.copy()
+    first[1:] &= ~keep[:-1]
+    cuts = offsets[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    first[cuts] = keep[cuts]
+    starts, body = np.flatnonzero(first), LOWER[data[keep]]
+    at = np.append(np.cumsum(keep, dtype=np.int64)[starts] - 1, len(body)) if len(starts) else np.zeros(1, np.int64)
+    terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(body)])
+    return terms, np.searchsorted(starts, offsets)
+
+
+def byte_slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """(first, end) rows of slices that hold ``most`` bytes of text or one row."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    ends = np.cumsum(np.frombuffer(pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes(), np.int64))
+    out, at = [], 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        upto = max(int(np.searchsorted(ends, before + most, "right")), at + 1)
+        out.append((at, upto))
+        at = upto
+    return out
