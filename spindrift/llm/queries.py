@@ -15,6 +15,7 @@ from .lexical_search import search
 from .ngram_join import near_duplicates
 from .quality_rules import quality_rules
 from .source_divergence import divergence
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .warc_audit import audit, to_records
 
@@ -82,6 +83,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("removed")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
     "op11_lexical_search": op11_lexical_search,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
