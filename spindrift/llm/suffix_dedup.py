@@ -46,7 +46,7 @@ BLOCK = 1 << 19
 #: Rows of runs that a task sorts together.
 QUEUE = 20_000
 #: Spans and wanted runs (some 30 bytes each) go to all tasks up to so many; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 20_000
 _OTHER = mix(_BYTE + np.uint64(77)) | np.uint64(1)
 RUN = "key long, bytes_hash long, doc_id long, th long, start int, n int, off int, times int"
 
