@@ -28,10 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .textkernel import LETTERS, byte_slices, mix, terms_of, word_hashes
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 DENSE_BYTES = 64 << 20
 #: Cells of one block of sources and slots.
 BLOCK_CELLS = 4_000_000
@@ -129,6 +129,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             w = keys % len(words)
             h = _key_hashes(words)[w].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(keys // len(words))).cast(pa.string()), words.take(pa.array(w)).cast(pa.binary()), pa.array(h), pa.array(n.astype(np.int64))], ["lang", "term", "h", "n"])
+    release()
 
 
 def vocabulary(docs: DataFrame, min_docs: int = 3) -> DataFrame:
@@ -212,6 +213,7 @@ def _recount(tables):
                             dense[key] = np.zeros(width[name], np.int64)
                         dense[key][slot[part % len(words)]] += m
         yield from given()
+        release()
 
     return run
 
