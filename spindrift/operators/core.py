@@ -187,3 +187,26 @@ def exact_rank_test(df: DataFrame, keys: list[str], side: str, value: str, order
 
     small = top_k(df, [*keys, side], order, most, "_k").select(*keys, side, value)
     return small.groupBy(*keys).applyInPandas(run, schema)
+
+
+def first_match(left: DataFrame, steps: list[tuple[str, DataFrame, dict[str, Column], list]], values: list[str], step: str = "step") -> DataFrame:
+    """``left`` with ``values`` of the first step that has a partner for the row, and that step's name; null where none has.
+
+    A step is (name, right, {right column: what it must equal in left}, order): of the right rows of one key the first in ``order`` counts.
+    Each right side is brought to one row a key first, so that no join multiplies rows. Rows that have found a partner go through later
+    joins by their own keys and match nothing; rows without a key are spread by a hash of their own instead of meeting in one task.
+    """
+    cols = left.columns
+    kinds = {v: steps[0][1].schema[v].dataType.simpleString() for v in values}
+    out = left.withColumns({"_found": F.lit(None).cast("struct<" + ", ".join(f"{v}: {t}" for v, t in kinds.items()) + ">"), step: F.lit(None).cast("string")})
+    for n, (name, right, on, order) in enumerate(steps):
+        keys = list(on)
+        one = first_by(right.dropna(subset=keys), keys, order).select(*[F.col(k).alias(f"_k{k}") for k in keys], F.struct(*values).alias("_v"), F.pmod(F.xxhash64(*keys), F.lit(1)).alias("_kz"))
+        lost = F.greatest(F.lit(False), *[c.isNull() for c in on.values()])
+        out = out.withColumns({**{f"_l{k}": c for k, c in on.items()}, "_lz": F.when(lost, F.pmod(F.xxhash64(*cols), F.lit(4096))).otherwise(F.lit(0).cast("bigint"))})
+        same = F.col("_found").isNull() & (F.col("_lz") == F.col("_kz"))
+        for k in keys:
+            same = same & (F.col(f"_l{k}") == F.col(f"_k{k}"))
+        out = out.join(one, same, "left")
+        out = out.select(*cols, F.coalesce("_found", "_v").alias("_found"), F.when(F.col("_found").isNull() & F.col("_v").isNotNull(), name).otherwise(F.col(step)).alias(step))
+    return out.select(*cols, *[F.col(f"_found.{v}").alias(v) for v in values], step)
