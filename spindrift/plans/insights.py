@@ -40,7 +40,7 @@ def bound_records(events: DataFrame) -> DataFrame:
     command = F.element_at(F.array(*[F.lit(c) for c in COMMANDS]), (k % 6 + 1).cast("int"))
     return rec.withColumns(
         {
-            "main": F.col("agent_id").isNull(), "command": has(F.col("tool") == "Bash", command), "context": k.cast("long") * 2000, "input_bytes": (k * 1700).cast("long"), "thinking": (k * 40).cast("long"), "burst": (k * 100).cast("long"),
+            "main": F.col("agent_id").isNull(), "command": has(F.col("tool") == "Bash", command), "context": F.when(F.col("workspace") % 7 == 0, k.cast("long") * 10).otherwise(k.cast("long") * 2000), "input_bytes": (k * 1700).cast("long"), "thinking": (k * 40).cast("long"), "burst": (k * 100).cast("long"),
             "fresh": (k * 50).cast("long"), "cached": F.when(k % 2 == 0, k * 100).otherwise(k * 10).cast("long"), "wrote_1h": F.when(k % 5 < 4, k * 1000).otherwise(0).cast("long"), "wrote": (k * 1000).cast("long"),
             "compaction": (kind == "signup") & (k % 17 == 0), "interrupt": (kind == "signup") & (k % 11 == 5), "correction": (kind == "signup") & (k % 13 == 7), "queued": (kind == "signup") & (k % 3 == 0),
             "hook": k % 19 == 3, "api_error": F.col("is_error") & (k % 23 == 1), "fallback": k % 29 == 2, "unresolved": F.col("tool").isNotNull() & (k % 31 == 4), "truncated": (F.col("tool") == "Read") & (k % 9 == 0),
@@ -52,7 +52,7 @@ def bound_records(events: DataFrame) -> DataFrame:
 
 BOUND = REC.replace("FROM events)", "FROM (SELECT * REPLACE (user_id // 10 AS user_id) FROM events))") + """,
 b AS (SELECT *, agent_id IS NULL AS main, CASE WHEN tool = 'Bash' THEN CASE k % 6 WHEN 0 THEN 'npm test' WHEN 1 THEN 'git commit -m done' WHEN 2 THEN 'cat src/a.py' WHEN 3 THEN 'git checkout -- f1' WHEN 4 THEN 'make' ELSE 'ls -la src' END END AS command,
-  k::BIGINT * 2000 AS context, k::BIGINT * 1700 AS input_bytes, k::BIGINT * 40 AS thinking, k::BIGINT * 100 AS burst, k::BIGINT * 50 AS fresh, (CASE WHEN k % 2 = 0 THEN k * 100 ELSE k * 10 END)::BIGINT AS cached,
+  CASE WHEN workspace % 7 = 0 THEN k::BIGINT * 10 ELSE k::BIGINT * 2000 END AS context, k::BIGINT * 1700 AS input_bytes, k::BIGINT * 40 AS thinking, k::BIGINT * 100 AS burst, k::BIGINT * 50 AS fresh, (CASE WHEN k % 2 = 0 THEN k * 100 ELSE k * 10 END)::BIGINT AS cached,
   (CASE WHEN k % 5 < 4 THEN k * 1000 ELSE 0 END)::BIGINT AS wrote_1h, k::BIGINT * 1000 AS wrote, event_type = 'signup' AND k % 17 = 0 AS compaction, event_type = 'signup' AND k % 11 = 5 AS interrupt,
   event_type = 'signup' AND k % 13 = 7 AS correction, event_type = 'signup' AND k % 3 = 0 AS queued, k % 19 = 3 AS hook, is_error AND k % 23 = 1 AS api_error, k % 29 = 2 AS fallback, tool IS NOT NULL AND k % 31 = 4 AS unresolved,
   coalesce(tool = 'Read' AND k % 9 = 0, false) AS truncated, CASE WHEN event_type = 'view' AND k % 8 = 1 THEN k::BIGINT * 10000 END AS attached, CASE WHEN k % 37 = 6 THEN k::BIGINT * 4000 END AS miss,
@@ -81,6 +81,13 @@ def annotated(b: DataFrame) -> DataFrame:
         }
     )
     df = df.withColumn("run", F.when(F.col("main") & read, count(read, "main", "turn_index", "break")))
+    # What a call and an agent add to the time that calls before it, or agents before it, have covered; a turn's length at its first record.
+    end, own = F.col("start_ms") + F.col("duration_ms"), F.col("main") & call & ~F.coalesce(F.col("tool").isin("Task", "Agent"), F.lit(False))
+    agent_first = F.col("agent_id").isNotNull() & (F.row_number().over(of("agent_id").orderBy("ord")) == 1)
+    df = df.withColumns({"tool_end": F.when(own, end), "agent_from": F.when(agent_first, F.min("start_ms").over(of("agent_id"))), "agent_to": F.when(agent_first, F.max(end).over(of("agent_id"))),
+                         "turn_ms": F.when((F.col("turn_index") >= 0) & (F.row_number().over(of("turn_index").orderBy("ord")) == 1), F.max(end).over(of("turn_index")) - F.min("start_ms").over(of("turn_index")))})
+    covers = lambda a, z, *order: F.greatest(F.lit(0), F.col(z) - F.greatest(F.col(a), F.coalesce(F.max(z).over(of().orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.col(a))))
+    df = df.withColumns({"tool_adds": F.when(own, covers("start_ms", "tool_end", "start_ms", "ord")), "agent_adds": F.when(F.col("agent_from").isNotNull(), covers("agent_from", "agent_to", "agent_from", "ord"))})
     again = F.when(F.col("first_read") & (F.col("reads") > 1), F.col("reads") - 1)
     return df.withColumn("again", again).withColumn("again_rank", F.row_number().over(of().orderBy(F.col("again").desc_nulls_last(), "path", "ord")))
 
@@ -96,7 +103,12 @@ a0 AS (SELECT *, CASE WHEN command IN ('npm test') THEN 'test' WHEN command = 'm
   last_value(CASE WHEN tool = 'Read' AND NOT is_error THEN result_bytes END IGNORE NULLS) OVER (PARTITION BY session_id, agent_id, path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS read_before,
   sum(CASE WHEN tool = 'Read' THEN 0 ELSE 1 END) OVER (PARTITION BY session_id, main, turn_index ORDER BY ord ROWS UNBOUNDED PRECEDING) AS brk
   FROM b WINDOW p AS (PARTITION BY session_id, path), ag AS (PARTITION BY session_id, agent_id), s AS (PARTITION BY session_id ORDER BY ord)),
-a1 AS (SELECT *, CASE WHEN main AND tool = 'Read' THEN count(CASE WHEN tool = 'Read' THEN 1 END) OVER (PARTITION BY session_id, main, turn_index, brk) END AS run, CASE WHEN first_read AND reads > 1 THEN reads - 1 END AS again FROM a0),
+a0b AS (SELECT *, CASE WHEN main AND tool IS NOT NULL THEN start_ms + duration_ms END AS tool_end, CASE WHEN ag1 THEN min(start_ms) OVER ag END AS agent_from, CASE WHEN ag1 THEN max(start_ms + duration_ms) OVER ag END AS agent_to,
+  CASE WHEN turn_index >= 0 AND row_number() OVER (PARTITION BY session_id, turn_index ORDER BY ord) = 1 THEN max(start_ms + duration_ms) OVER tn - min(start_ms) OVER tn END AS turn_ms
+  FROM (SELECT *, agent_id IS NOT NULL AND row_number() OVER (PARTITION BY session_id, agent_id ORDER BY ord) = 1 AS ag1 FROM a0) WINDOW ag AS (PARTITION BY session_id, agent_id), tn AS (PARTITION BY session_id, turn_index)),
+a0c AS (SELECT *, greatest(0, tool_end - greatest(start_ms, coalesce(max(tool_end) OVER (PARTITION BY session_id ORDER BY start_ms, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_ms))) AS tool_adds,
+  CASE WHEN ag1 THEN greatest(0, agent_to - greatest(agent_from, coalesce(max(agent_to) OVER (PARTITION BY session_id ORDER BY agent_from, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), agent_from))) END AS agent_adds FROM a0b),
+a1 AS (SELECT *, CASE WHEN main AND tool = 'Read' THEN count(CASE WHEN tool = 'Read' THEN 1 END) OVER (PARTITION BY session_id, main, turn_index, brk) END AS run, CASE WHEN first_read AND reads > 1 THEN reads - 1 END AS again FROM a0c),
 a AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY again DESC NULLS LAST, path, ord) AS again_rank FROM a1)"""
 
 
@@ -115,10 +127,10 @@ def facts(a: DataFrame) -> DataFrame:
         total(F.floor(c("result_bytes") / 4), call & main & (c("result_bytes") >= 40_000)).alias("large_tokens"), n(c("run") >= 4).alias("run_calls"), total(c("duration_ms"), c("run") >= 4).alias("run_ms"),
         n(c("compaction")).alias("compactions"), most(c("context"), main).alias("peak"), most(c("context"), main & c("first_main")).alias("baseline"), total(c("cached"), main).alias("cached"), total(c("fresh"), main).alias("fresh"),
         total(c("after_ms"), c("event_type") == "signup").alias("wait_ms"), (F.max("start_ms") - F.min("start_ms")).alias("wall_ms"), F.count_distinct("agent_id").alias("agents"), n(agent & c("agent_last") & (c("agent_calls") == 0) & (c("agent_rows") <= 2)).alias("idle_agents"),
-        n(c("hook") & c("is_error")).alias("hook_errors"), total(c("duration_ms"), c("hook")).alias("hook_ms"), total(c("duration_ms"), call).alias("tool_ms"), n(c("interrupt")).alias("interrupts"), n(c("correction")).alias("corrections"), n(c("api_error")).alias("api_errors"),
+        n(c("hook") & c("is_error")).alias("hook_errors"), total(c("duration_ms"), c("hook")).alias("hook_ms"), total(c("turn_ms")).alias("active_ms"), total(c("tool_adds"), c("tool_end").isNotNull()).alias("tool_ms"), total(c("agent_adds")).alias("agent_ms"), n(c("interrupt")).alias("interrupts"), n(c("correction")).alias("corrections"), n(c("api_error")).alias("api_errors"),
         n(c("fallback")).alias("fallbacks"), n((c("tool") == "Edit") & (c("input_bytes") >= 20_000)).alias("large_writes"), total(F.floor(c("input_bytes") / 4), (c("tool") == "Edit") & (c("input_bytes") >= 20_000)).alias("write_tokens"),
         core.nearest_rank("answer_ms", 0.95).alias("answer_p95"), n(c("event_type") == "signup").alias("turns"), n(c("unresolved")).alias("unresolved"), F.max_by("is_error", F.when(main & (c("class") == "test"), c("ord"))).alias("test_failed"),
-        n((c("tool") == "Edit")).alias("edits"), n(c("class").isin("test", "build")).alias("checks"), n(~F.coalesce(c("tool") == "Task", F.lit(False)) & call & (c("tool_calls") >= 5) & (c("tool_rank") == F.ceil(c("tool_calls") * 95 / 100)) & (c("duration_ms") > 30_000)).alias("slow_tools"),
+        n((c("tool") == "Edit")).alias("edits"), n(c("class").isin("test", "build")).alias("checks"), n(~F.coalesce(c("tool").isin("Task", "Agent"), F.lit(False)) & call & (c("tool_calls") >= 5) & (c("tool_rank") == F.ceil(c("tool_calls") * 95 / 100)) & (c("duration_ms") > 30_000)).alias("slow_tools"),
         n(agent & c("agent_last") & c("is_error")).alias("failed_agents"), most(c("depth")).alias("depth"), n(c("miss") > 0).alias("misses"), most(c("miss")).alias("most_missed"), total(c("miss")).alias("missed"), total(c("wrote"), main).alias("wrote"), total(c("wrote_1h"), main).alias("wrote_1h"),
         n(main & (c("gap") >= 0)).alias("gaps"), core.nearest_rank("case when main and gap >= 0 then gap end", 0.5).alias("gap_median"), n(c("truncated")).alias("truncated"), most(c("truncated_here")).alias("truncated_same"), total(c("attached"), c("attached") > 500_000).alias("attached_bytes"),
         n(c("queued")).alias("queued"), total(c("thinking"), (c("thinking") > 2000) & (c("in_message") == 1) & call).alias("thinking"), n(c("burst") > 8000).alias("bursts"), n((c("burst") > 8000) & (c("tool") == "Edit")).alias("write_bursts"),
@@ -134,7 +146,7 @@ f0 AS (SELECT session_id, sum({TOTAL})::BIGINT AS used, count(tool) AS calls, co
   coalesce(sum(CASE WHEN tool IS NOT NULL AND main AND result_bytes >= 40000 THEN result_bytes // 4 END), 0)::BIGINT AS large_tokens, count(CASE WHEN run >= 4 THEN 1 END) AS run_calls, coalesce(sum(CASE WHEN run >= 4 THEN duration_ms END), 0)::BIGINT AS run_ms,
   count(CASE WHEN compaction THEN 1 END) AS compactions, coalesce(max(CASE WHEN main THEN context END), 0) AS peak, coalesce(max(CASE WHEN main AND first_main THEN context END), 0) AS baseline, coalesce(sum(CASE WHEN main THEN cached END), 0)::BIGINT AS cached, coalesce(sum(CASE WHEN main THEN fresh END), 0)::BIGINT AS fresh,
   coalesce(sum(CASE WHEN event_type = 'signup' THEN after_ms END), 0)::BIGINT AS wait_ms, max(start_ms) - min(start_ms) AS wall_ms, count(DISTINCT agent_id) AS agents, count(CASE WHEN NOT main AND agent_last AND agent_calls = 0 AND agent_rows <= 2 THEN 1 END) AS idle_agents,
-  count(CASE WHEN hook AND is_error THEN 1 END) AS hook_errors, coalesce(sum(CASE WHEN hook THEN duration_ms END), 0)::BIGINT AS hook_ms, coalesce(sum(CASE WHEN tool IS NOT NULL THEN duration_ms END), 0)::BIGINT AS tool_ms, count(CASE WHEN interrupt THEN 1 END) AS interrupts, count(CASE WHEN correction THEN 1 END) AS corrections,
+  count(CASE WHEN hook AND is_error THEN 1 END) AS hook_errors, coalesce(sum(CASE WHEN hook THEN duration_ms END), 0)::BIGINT AS hook_ms, coalesce(sum(turn_ms), 0)::BIGINT AS active_ms, coalesce(sum(CASE WHEN tool_end IS NOT NULL THEN tool_adds END), 0)::BIGINT AS tool_ms, coalesce(sum(agent_adds), 0)::BIGINT AS agent_ms, count(CASE WHEN interrupt THEN 1 END) AS interrupts, count(CASE WHEN correction THEN 1 END) AS corrections,
   count(CASE WHEN api_error THEN 1 END) AS api_errors, count(CASE WHEN fallback THEN 1 END) AS fallbacks, count(CASE WHEN tool = 'Edit' AND input_bytes >= 20000 THEN 1 END) AS large_writes, coalesce(sum(CASE WHEN tool = 'Edit' AND input_bytes >= 20000 THEN input_bytes // 4 END), 0)::BIGINT AS write_tokens,
   quantile_disc(answer_ms, 0.95) AS answer_p95, count(CASE WHEN event_type = 'signup' THEN 1 END) AS turns, count(CASE WHEN unresolved THEN 1 END) AS unresolved, arg_max(is_error, CASE WHEN main AND class = 'test' THEN ord END) AS test_failed,
   count(CASE WHEN tool = 'Edit' THEN 1 END) AS edits, count(CASE WHEN class IN ('test', 'build') THEN 1 END) AS checks, count(CASE WHEN tool IS NOT NULL AND tool_calls >= 5 AND tool_rank = ceil(tool_calls * 95 / 100) AND duration_ms > 30000 THEN 1 END) AS slow_tools,
@@ -164,7 +176,7 @@ _rule("human-wait-dominates", "wall_ms >= 600000 and wait_ms >= 0.5 * wall_ms",
 _rule("agent-fanout", "agents > 0", 0)
 _rule("idle-agents", "idle_agents > 0", 1)
 _rule("hook-errors", "hook_errors > 0", "case when hook_errors >= 5 then 2 else 1 end")
-_rule("hook-latency", "hook_ms > 60000 or hook_ms > 0.05 * tool_ms", 1)
+_rule("hook-latency", "hook_ms > 60000 or hook_ms > 0.05 * active_ms", 1)
 _rule("interruptions", "interrupts >= 2", "case when interrupts >= 4 then 2 else 1 end")
 _rule("user-corrections", "corrections >= 2", "case when corrections >= 4 then 3 else 2 end")
 _rule("api-errors", "api_errors > 0", "case when api_errors >= 5 then 2 else 1 end")
@@ -173,11 +185,11 @@ _rule("large-writes", "large_writes > 0", "case when write_tokens > 40000 then 2
 _rule("slow-first-response", "answer_p95 >= 30000 and turns >= 5", 1)
 _rule("unresolved-tool-calls", "unresolved > 0", 1)
 _rule("unverified-edits", "test_failed or (edits > 0 and checks = 0)", "case when test_failed then 3 else 2 end")
-_rule("cache-dominates-tokens", "cached >= 100 * greatest(fresh, 1)", "case when cached >= 750000000 then 3 else 0 end")
+_rule("cache-dominates-tokens", "peak > 0 and cached >= 100 * peak", "case when used >= 750000000 then 3 else 0 end")
 _rule("slow-tool", "slow_tools > 0", 1)
 _rule("failed-agents", "failed_agents > 0", "case when failed_agents >= 2 then 2 else 1 end")
 _rule("deep-fanout", "depth >= 3", 0)
-_rule("time-budget", "wall_ms >= 60000 and tool_ms >= 0.75 * wall_ms", 0)
+_rule("time-budget", "active_ms >= 60000 and least(greatest(tool_ms, agent_ms), active_ms) >= 0.75 * active_ms", 0)
 _rule("cache-invalidation", "misses > 0", "case when most_missed > 300000 or (misses > 3 and missed >= 50000) then 3 when most_missed >= 50000 or misses > 3 then 2 else 1 end")
 _rule("cache-ttl-churn", "wrote >= 100000 and wrote_1h > 0.75 * wrote", "case when gaps >= 3 and gap_median < 300000 then 2 else 0 end")
 _rule("truncated-reads", "truncated > 0", "case when truncated_same >= 2 then 2 else 1 end")
@@ -240,7 +252,7 @@ _CASES = """
  ('agent-fanout', agents > 0, 0, 0),
  ('idle-agents', idle_agents > 0, 1, 0),
  ('hook-errors', hook_errors > 0, if(hook_errors > 4, 2, 1), 0),
- ('hook-latency', hook_ms > 60000 OR hook_ms * 20 > tool_ms, 1, 0),
+ ('hook-latency', hook_ms > 60000 OR hook_ms * 20 > active_ms, 1, 0),
  ('interruptions', interrupts > 1, if(interrupts > 3, 2, 1), 0),
  ('user-corrections', corrections > 1, if(corrections > 3, 3, 2), 0),
  ('api-errors', api_errors > 0, if(api_errors > 4, 2, 1), 0),
@@ -249,11 +261,11 @@ _CASES = """
  ('slow-first-response', answer_p95 >= 30000 AND turns > 4, 1, 0),
  ('unresolved-tool-calls', unresolved > 0, 1, 0),
  ('unverified-edits', coalesce(test_failed, false) OR (edits > 0 AND checks = 0), if(coalesce(test_failed, false), 3, 2), 0),
- ('cache-dominates-tokens', cached >= 100 * greatest(fresh, 1), if(cached >= 750000000, 3, 0), 0),
+ ('cache-dominates-tokens', peak > 0 AND cached // peak >= 100, if(used >= 750000000, 3, 0), 0),
  ('slow-tool', slow_tools > 0, 1, 0),
  ('failed-agents', failed_agents > 0, if(failed_agents > 1, 2, 1), 0),
  ('deep-fanout', depth > 2, 0, 0),
- ('time-budget', wall_ms >= 60000 AND tool_ms * 4 >= 3 * wall_ms, 0, 0),
+ ('time-budget', active_ms >= 60000 AND greatest(tool_ms, agent_ms) * 4 >= 3 * active_ms, 0, 0),
  ('cache-invalidation', misses > 0, if(most_missed > 300000 OR (misses > 3 AND missed >= 50000), 3, if(most_missed >= 50000 OR misses > 3, 2, 1)), 0),
  ('cache-ttl-churn', wrote >= 100000 AND wrote_1h * 4 > 3 * wrote, if(gaps > 2 AND gap_median < 300000, 2, 0), 0),
  ('truncated-reads', truncated > 0, if(truncated_same > 1, 2, 1), 0),

@@ -21,11 +21,11 @@ a AS (
  UNION ALL SELECT session, number * 1000 + 10 + i, ms, 'result', b->>'$.tool_use_id', NULL, NULL, NULL, CASE WHEN j->>'$.toolUseResult.backgroundTaskId' IS NOT NULL THEN 'launched' END, NULL FROM b WHERE type = 'user' AND b->>'$.type' = 'tool_result'
  UNION ALL SELECT session, number * 1000 + 20, ms, CASE WHEN text LIKE '<task-notification>%' THEN 'notification' ELSE 'prompt' END, regexp_extract(text, '<tool-use-id>([^<]*)<', 1), NULL, CASE WHEN text NOT LIKE '<%' THEN text END, NULL,
    CASE WHEN text LIKE '%<status>%' THEN 'ended' END, NULL FROM p WHERE type = 'user' AND NOT starts_with(text, '[Request interrupted')
- UNION ALL SELECT session, number * 1000 + 30, ms, 'clear', NULL, NULL, NULL, NULL, NULL, NULL FROM m WHERE type = 'assistant'
- UNION ALL SELECT session, number * 1000 + 32, ms, 'context', NULL, NULL, NULL, NULL, NULL, (u->>'$.input_tokens')::BIGINT + (u->>'$.cache_read_input_tokens')::BIGINT + (u->>'$.cache_creation_input_tokens')::BIGINT FROM m WHERE type = 'assistant' AND u IS NOT NULL
+ UNION ALL SELECT session, number * 1000 + 30, ms, 'clear', NULL, NULL, NULL, NULL, NULL, NULL FROM m WHERE type = 'assistant' AND j->>'$.message.model' <> '<synthetic>'
+ UNION ALL SELECT session, number * 1000 + 32, ms, 'context', NULL, NULL, NULL, NULL, NULL, (u->>'$.input_tokens')::BIGINT + (u->>'$.cache_read_input_tokens')::BIGINT + (u->>'$.cache_creation_input_tokens')::BIGINT FROM m WHERE type = 'assistant' AND u IS NOT NULL AND j->>'$.message.model' <> '<synthetic>'
  UNION ALL SELECT session, number * 1000 + 40 + i, ms, 'call', b->>'$.id', b->>'$.name', NULL, CASE WHEN b->>'$.name' = 'Edit' THEN b->>'$.input.file_path' END,
    CASE WHEN b->>'$.name' = 'Task' THEN 'subagent' WHEN b->>'$.input.run_in_background' = 'true' THEN 'background' END, NULL FROM b WHERE type = 'assistant' AND b->>'$.type' = 'tool_use'
- UNION ALL SELECT session, number * 1000 + 40 + i, ms, 'reply', NULL, NULL, b->>'$.text', NULL, NULL, NULL FROM b WHERE type = 'assistant' AND b->>'$.type' = 'text' AND trim(b->>'$.text') <> ''
+ UNION ALL SELECT session, number * 1000 + 40 + i, ms, 'reply', NULL, NULL, b->>'$.text', NULL, NULL, NULL FROM b WHERE type = 'assistant' AND b->>'$.type' = 'text' AND trim(b->>'$.text') <> '' AND j->>'$.message.model' <> '<synthetic>'
  UNION ALL SELECT session, number * 1000 + 70, ms, CASE sub WHEN 'turn_duration' THEN 'turn-end' ELSE 'error' END, NULL, NULL, j->>'$.error.message', NULL, replace(sub, '_', '-'), NULL FROM m WHERE type = 'system'
  UNION ALL SELECT session, number * 1000 + 80, ms, 'pr', NULL, NULL, j->>'$.prUrl', NULL, NULL, NULL FROM m WHERE type = 'pr-link'),
 x AS (SELECT *, count(CASE WHEN kind = 'prompt' THEN 1 END) OVER (PARTITION BY session ORDER BY ord) AS t FROM a)"""

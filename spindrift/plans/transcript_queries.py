@@ -35,10 +35,13 @@ def line_expressions(q: str) -> list[tuple[str, str]]:
     first = f"concat('{{\"type\":\"assistant\",\"uuid\":\"a', conv_id, '-', turn, {head}, '\"id\":\"m', conv_id, '-', turn, '\",\"role\":\"assistant\",\"model\":\"us.vendor.large-4-20250101-v1:0\",\"content\":[{{\"type\":\"text\",\"text\":', {q}, '}},{{\"type\":\"thinking\",\"thinking\":\"so\"}}],', {_USAGE.replace('OUT', '1')}, '}}}}')"
     call = f"concat('{{\"type\":\"assistant\",\"uuid\":\"b', conv_id, '-', turn, {head}, '\"id\":\"m', conv_id, '-', turn, '\",\"role\":\"assistant\",\"model\":\"us.vendor.large-4-20250101-v1:0\",\"stop_reason\":\"tool_use\",\"content\":[{{\"type\":\"tool_use\",\"id\":\"c', conv_id, '-', turn, '\",\"name\":\"', {_TOOL}, '\",\"input\":', {_INPUT}, '}}],', {_USAGE.replace('OUT', 'conv_id % 40 + 2')}, '}}}}')"
     done = f"concat('{{\"type\":\"user\",\"uuid\":\"r', conv_id, '-', turn, '\",\"sessionId\":\"s', conv_id, '\",\"timestamp\":', (1704067200 + conv_id * 3600 + turn * 60 + conv_id % 13 - 2) * 1000, ',\"message\":{{\"role\":\"user\",\"content\":[{{\"type\":\"tool_result\",\"tool_use_id\":\"c', conv_id, '-', turn, '\",\"is_error\":', CASE WHEN conv_id % 6 = 1 THEN 'true' ELSE 'false' END, ',\"content\":\"done ', turn, '\"}}]}}}}')"
+    anon = f"concat('{{\"type\":\"assistant\",\"uuid\":\"d', conv_id, '-', turn, {head}, '\"role\":\"assistant\",\"model\":\"us.vendor.large-4-20250101-v1:0\",\"content\":[{{\"type\":\"text\",\"text\":\"no id\"}}],', {_USAGE.replace('OUT', '7')}, '}}}}')"
+    made = f"concat('{{\"type\":\"assistant\",\"uuid\":\"y', conv_id, '-', turn, {head}, '\"id\":\"y', conv_id, '-', turn, '\",\"role\":\"assistant\",\"model\":\"<synthetic>\",\"content\":[{{\"type\":\"text\",\"text\":\"limit reached\"}}],', {_USAGE.replace('OUT', '5')}, '}}}}')"
     title = "concat('{\"type\":\"', CASE WHEN conv_id % 12 = 0 THEN 'custom-title' ELSE 'ai-title' END, '\",\"sessionId\":\"s', conv_id, '\",\"title\":\"Title ', conv_id, '\"}')"
     return [
         ("turn = 0 AND conv_id % 6 = 0", title), ("turn = 0 AND conv_id % 9 = 2", "concat('{\"type\":\"mystery\",\"uuid\":\"x', conv_id, '\"}')"), ("role = 'user'", user), ("turn = 1 AND conv_id % 7 = 0", "' {\"type\":\"user\"}'"), ("turn = 1 AND conv_id % 7 = 1", "'{\"type\":\"user\", broken'"),
         ("turn = 1 AND conv_id % 5 = 0", "''"), ("role = 'assistant'", first), ("role = 'assistant'", call), ("role = 'assistant' AND conv_id % 8 = 1", call), ("role = 'assistant' AND (conv_id + turn) % 7 <> 0", done),
+        ("role = 'assistant' AND conv_id % 13 = 3", anon), ("role = 'assistant' AND conv_id % 17 = 5", made),
     ]
 
 
@@ -130,14 +133,9 @@ def calls(files: DataFrame) -> DataFrame:
 
 def usage(files: DataFrame) -> DataFrame:
     """Tokens of each session and model, every provider message once; a cache write without a split is a long one."""
-    u = F.col("r.message.usage")
-    rows = ts.first_of_uuid(records_of(files)).filter(u.isNotNull()).select(
-        "session", "ord", F.col("r.message.id").alias("message_id"), tx.normalize_model(F.col("r.message.model")).alias("model"), F.col("r.message.stop_reason").alias("stop"), u["input_tokens"].alias("input_tokens"), u["output_tokens"].alias("output_tokens"),
-        u["cache_read_input_tokens"].alias("cache_read"), u["cache_creation_input_tokens"].alias("wrote"), F.coalesce(u["cache_creation"]["ephemeral_5m_input_tokens"], F.lit(0)).alias("short"), F.coalesce(u["cache_creation"]["ephemeral_1h_input_tokens"], F.lit(0)).alias("long"),
-    )
-    rows = core.first_by(rows, ["session", "message_id"], [F.col("stop").isNotNull().desc(), F.col("output_tokens").desc(), F.col("ord").desc()])
-    unsplit = (F.col("wrote") > 0) & (F.col("short") + F.col("long") == 0)
-    rows = rows.withColumn("long", F.when(unsplit, F.col("wrote")).otherwise(F.col("long")))
+    rows = ts.usage_events(ts.first_of_uuid(records_of(files))).withColumn("model", tx.normalize_model(F.col("model")))
+    unsplit = (F.col("cache_write") > 0) & (F.col("short") + F.col("long") == 0)
+    rows = rows.withColumn("long", F.when(unsplit, F.col("cache_write")).otherwise(F.col("long")))
     return rows.groupBy("session", "model").agg(F.count("*").alias("messages"), *[F.sum(c).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "cache_read", "short", "long")])
 
 
@@ -229,14 +227,14 @@ SELECT session, type, n, n - kept AS repeats, type IN ('user', 'assistant', 'sys
     "transcript_calls": _sql_files() + _CALLS + """ SELECT use.session AS session, use.call AS call, tool, CASE tool WHEN 'Read' THEN 'read' WHEN 'Bash' THEN 'shell' WHEN 'Edit' THEN 'edit' WHEN 'Grep' THEN 'search' ELSE 'mcp' END AS category, CASE WHEN starts_with(tool, 'mcp__') THEN string_split(tool, '__')[2] END AS server,
  CASE tool WHEN 'Bash' THEN i->>'$.command' WHEN 'Grep' THEN i->>'$.pattern' ELSE string_split(coalesce(i->>'$.file_path', ''), '/')[-1] END AS summary, CASE WHEN res.ms >= use.ms THEN res.ms - use.ms END AS duration_ms, coalesce(e, false) AS is_error, res.call IS NULL AS unresolved
  FROM use LEFT JOIN res ON res.session = use.session AND res.call = use.call""",
-    "transcript_usage": _sql_files() + """, v AS (SELECT *, row_number() OVER (PARTITION BY session, mid ORDER BY stop IS NOT NULL DESC, (u->>'$.output_tokens')::BIGINT DESC, number DESC) AS q FROM one WHERE u IS NOT NULL),
+    "transcript_usage": _sql_files() + """, v AS (SELECT *, row_number() OVER (PARTITION BY session, coalesce(mid, concat('#', number)) ORDER BY stop IS NOT NULL DESC, (u->>'$.output_tokens')::BIGINT DESC, number DESC) AS q FROM one WHERE u IS NOT NULL AND model <> '<synthetic>'),
 w AS (SELECT session, 'large-4' AS model, (u->>'$.input_tokens')::BIGINT AS i, (u->>'$.output_tokens')::BIGINT AS o, (u->>'$.cache_read_input_tokens')::BIGINT AS r, (u->>'$.cache_creation_input_tokens')::BIGINT AS w, coalesce((u->>'$.cache_creation.ephemeral_5m_input_tokens')::BIGINT, 0) AS s, coalesce((u->>'$.cache_creation.ephemeral_1h_input_tokens')::BIGINT, 0) AS l FROM v WHERE q = 1)
 SELECT session, model, count(*) AS messages, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(r)::BIGINT AS cache_read, sum(s)::BIGINT AS short, sum(CASE WHEN w > 0 AND s + l = 0 THEN w ELSE l END)::BIGINT AS long FROM w GROUP BY ALL""",
     "server_crosswalk": _sql_files() + """, d AS (SELECT DISTINCT slug, 'search' AS server FROM files UNION SELECT slug, 'db' FROM files WHERE right(slug, 1)::INT % 2 = 0),
 u AS (SELECT f.slug AS slug, string_split(b->>'$.name', '__')[2] AS server, count(*) AS calls, count(DISTINCT f.session) AS sessions, count(DISTINCT b->>'$.name') AS tools FROM bl JOIN files f ON f.session = bl.session WHERE kind = 'tool_use' AND starts_with(b->>'$.name', 'mcp__') GROUP BY ALL),
 x AS (SELECT coalesce(d.slug, u.slug) AS slug, coalesce(d.server, u.server) AS server, CASE WHEN calls IS NULL THEN 'idle' WHEN d.slug IS NULL THEN 'undeclared' ELSE 'used' END AS status, coalesce(calls, 0) AS calls, coalesce(sessions, 0) AS sessions, coalesce(tools, 0) AS tools FROM d FULL JOIN u ON d.slug = u.slug AND d.server = u.server)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY calls DESC, server)::INT AS rank FROM x) WHERE rank <= 50""",
-    "model_drift": _sql_files() + """, v AS (SELECT session, slug, count(DISTINCT mid) AS n FROM one WHERE u IS NOT NULL GROUP BY ALL)
+    "model_drift": _sql_files() + """, v AS (SELECT session, slug, count(DISTINCT coalesce(mid, concat('#', number))) AS n FROM one WHERE u IS NOT NULL AND model <> '<synthetic>' GROUP BY ALL)
 SELECT slug, 'large-4' AS model, CASE WHEN right(slug, 1)::INT < 3 THEN 'large' ELSE 'small-1' END AS configured, count(*) AS sessions, sum(n)::BIGINT AS messages, right(slug, 1)::INT >= 3 AS drift FROM v GROUP BY slug""",
     "project_inventory": _sql_files() + " SELECT slug, count(DISTINCT session) AS sessions, max(ms) AS last_ms FROM one GROUP BY 1",
     "session_inventory": _sql_files() + """, e AS (SELECT session, slug, max(ms) AS last_ms FROM one GROUP BY ALL), x AS (SELECT s.session, p.n, (SELECT count(*) FROM e o WHERE starts_with(o.session, left(s.session, p.n::INT))) AS c FROM e s, (SELECT unnest(range(2, 12)) AS n) p WHERE p.n <= length(s.session)),

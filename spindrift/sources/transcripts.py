@@ -88,13 +88,14 @@ def orphans(content: DataFrame) -> DataFrame:
 
 
 def usage_events(records: DataFrame) -> DataFrame:
-    """Usage of each provider message once: the part with a stop reason, then most output, then the last."""
+    """Usage of each provider message once: the part with a stop reason, then most output, then the last. A record without a message id is one of its own; made-up ones do not count."""
     from ..operators.core import first_by
 
     u = F.col("r.message.usage")
     rows = records.filter(u.isNotNull()).select(
         "session", "ord", F.coalesce(F.col("r.message.id"), F.concat(F.lit("#"), F.col("ord"))).alias("message_id"), F.col("r.message.model").alias("model"), F.col("r.message.stop_reason").alias("stop"),
         *[F.coalesce(u[f], F.lit(0)).alias(n) for f, n in (("input_tokens", "input_tokens"), ("output_tokens", "output_tokens"), ("cache_read_input_tokens", "cache_read"), ("cache_creation_input_tokens", "cache_write"))],
+        F.coalesce(u["cache_creation"]["ephemeral_5m_input_tokens"], F.lit(0)).alias("short"), F.coalesce(u["cache_creation"]["ephemeral_1h_input_tokens"], F.lit(0)).alias("long"),
     ).filter("model is null or model <> '<synthetic>'")
     return first_by(rows, ["session", "message_id"], [F.col("stop").isNotNull().desc(), F.col("output_tokens").desc(), F.col("ord").desc()])
 

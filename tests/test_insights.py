@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from spindrift.plans import insights
 
 FACTS = {n: 0 for n in (
-    "used calls requests errors error_tokens top_error most_again again_10 again_tokens top_command large_results large_bytes large_tokens run_calls run_ms compactions peak baseline cached fresh wait_ms wall_ms agents idle_agents"
+    "used calls requests errors error_tokens top_error most_again again_10 again_tokens top_command large_results large_bytes large_tokens run_calls run_ms compactions peak baseline cached fresh wait_ms wall_ms active_ms agent_ms agents idle_agents"
     " hook_errors hook_ms tool_ms interrupts corrections api_errors fallbacks large_writes write_tokens answer_p95 turns unresolved edits checks slow_tools failed_agents depth misses most_missed missed wrote wrote_1h gaps gap_median"
     " truncated truncated_same attached_bytes queued thinking bursts write_bursts mechanical rewrites rewrite_tokens"
 ).split()}
@@ -26,6 +26,10 @@ def test_thresholds(spark):
     assert fired(spark, edits=1) == {"unverified-edits": (2, 0)} and fired(spark, edits=1, checks=1) == {} and fired(spark, checks=1, test_failed=True) == {"unverified-edits": (3, 0)}
     assert fired(spark, requests=8, cached=59, fresh=41)["low-cache-hit"][0] == 2 and fired(spark, requests=7, cached=1, fresh=9) == {}
     assert fired(spark, queued=19) == {} and fired(spark, queued=20) == {"queued-prompts": (0, 0)}
+    assert fired(spark, peak=1000, cached=99_999) == {} and fired(spark, peak=1000, cached=100_000) == {"cache-dominates-tokens": (0, 0)} and fired(spark, peak=1, cached=100, used=750_000_000)["cache-dominates-tokens"][0] == 3
+    assert fired(spark, cached=10**9) == {}  # no context, nothing carried
+    assert fired(spark, active_ms=59_999, tool_ms=59_999) == {} and fired(spark, active_ms=60_000, tool_ms=44_999, agent_ms=100) == {}
+    assert fired(spark, active_ms=60_000, agent_ms=45_000) == {"time-budget": (0, 0)} and fired(spark, active_ms=60_000, tool_ms=99_000) == {"time-budget": (0, 0)}
     assert fired(spark, misses=4, missed=50_000, most_missed=20_000)["cache-invalidation"][0] == 3
 
 
