@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ..sources.live import live_kinds
+from ..streaming.board import PLACES, RING, boards_of_landed
+from ..streaming.board import QUIET_MS as BOARD_QUIET_MS
 from ..streaming.live import DELAY, QUIET_MS, landed_live
 from .transcript_queries import line_expressions
 
@@ -53,5 +55,16 @@ SELECT n.session AS session, records, turns, last_prompt, last_reply, coalesce(c
  coalesce(files, '') AS files, coalesce(links, '') AS links, coalesce(history, '') AS history, coalesce(last_at + {QUIET_MS} <= (SELECT max(ms) FROM m) - 3600000, false) AS ended
 FROM n LEFT JOIN e USING (session) LEFT JOIN rc USING (session) LEFT JOIN cs USING (session) LEFT JOIN f USING (session) LEFT JOIN k USING (session) LEFT JOIN h USING (session)"""
 
-QUERIES = {"live_facts": lambda spark, sf_dir: landed_live(spark.read.parquet(f"{sf_dir}/conversations.parquet"))}
-ORACLE = {"live_facts": FACTS}
+_BOARDS = ACTIONS + f""",
+c0 AS (SELECT min(conv_id) AS lo, max(conv_id) AS hi FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+y AS (SELECT x.*, least(5, ((substr(session, 2)::BIGINT - lo) * 6) // (hi - lo + 1) + CASE WHEN ord // 1000 >= 300 THEN 1 ELSE 0 END) AS part FROM x, c0),
+z AS (SELECT k, y.*, max(t) OVER (PARTITION BY k, session) AS now_t FROM y JOIN (SELECT unnest(range(0, 6)) AS k) q ON part <= k),
+st AS (SELECT k, session, max(now_t) AS turns, count(CASE WHEN kind = 'call' THEN 1 END) AS calls, max(ms) AS last_at, list(tool ORDER BY ord) FILTER (kind = 'call') AS tools,
+  count(DISTINCT CASE WHEN kind = 'call' AND status = 'subagent' AND t = now_t AND NOT EXISTS (FROM z r WHERE r.k = z.k AND r.session = z.session AND r.kind = 'result' AND r.id = z.id AND r.ord > z.ord) THEN id END) AS running_agents FROM z GROUP BY ALL),
+lv AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY last_at DESC, session) AS place FROM (SELECT *, max(last_at) OVER (PARTITION BY k) AS now FROM st) WHERE now - last_at < {BOARD_QUIET_MS}),
+bd AS (SELECT k, place::INT AS place, session, turns, calls, running_agents, coalesce(array_to_string(tools[-{RING}:], ','), '') AS recent, last_at FROM lv WHERE place <= {PLACES}),
+ch AS (SELECT k, said IS DISTINCT FROM lag(said) OVER (ORDER BY k) AS new FROM (SELECT k, string_agg(concat_ws('/', place, session, turns, calls, running_agents, recent), '|' ORDER BY place) AS said FROM bd GROUP BY k))
+SELECT k AS batch, place, session, turns, calls, running_agents, recent, last_at FROM bd JOIN ch USING (k) WHERE new"""
+
+QUERIES = {name: (lambda spark, sf_dir, f=f: f(spark.read.parquet(f"{sf_dir}/conversations.parquet"))) for name, f in (("live_facts", landed_live), ("live_boards", boards_of_landed))}
+ORACLE = {"live_facts": FACTS, "live_boards": _BOARDS}

@@ -44,7 +44,8 @@ class LiveFacts(StatefulProcessor):
         for a in sorted(rows, key=lambda r: r.ord):
             self._take(f, turns, a)
         self.facts.update(tuple(f[n] for n in _NAMES))
-        self.history.put([tuple(t) for t in turns[-TURNS:]])
+        if turns:  # a list state is never empty
+            self.history.put([tuple(t) for t in turns[-TURNS:]])
         if f["last_at"] is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)

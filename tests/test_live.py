@@ -118,3 +118,21 @@ def test_a_quiet_session_gives_one_last_row_and_its_state():
     (last,) = p.handleExpiredTimer(("s",), None, None)
     assert last.ended and last.open_calls == "a" and not r.ended
     assert not p.facts.exists() and not p.open and p.handle.timers == [2000 + 1_800_000]
+
+
+def test_a_board_is_given_out_only_when_it_says_something_new(spark, tmp_path):
+    from spindrift.streaming.board import BOARD, PLACES, SESSION, Boards
+
+    def batch(*rows):
+        return spark.createDataFrame([(s, turns, 0, 0, "", at) for s, turns, at in rows], SESSION)
+
+    b = Boards(f"file://{tmp_path}")
+    b.take(batch(*[(f"s{k:02d}", 1, 1000 + k) for k in range(10)]), 0)
+    b.take(batch(("s09", 1, 5000)), 1)  # a time alone
+    b.take(batch(("s00", 1, 1001)), 2)  # behind the eighth place
+    b.take(batch(("s09", 2, 5001)), 3)
+    b.take(batch(("late", 1, 50_000_000)), 4)  # all others have fallen quiet
+    got = {}
+    for r in spark.read.schema(BOARD).parquet(f"{tmp_path}/boards").collect():
+        got.setdefault(r.batch, []).append((r.place, r.session, r.turns))
+    assert sorted(got) == [0, 3, 4] and len(got[0]) == PLACES and sorted(got[3])[0] == (1, "s09", 2) and got[4] == [(1, "late", 1)]
