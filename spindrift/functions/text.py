@@ -43,6 +43,7 @@ _GLUED = ("stripe-webhook-secret", "github-token", "gitlab-token", "huggingface-
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "credential")
 _NAME = r"[a-z0-9_.-]*(?:password|passwd|secret|token|api[_-]?key|access_?key|credential)[a-z0-9_]*"
 #: (kind, pattern, what replaces it, literals of which the lower-cased text must hold one) in order; $1 is the pattern's first group.
+#: Fixed values among them, as results must match: the shapes of private-key, hash40, db-url, bearer and blob.
 STEPS = (
     ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", "‹private-key›", ("private key-----",)),
     *((mark, rf"\b{prefix}{body}", f"‹{mark}›", (sign.lower(),)) for (prefix, body, mark), sign in zip(KEYS, _KEY_SIGNS)),
@@ -56,7 +57,7 @@ STEPS = (
     ("assignment", rf"(?i)(\b{_NAME}\s*[:=]\s*[\"']?)[^\s\"',;‹›]{{6,}}", "$1‹redacted›", _NAMES),
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "‹email›", ("@",)),
     *((f"glued-{mark}", f"{prefix}{body}", f"‹{mark}›", (sign.lower(),)) for (prefix, body, mark), sign in zip(KEYS, _KEY_SIGNS) if mark in _GLUED),
-    ("blob", r"\b[A-Za-z0-9+/]{80,}={0,2}", "‹blob›", ()),
+    ("blob", r"\b[A-Za-z0-9+/]{60,}={0,2}", "‹blob›", ()),
 )
 REDACTIONS = tuple((kind, pattern) for kind, pattern, _, _ in STEPS)
 
