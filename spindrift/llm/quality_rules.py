@@ -4,7 +4,7 @@ Per document: counts of words, symbols, repeated lines and repeated five-word wi
 verdict. Beside it lines are normalised (lower case, digits to 0, white space to one space) and hashed;
 per host (``host_col``) the distinct documents of each line are counted, equal texts once. A line that
 more than ``max_share`` of the host's distinct texts hold, and more than ``min_docs`` of them, is
-boilerplate there (``max_docs`` suffice, however large the host): it is removed everywhere but in its first document (smallest id), so that text
+boilerplate there, alike on hosts of every size (a caller may set ``max_docs``, which then suffice): it is removed everywhere but in its first document (smallest id), so that text
 survives once. A document that passes the base rules is rejected as depleted if removal takes away a
 line and leaves fewer than ``min_words`` words or less than ``min_left`` of its words.
 
@@ -73,14 +73,14 @@ def quality_rules(
     max_repeat_pct: int = 20,
     min_docs: int = 20,
     max_share: float = 0.10,
-    max_docs: int = 1000,
+    max_docs: int | None = None,
     min_left: float = 0.3,
     with_lines: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: key (``row_key``), id, the five counts, n_removed_lines, n_left_words, base_failed, kept.
 
-    A line's limit is ``max_share`` of the host's distinct texts, but at least ``min_docs`` and at most
-    ``max_docs`` of them, so that it acts on large hosts, too. ``with_lines`` adds common_lines, the hashes of
+    A line's limit is ``max_share`` of the host's distinct texts, but at least ``min_docs`` and, where it
+    is given, at most ``max_docs`` of them. ``with_lines`` adds common_lines, the hashes of
     the lines that a document loses (null if none), for ``without_lines``.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col), F.lit("\x00null")).alias("host"))
@@ -106,7 +106,8 @@ def quality_rules(
         .groupBy("host", "lh").agg(F.count("*").alias("n_docs"), F.min("first_id").alias("first_id"))
     )
     per_host = keyed.groupBy("host", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    limit = F.greatest(F.lit(float(min_docs)), F.least(max_share * F.col("host_docs"), F.lit(float(max_docs))))
+    share = max_share * F.col("host_docs")
+    limit = F.greatest(F.lit(float(min_docs)), share if max_docs is None else F.least(share, F.lit(float(max_docs))))
     common = per_line.filter(F.col("n_docs") > min_docs).join(per_host, "host").filter(F.col("n_docs") > limit)
     removed = (
         lines.join(common.select("host", "lh", "first_id"), ["host", "lh"])

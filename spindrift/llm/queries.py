@@ -161,7 +161,7 @@ ln AS (SELECT r, host, doc_id, t, unnest(list_filter(regexp_split_to_array(trim(
 lines AS (SELECT r, host, doc_id, t, line, len(string_split(line, ' ')) AS w, count(*) AS c FROM ln GROUP BY ALL),
 per_line AS (SELECT host, line, count(DISTINCT t) AS n_docs, min(doc_id) AS first_id FROM lines GROUP BY ALL),
 per_host AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY ALL),
-common AS (SELECT host, line, first_id FROM per_line JOIN per_host USING (host) WHERE n_docs > greatest(20, least(0.10 * host_docs, 1000))),
+common AS (SELECT host, line, first_id FROM per_line JOIN per_host USING (host) WHERE n_docs > greatest(20, 0.10 * host_docs)),
 removed AS (SELECT r, sum(w * c) AS rw, sum(c) AS rl FROM lines JOIN common USING (host, line) WHERE doc_id <> first_id GROUP BY r),
 f AS (SELECT base.*, coalesce(rw, 0) AS rw, coalesce(rl, 0) AS rl, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base LEFT JOIN removed USING (r))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
