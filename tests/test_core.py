@@ -141,7 +141,7 @@ def test_redaction_shapes(spark):
         (long40, "‹hash40›"), ("x" + long40, "x" + long40), ("postgres://u:p@h/db now", "‹db-url› now"), ("https://u:pa55@host/x", "https://u:‹redacted›@host/x"), ("https://host/x:y", "https://host/x:y"),
         ("Bearer abcdefghijkl", "Bearer ‹token›"), ("useBearer abcdefghijkl", "useBearer abcdefghijkl"), ("Authorization: Basic dXNlcjpwYXNz", "Authorization: Basic ‹redacted›"),
         ('{"apiKey": "abcd1234"}', '{"apiKey": "‹redacted›"}'), ("DB_PASSWORD=hunter22", "DB_PASSWORD=‹redacted›"), ("AWS_SECRET_ACCESS_KEY: abcdefgh", "AWS_SECRET_ACCESS_KEY: ‹redacted›"), ("password = x", "password = x"),
-        ("a.b@c.org,", "‹email›,"), ("a@b", "a@b"), ("id" + key("ghp_", 36), "id‹github-token›"), ("risk-assessment-of-the-plant", "risk-assessment-of-the-plant"), ("a" * 79, "a" * 79), ("aB3" * 30, "‹blob›"),
+        ("a.b@c.org,", "‹email›,"), ("a@b", "a@b"), ("id" + key("ghp_", 36), "id‹github-token›"), ("risk-assessment-of-the-plant", "risk-assessment-of-the-plant"), ("a" * 59, "a" * 59), ("a" * 60, "‹blob›"), ("aB3" * 30, "‹blob›"),
         ("-----BEGIN RSA PRIVATE KEY-----\nMII\n-----END RSA PRIVATE KEY-----.", "‹private-key›."), ("-----BEGIN PRIVATE KEY-----\nMII and no end", "‹private-key›"), ("token=" + key("ghp_", 36), "token=‹github-token›"), ("", ""),
     ]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)] + [(-1, None)], "i int, t string")
