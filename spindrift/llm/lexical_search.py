@@ -155,15 +155,18 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block_terms: int = 1_
     item_type = items.schema["item_id"].dataType.simpleString()
     keyed = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("key", F.xxhash64("text"))
     sets = materialize(keyed.mapInArrow(_item_terms, f"item_id {item_type}, key long, terms array<binary>").filter("size(terms) > 0"), "items")
-    total = sets.agg(F.sum(F.size("terms"))).first()[0] or 0
+    total, largest = sets.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.coalesce(F.max(F.size("terms")), F.lit(0))).first()
+    most = max(2 * block_terms, largest + block_terms)  # an item is never split
     n_blocks = max(1, -(-total // block_terms))
     block = F.pmod(F.xxhash64("item_id", "key"), F.lit(n_blocks))
-    while n_blocks > 1 and sets.groupBy(block.alias("b")).agg(F.sum(F.size("terms")).alias("n")).agg(F.max("n")).first()[0] > 2 * block_terms and n_blocks < total:
+    while n_blocks > 1 and sets.groupBy(block.alias("b")).agg(F.sum(F.size("terms")).alias("n")).agg(F.max("n")).first()[0] > most and n_blocks < total:
         n_blocks *= 2
         block = F.pmod(F.xxhash64("item_id", "key"), F.lit(n_blocks))
     found = None
     for number in range(n_blocks):
-        rows = sets.filter(block == number).orderBy("item_id", "key").collect()  # at most about ``block_terms`` terms
+        rows = sets.filter(block == number).orderBy("item_id", "key").collect()  # at most ``most`` terms
+        if not rows and n_blocks > 1:
+            continue
         part = _search_block(docs, [(r.item_id, r.key, [bytes(x) for x in r.terms]) for r in rows], item_type, k)
         found = part if found is None else found.unionByName(part)
     if n_blocks > 1:
@@ -175,13 +178,15 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, block_terms: int = 1_
 def _search_block(docs: DataFrame, block: list[tuple], item_type: str, k: int) -> DataFrame:
     spark = docs.sparkSession
     schema = f"item_id {item_type}, key long, doc_id long, score long"
+    if not block:
+        return spark.createDataFrame([], schema)
     words = sorted({w for *_, terms in block for w in terms})
     place = {w: i for i, w in enumerate(words)}
     vocabulary = pa.array(words, pa.large_binary())
     count = docs.select("text").mapInArrow(_count(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counts = dict(map(tuple, count.collect()))  # one row a term of the block
     n_docs, n_terms = counts.get(-1, 0), counts.get(-2, 0)
-    if not n_docs or not block:
+    if not n_docs:
         return spark.createDataFrame([], schema)
     df = [counts.get(i, 0) for i in range(len(words))]
     weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * x + 1))) for x in df], np.int64)
