@@ -151,7 +151,6 @@ def _search(vocabulary: pa.Array, weight: np.ndarray, n_docs: int, n_terms: int,
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, block_terms: int = 1_000_000) -> DataFrame:
     """item_id, rank, doc_id, score: the ``k`` best documents with a score above 0 of each item."""
-    spark = docs.sparkSession
     item_type = items.schema["item_id"].dataType.simpleString()
     keyed = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("key", F.xxhash64("text"))
     sets = materialize(keyed.mapInArrow(_item_terms, f"item_id {item_type}, key long, terms array<binary>").filter("size(terms) > 0"), "items")
