@@ -84,11 +84,27 @@ def is_correction(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?i)^\s*(no|nope|wrong|stop|undo|revert)\b") | text.rlike(r"(?i)\b(that is wrong|not what i|you forgot|still (fails|broken|wrong)|try again)\b"), F.lit(False))
 
 
-def prompt_kind(text: Column, is_meta: Column) -> Column:
-    t = F.trim(text)
+#: What injected text begins with.
+META_TAGS = ("<user-prompt-submit-hook>", "<system-reminder>", "<budget:", "<total_tokens>", "<user-memory-input>", "<important_context>", "<function_results>", "<returned-by-")
+PEER_STARTS = ("<teammate-message", "<cross-session-message", "Another Claude session sent a message")
+
+
+def prompt_kind(text: Column, is_meta: Column, origin: Column | None = None, source: Column | None = None, hidden: Column | None = None) -> Column:
+    """interrupt, command, notification, peer, local_output, scheduled, meta or human.
+
+    An interrupt shows in the first 200 characters. Then what the record says of itself counts (shown only in the transcript; ``origin``; typed),
+    then how the text begins after reminders, then whether it is meta. Pasted markup is a person's.
+    """
+    none = F.lit(None).cast("string")
+    origin, source, hidden = none if origin is None else origin, none if source is None else source, F.lit(False) if hidden is None else hidden
+    t = F.ltrim(F.regexp_replace(text, r"^(?:\s*<system-reminder>[\s\S]*?</system-reminder>\s*)+", ""))
+    meta, starts = F.coalesce(is_meta, F.lit(False)), lambda words: F.coalesce(F.greatest(*[t.startswith(w) for w in words]), F.lit(False))
+    command = text.rlike(r"<command-name>\s*[^<\s]+\s*</command-name>")
     return (
-        F.when(F.coalesce(is_meta, F.lit(False)), "meta").when(t.startswith("<command-name>"), "command").when(t.startswith("<task-notification>"), "notification")
-        .when(t.startswith("<teammate-message"), "peer").when(t.startswith("<scheduled"), "scheduled").when(t.rlike(r"(?i)^\[request interrupted"), "interrupt").otherwise("human")
+        F.when(F.substring(text, 1, 200).rlike(r"(?i)\[request interrupted by user"), "interrupt").when(F.coalesce(hidden, F.lit(False)), "meta")
+        .when((origin == "human") | (source == "typed"), F.when(command, "command").otherwise("human")).when(origin == "task-notification", "notification").when(origin.isin("peer", "teammate", "cross-session"), "peer")
+        .when(starts(("<command-name>", "<command-message>")), "command").when(starts(("<local-command-stdout>", "<local-command-caveat>", "<local-command-stderr>")), "local_output").when(t.startswith("<task-notification>"), "notification")
+        .when(starts(PEER_STARTS), "peer").when(meta & (source == "system"), "scheduled").when(meta | starts(META_TAGS), "meta").otherwise("human")
     )
 
 
