@@ -2,8 +2,11 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from spindrift.plans.path_census import path_census
 from spindrift.plans.session_queries import agent_rollup
+from spindrift.sources import transcript_files as tf
 
 
 def test_census_sums_beyond_what_a_double_holds_exactly(spark):
@@ -19,3 +22,12 @@ def test_share_of_a_session_without_tokens_is_nan(spark):
     rec = spark.createDataFrame([("s", "a0", 1, "Read", False, 0, 0, 0, 0), ("t", "a0", 1, "Read", False, 1, 0, 0, 0), ("t", None, 2, "Read", False, 3, 0, 0, 0)], "session_id string, agent_id string, start_ms long, tool string, is_error boolean, input_tokens long, cache_read long, cache_write long, output_tokens long")
     got = {r.session_id: r.share for r in agent_rollup(rec).collect()}
     assert math.isnan(got["s"]) and got["t"] == 0.25
+
+
+def test_blank_lines_at_the_end_of_a_file_stay(spark, tmp_path):
+    texts = {"one": '{"a":1}\n', "two": '{"a":1}\n\n', "crlf": '{"a":1}\r\n', "none": '{"a":1}', "cut": '{"a":1}\n\n{"b'}
+    tf.write_files(spark.createDataFrame([("p", k, "main", v) for k, v in texts.items()], "slug string, session string, agent string, content string"), f"file://{tmp_path}/t")
+    got = {r.session: r.bytes for r in tf.inventory(tf.listing(spark, f"file://{tmp_path}/t")).collect()}
+    assert got == {k: len(v) + (not v.endswith("\n")) for k, v in texts.items()}
+    scanned = {r.session: (r.bytes, r.lines) for r in tf.scan(spark, f"file://{tmp_path}/t", F.col("line").startswith("{")).collect()}
+    assert scanned == {k: (got[k], 2 if k == "cut" else 1) for k in texts}
