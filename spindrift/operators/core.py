@@ -94,6 +94,42 @@ def nearest_rank(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {column})")
 
 
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], buckets: int = 4096, rounds: int = 2) -> DataFrame:
+    """keys, n (rows) and, per name of ``shares``, the value at rank ceil(p n) of those not null: ``nearest_rank`` for few keys with many values.
+
+    In each round the span of values that holds a rank is cut into ``buckets``, which are counted, and only one of them goes on; the values
+    of the last are ranked. So no task gathers a key's values. Exact however the values lie; NaN is the largest.
+    """
+    x = F.col("_x")
+    rows = df.select(*keys, F.col(value).alias("_v"), F.col(value).cast("double").alias("_x"))
+    usual = ~(F.isnan(x) | (F.abs(x) == float("inf")))
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count("_v").alias("_m"), F.min(F.when(usual, x)).alias("_lo"), F.max(F.when(usual, x)).alias("_hi"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in shares.items()]))
+    at = ends.filter("_m > 0").select(*keys, "_lo", "_hi", "_m", asked.alias("_p"))
+    at = at.select(*keys, F.col("_p.name").alias("_name"), F.greatest(F.lit(1), F.ceil(F.col("_m") * F.col("_p.p"))).cast("long").alias("_rank"), "_lo", "_hi")
+    place = F.when(x == -float("inf"), -1).when(~usual, buckets + 1).when(F.col("_hi") > F.col("_lo"), F.floor((x / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * buckets)).otherwise(0).cast("int")
+    path: list[str] = []
+    same = lambda a, b, names: F.expr(" and ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in names))
+    rows = rows.filter("_v is not null").alias("r")
+    for k in range(rounds):
+        on = [*keys, *path]
+        spans = at.select(*on, "_lo", "_hi").distinct().alias("s")
+        rows = rows.join(F.broadcast(spans), same("r", "s", on)).select("r.*", "s._lo", "s._hi").withColumn(f"_b{k}", place).drop("_lo", "_hi")
+        counts = rows.groupBy(*on, f"_b{k}").agg(F.count("*").alias("_c"), F.min(F.when(usual, x)).alias("_lo"), F.max(F.when(usual, x)).alias("_hi"))
+        counts = counts.withColumn("_upto", F.sum("_c").over(_over(on, [f"_b{k}"]).rowsBetween(Window.unboundedPreceding, 0))).alias("c")
+        within = same("t", "c", on) & (F.col("t._rank") <= F.col("c._upto")) & (F.col("t._rank") > F.col("c._upto") - F.col("c._c"))
+        at = at.drop("_lo", "_hi").alias("t").join(counts, within).select("t.*", f"c._b{k}", "c._lo", "c._hi", (F.col("c._upto") - F.col("c._c")).alias("_below"))
+        at = at.withColumn("_rank", F.col("_rank") - F.col("_below")).drop("_below")
+        path.append(f"_b{k}")
+        rows = rows.alias("r")
+    on = [*keys, *path]
+    last = rows.join(F.broadcast(at.select(*on).distinct().alias("s")), same("r", "s", on), "left_semi").groupBy(*on, "_v").agg(F.count("*").alias("_c"))
+    last = last.withColumn("_upto", F.sum("_c").over(_over(on, ["_v"]).rowsBetween(Window.unboundedPreceding, 0))).alias("c")
+    found = at.alias("t").join(last, same("t", "c", on) & (F.col("t._rank") <= F.col("c._upto")) & (F.col("t._rank") > F.col("c._upto") - F.col("c._c"))).select(*[f"t.{k}" for k in keys], "t._name", "c._v")
+    wide = found.groupBy(*keys).agg(*[F.first(F.when(F.col("_name") == name, F.col("_v")), ignorenulls=True).alias(name) for name in shares]).alias("f")
+    return ends.alias("e").join(wide, same("e", "f", keys), "left").select(*[f"e.{k}" for k in keys], *[f"f.{name}" for name in shares], "e.n")
+
+
 def rounded(x: Column, digits: int = 4) -> Column:
     """floor(x f + 0.5) / f, the same on every engine; null where x is null."""
     f = 10**digits

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None):
 
 @query("line_price_percentiles", "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_extendedprice, 0.5) AS p50, count(*) AS n FROM lineitem GROUP BY ALL")
 def line_price_percentiles(read) -> DataFrame:
-    return read("lineitem").groupBy("l_returnflag").agg(core.nearest_rank("l_extendedprice", 0.95).alias("p95"), core.nearest_rank("l_extendedprice", 0.5).alias("p50"), F.count("*").alias("n"))
+    return core.nearest_ranks(read("lineitem"), ["l_returnflag"], "l_extendedprice", {"p95": 0.95, "p50": 0.5})
 
 
 @query("last_ship_before_order", """WITH x AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders), r AS (SELECT o_custkey AS c, l_shipdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)

@@ -1,9 +1,11 @@
 """What the review of round 3 found."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
+from spindrift.operators import core
 from spindrift.plans.path_census import path_census
 from spindrift.plans.session_queries import agent_rollup
 from spindrift.sources import transcript_files as tf
@@ -31,3 +33,16 @@ def test_blank_lines_at_the_end_of_a_file_stay(spark, tmp_path):
     assert got == {k: len(v) + (not v.endswith("\n")) for k, v in texts.items()}
     scanned = {r.session: (r.bytes, r.lines) for r in tf.scan(spark, f"file://{tmp_path}/t", F.col("line").startswith("{")).collect()}
     assert scanned == {k: (got[k], 2 if k == "cut" else 1) for k in texts}
+
+
+def test_ranks_over_few_keys_gather_no_key(spark):
+    random.seed(5)
+    odd = [float("inf"), float("-inf"), float("nan"), None, 1e308, -1e308, 0.0]
+    rows = [(k, random.choice([random.gauss(0, 10), float(random.randint(0, 3)), random.choice(odd)])) for k in ("a", "b", None) for _ in range(400)] + [("c", None), ("d", 2.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = {"p95": 0.95, "p50": 0.5, "p0": 0.0, "p100": 1.0}
+    got = sorted(map(repr, core.nearest_ranks(df, ["k"], "v", shares, buckets=8).collect()))
+    want = df.groupBy("k").agg(*[core.nearest_rank("v", p).alias(n) for n, p in shares.items()], F.count("*").alias("n"))
+    assert got == sorted(map(repr, want.collect()))
+    plan = core.nearest_ranks(df, ["k"], "v", shares)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_disc" not in plan
