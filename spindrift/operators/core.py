@@ -19,6 +19,14 @@ def running_index(df: DataFrame, keys: list[str], order: list, flag: Column, nam
     return df.withColumn(name, (F.sum(F.when(flag, 1).otherwise(0)).over(w) - 1).cast("int"))
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as its ``rows`` need at ``each`` a task, so that a task's sorts do not grow with the table.
+
+    Windows and groups by ``keys`` (and more) need no further exchange. The number is given, so adaptive execution does not join tasks.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)), *keys)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key: the first in ``order``."""
     return df.withColumn("_rn", F.row_number().over(_over(keys, order))).filter("_rn = 1").drop("_rn")

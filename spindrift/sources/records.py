@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.core import running_index
+from ..operators.core import dealt, running_index
 
 
-def records_from_events(events: DataFrame) -> DataFrame:
+def records_from_events(events: DataFrame, deal: bool = False) -> DataFrame:
     """Bind (event_id, ts, user_id, event_type, value, props) to session records.
 
     A ``signup`` is a prompt that starts a turn, the other types are tool calls; a session is a user's
-    week. Rows before the first prompt have turn -1.
+    week. Rows before the first prompt have turn -1. ``deal``: sessions are dealt out at so many rows a task, for plans with many windows over them.
     """
     k = F.get_json_object("props", "$.k").cast("int")
     e = events.withColumn("k", k).select(
@@ -27,8 +27,10 @@ def records_from_events(events: DataFrame) -> DataFrame:
         F.col("k").cast("long").alias("input_tokens"), (F.col("k") * 100).cast("long").alias("cache_read"),
         (F.col("k") * 10).cast("long").alias("cache_write"), (F.col("k") % 13).cast("long").alias("output_tokens"),
     )
+    if deal:
+        e = dealt(e, ["session_id"], events.count())
     return running_index(e, ["session_id"], ["ord"], F.col("event_type") == "signup", "turn_index")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def records(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    return records_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), deal)

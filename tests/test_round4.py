@@ -46,3 +46,8 @@ def test_ranks_over_few_keys_gather_no_key(spark):
     assert got == sorted(map(repr, want.collect()))
     plan = core.nearest_ranks(df, ["k"], "v", shares)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile_disc" not in plan
+
+
+def test_sessions_are_dealt_out_by_their_rows(spark):
+    assert core.dealt(spark.range(200_000), ["id"], 200_000, 20_000).rdd.getNumPartitions() == 10
+    assert core.dealt(spark.range(5), ["id"], 5).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
