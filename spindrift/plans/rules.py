@@ -13,6 +13,8 @@ from ..operators import core
 from .session_queries import REC, TOTAL, flag
 
 RULES: dict = {}
+#: Rules with windows over a session's rows; they read records dealt out at so many rows a task. The others sum in the task that reads.
+IN_ORDER = ("sequential-reads", "human-wait-dominates", "write-not-read", "long-gap")
 #: The thresholds.
 ERRORS_MANY, ERROR_RATE, BYTES_LARGE, BIG_RESULTS, READS_IN_ROW, CONTEXT_NEAR, GAP_SHARE, AGENTS_MANY, WRITES_LARGE, RETRIES = 3, 0.25, 90_000, 2, 3, 10_500, 0.5, 3, 90_000, 2
 
@@ -151,9 +153,9 @@ def model_for_task(rec: DataFrame) -> DataFrame:
 
 def findings(rec: DataFrame, rules: dict | None = None) -> DataFrame:
     """Findings of all rules; a saving is at most what the session used."""
-    parts = None
+    parts, in_order = None, core.dealt(rec, ["session_id"], rec.count())
     for name, f in (rules or RULES).items():
-        part = f(rec).select(F.lit(name).alias("rule"), "session_id", "severity", "saving")
+        part = f(in_order if name in IN_ORDER else rec).select(F.lit(name).alias("rule"), "session_id", "severity", "saving")
         parts = part if parts is None else parts.unionByName(part)
     used = rec.groupBy("session_id").agg(F.sum(F.expr(TOTAL)).alias("used"))
     return parts.join(used, "session_id").select("rule", "session_id", "severity", F.least("saving", "used").alias("saving"))
