@@ -29,6 +29,8 @@ _ATTACHMENT = (
 )
 _BLOCKS = "array<struct<type: string, text: string, id: string, name: string, input: string, from: struct<model: string>, to: struct<model: string>>>"
 MESSAGES = ("user", "assistant", "system")
+#: Fixed value: lines a task; parsed records are wide, and each window over them sorts them.
+LINES = 10_000
 #: Attachments that each record one hook run, and those of a run that did not end well.
 HOOK_RUNS = ("hook_success", "hook_error", "hook_failure", "hook_cancelled", "hook_non_blocking_error", "async_hook_response")
 HOOK_FAILED = ("hook_error", "hook_failure", "hook_cancelled", "hook_non_blocking_error")
@@ -44,7 +46,7 @@ def fact_records(lines: DataFrame) -> DataFrame:
     Messages whose uuid came before are dropped. ``main_turn`` counts the prompts of the main thread that start a turn, from 0 (-1 before
     the first); ``turn`` is the same but in an agent's own count for its records. A compaction's summary and tool results start none.
     """
-    rows = lines.repartition("session").filter(F.col("line").startswith("{") & F.try_parse_json("line").isNotNull())
+    rows = core.dealt(lines, ["session"], lines.count(), LINES).filter(F.col("line").startswith("{") & F.try_parse_json("line").isNotNull())
     rows = rows.select("session", F.col("number").alias("ord"), F.from_json("line", _SCHEMA).alias("r"))
     once = F.when(F.col("r.type").isin(*MESSAGES) & F.col("r.uuid").isNotNull(), F.col("r.uuid")).otherwise(F.concat(F.lit("#"), "ord"))
     rows = core.first_by(rows.withColumn("_once", once), ["session", "_once"], ["ord"]).drop("_once")
