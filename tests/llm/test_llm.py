@@ -400,6 +400,34 @@ def test_op8_members_that_never_led_meet(spark):
     assert {(r.doc_id, r.other_id) for r in got} == {(i, (i + 15) % 30) for i in range(30)}
 
 
+def test_op8_text_that_a_document_repeats_is_found_at_every_place(spark):
+    """A passage stands four times in one text, among other words, and once in another one."""
+    rng = random.Random(31)
+    rows, planted = [], {}
+    for k in range(8):
+        passage, text = sentence(rng, 60), []
+        for _ in range(4):
+            text += sentence(rng, 70).split()
+            planted.setdefault(2 * k, []).append(len(text))
+            text += passage.split()
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, f"{sentence(rng, 30)} {passage} {sentence(rng, 30)}")]
+    got = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.end) for r in got if r.doc_id % 2 == 0} == {(i, a, a + 60) for i, places in planted.items() for a in places}
+    assert all(r.other_id == r.doc_id ^ 1 and r.n_hashes > 0 for r in got)
+
+
+def test_op8_text_that_repeats_itself_at_once():
+    line, rng = np.arange(9, dtype=np.uint32), random.Random(8)
+    words = lambda n: np.array([rng.randint(100, 2**31) for _ in range(n)], np.uint32)
+    x, y = (np.concatenate([words(20), np.tile(line, n), words(20)]) for n in (60, 8))
+    got = compact_windows.passages_at(x, y, 46, 12, 75, np.array([4], np.uint32))
+    places = np.zeros(len(x), bool)
+    for a, b, *_ in got:
+        places[a:b] = True
+    assert places[20 : 20 + 60 * 9].all() and any(oa <= 20 and ob >= 20 + 8 * 9 for _, _, oa, ob, _ in got)
+    assert compact_windows.inner(x, np.flatnonzero(x == 4), 46).tolist() == [24] * 59 + [20 + 59 * 9 + 4]
+
+
 def test_op8_windows_cover_every_subsequence():
     rng = random.Random(6)
     for _ in range(30):
