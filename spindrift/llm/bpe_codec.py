@@ -5,9 +5,9 @@ tokenizer drops anyway) to word buckets; each bucket encodes each distinct word
 corpus and sends the ids back to the blocks that asked; there ids are joined to the words' positions,
 and decoding joins ids to the pieces of the vocabulary, whose size the tokenizer file fixes.
 What moves: each text once, compressed, and each distinct word of a block, so that no row per word
-position is ever shuffled. A block holds at most ``block_mb`` of text or one longer text: rows are
-grouped by the power of two of their length, longer ones in shorter runs. A block's words for one
-bucket are one row; there are never more such rows than distinct words of blocks.
+position is ever shuffled. A block holds at most ``block_mb`` of text or one longer text: a task cuts its
+rows by their bytes, long and short ones together, so that a table has few blocks and few words twice. A
+block's words for one bucket are one row; there are never more such rows than distinct words of blocks.
 
 Null text counts as empty: no tokens, the empty text decoded. Equal rows give equal rows, one out for
 each in; a null id is kept. Extra columns are not carried. A table of no rows gives none.
@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark import SparkFiles
 from pyspark.errors import AnalysisException
@@ -77,24 +79,37 @@ def unpack(blob: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
 
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_mb: float) -> tuple[DataFrame, int]:
-    """id, text, block; and about how many MB of text there are. A block is a run of rows of one file."""
-    one = lambda df: df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_metadata.file_path", "_metadata.row_index")
+def in_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """id, text and where the row stands (file, row); and about how many MB of text there are."""
+    one = lambda df: df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
         rows = one(docs)
     except AnalysisException:  # not a table of files: blocks must be the same in both scans, so it becomes one
         rows = one(materialize(docs.select(id_col, text_col), "bpe-input"))
-    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    usual = max((size or 0) / max(n, 1), 1.0)
-    per_block = max(1, int(block_mb * 1e6 / usual))
-    # Texts of up to 2 ** k times the usual length, in runs of per_block / 2 ** k rows.
-    kind = F.greatest(F.ceil(F.log2(F.greatest(F.octet_length("text"), F.lit(1)) / usual)), F.lit(0)).cast("int")
-    run = F.greatest(F.floor(F.lit(per_block) / F.pow(F.lit(2.0), kind)), F.lit(1))
-    block = F.xxhash64("file_path", "kind", F.floor(F.col("row_index") / run))
-    return rows.withColumn("kind", kind).select("id", "text", "kind", block.alias("block")), math.ceil((size or 0) / 1e6)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    return rows, math.ceil((size or 0) / 1e6)
 
 
-def distinct_words(buckets: int):
+def runs(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a task in order, cut into blocks of up to ``most`` bytes of text or one longer text; a block may be several batches.
+
+    Both scans have the same columns, so the same tasks, and cut alike.
+    """
+    block, size = None, 0
+    for batch in batches:
+        begin = 0
+        for k, n in enumerate(pa.compute.binary_length(batch.column("text")).to_pylist()):
+            if block is None or size and size + n > most:
+                if k > begin:
+                    yield block, batch.slice(begin, k - begin)
+                begin, size = k, 0
+                block = xxhash.xxh3_64_intdigest(f"{batch.column('file')[k]}:{batch.column('row')[k]}") - 2**63
+            size += n
+        if batch.num_rows > begin:
+            yield block, batch.slice(begin)
+
+
+def distinct_words(buckets: int, most: float):
     def send(block: int, words: set[bytes]) -> pa.RecordBatch:
         parts: list[list[bytes]] = [[] for _ in range(buckets)]
         for w in words:
@@ -103,20 +118,17 @@ def distinct_words(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "block", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[int, tuple[int, set[bytes]]] = {}  # of each length, the block at hand
-        for batch in batches:
-            for kind, block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                now, words = open_.get(kind, (None, set()))
-                if block != now:
-                    if words:
-                        yield send(now, words)
-                        release()
-                    words = set()
-                    open_[kind] = block, words
+        now, words = None, set()
+        for block, part in runs(batches, most):
+            if block != now:
+                if words:
+                    yield send(now, words)
+                    release()
+                now, words = block, set()
+            for text in part.column("text"):
                 words.update(text.as_buffer().to_pybytes().split())
-        for now, words in open_.values():
-            if words:
-                yield send(now, words)
+        if words:
+            yield send(now, words)
 
     return run
 
@@ -145,17 +157,14 @@ def encode_bucket(path: str):
     return run
 
 
-def pack_texts(id_type: pa.DataType):
+def pack_texts(id_type: pa.DataType, most: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            for one in np.unique(block):
-                at = pa.array(np.flatnonzero(block == one))
-                texts = [t.as_buffer().to_pybytes() for t in batch.column(2).take(at)]
-                blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-                sizes = np.array(list(map(len, texts)), np.int64)
-                ids = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), batch.column(1).take(at).cast(id_type))
-                yield pa.RecordBatch.from_arrays([pa.array([int(one)], pa.int64()), ids, pa.array([sizes.tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["block", "ids", "sizes", "texts"])
+        for block, part in runs(batches, most):
+            texts = [t.as_buffer().to_pybytes() for t in part.column("text")]
+            blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            sizes = np.array(list(map(len, texts)), np.int64)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), part.column("id").cast(id_type))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), ids, pa.array([sizes.tobytes()], pa.binary()), pa.array([blob], pa.binary())], names=["block", "ids", "sizes", "texts"])
 
     return run
 
@@ -209,13 +218,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     padding; the decoded text is that of its ``decode(ids, skip_special_tokens=False)``. The tokenizer
     must drop white space and cut at it, and have no decoder, as word-level BPE vocabularies do.
     """
-    rows, mb = in_blocks(docs, id_col, text_col, block_mb)
+    rows, mb = in_blocks(docs, id_col, text_col)
     buckets = max(4, math.ceil(mb / block_mb))
-    asked = rows.select("kind", "block", "text").mapInArrow(distinct_words(buckets), "bucket int, block long, words binary")
+    asked = rows.mapInArrow(distinct_words(buckets, block_mb * 1e6), "bucket int, block long, words binary")
     answered = asked.repartition(buckets, "bucket").mapInArrow(encode_bucket(vocabulary), "block long, words binary, ids binary")
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    packed = rows.select("block", "id", "text").mapInArrow(pack_texts(to_arrow_type(kind)), f"block long, ids array<{kind.simpleString()}>, sizes binary, texts binary")
+    packed = rows.mapInArrow(pack_texts(to_arrow_type(kind), block_mb * 1e6), f"block long, ids array<{kind.simpleString()}>, sizes binary, texts binary")
     schema = f"doc_id {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return answered.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(join_back(vocabulary, with_ids, with_text), schema)

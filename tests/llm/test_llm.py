@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -348,6 +349,20 @@ def test_op7_finds_what_is_corrupt(spark):
     assert record.select(warc_audit.parse_record(text)).first()[0] == "é body"
 
 
+def test_op2_blocks_go_by_bytes_over_texts_of_all_lengths():
+    """The largest number of blocks is twice the bytes over the limit; each is within it or one longer text."""
+    rng = random.Random(5)
+    texts = ["x" * rng.choice([0, 3, 40, 500, 6_000, 30_000]) for _ in range(400)] + ["y" * 200_000, "z"]
+    table = pa.table({"text": texts, "file": ["f"] * len(texts), "row": range(len(texts))})
+    sizes = {}
+    for block, part in bpe_codec.runs(iter(table.to_batches(max_chunksize=37)), 100_000):
+        sizes.setdefault(block, []).extend(map(len, part.column("text").to_pylist()))
+    assert [n for s in sizes.values() for n in s] == list(map(len, texts))
+    assert all(sum(s) <= 100_000 or sorted(s)[-2:-1] in ([], [0]) for s in sizes.values())
+    assert len(sizes) <= 2 * sum(map(len, texts)) / 100_000 + 1
+    assert [b for b, _ in bpe_codec.runs(iter(table.to_batches(max_chunksize=64)), 100_000)][-1] == list(sizes)[-1]
+
+
 def test_op8_passages(docs, rows, empty):
     got = compact_windows.repeated_passages(docs).collect()
     flagged = {r.doc_id for r in got} | {r.other_id for r in got}
