@@ -1,12 +1,14 @@
 """A board of the sessions that run: the eight most recent, each with its last five calls, given out only when it says something new.
 
-State per session is small: counts, the last time and a ring of calls. After each batch the sessions' newest rows are brought
+State per session is small, one row: counts, the last time, a ring of calls and the running agents. After each batch the sessions' newest rows are brought
 together with those of the batches before, quiet ones leave, and the first eight make the board. The board is written only if
 it differs from the last one in anything but times; the row hashes that decide are kept with it.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, Window
@@ -25,29 +27,26 @@ BOARD = f"batch long, place int, {SESSION}"
 
 class Recent(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "turns long, calls long, last_at long")
-        self.ring = handle.getListState("ring", "tool string")
-        self.agents = handle.getMapState("agents", "id string", "began long")
+        # One state of one row: each call of the state store is a round trip, and there are as many as sessions in a batch.
+        self.state = handle.getValueState("session", "turns long, calls long, last_at long, ring string, agents string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        turns, calls, last = self.counts.get() if self.counts.exists() else (0, 0, None)
-        ring = [t[0] for t in self.ring.get()] if self.ring.exists() else []
+        turns, calls, last, ring, agents = self.state.get() or (0, 0, None, "[]", "[]")
+        ring, agents = json.loads(ring), dict.fromkeys(json.loads(agents))
         for a in sorted(rows, key=lambda r: r.ord):
             last = a.at if last is None else last if a.at is None else max(last, a.at)
             if a.kind == "prompt":
                 turns += 1
-                self.agents.clear()
+                agents.clear()
             elif a.kind == "call":
                 calls += 1
                 ring = [*ring, a.tool][-RING:]
                 if a.status == "subagent":
-                    self.agents.updateValue((a.id,), (a.ord,))
-            elif a.kind == "result" and self.agents.containsKey((a.id,)):
-                self.agents.removeKey((a.id,))
-        self.counts.update((turns, calls, last))
-        if ring:  # a list state is never empty
-            self.ring.put([(t,) for t in ring])
-        yield Row(session=key[0], turns=turns, calls=calls, running_agents=sum(1 for _ in self.agents.keys()), recent=",".join(ring), last_at=last)
+                    agents[a.id] = None
+            elif a.kind == "result":
+                agents.pop(a.id, None)
+        self.state.update((turns, calls, last, json.dumps(ring), json.dumps(list(agents))))
+        yield Row(session=key[0], turns=turns, calls=calls, running_agents=len(agents), recent=",".join(ring), last_at=last)
 
     def close(self) -> None:
         pass
@@ -95,19 +94,36 @@ class Boards:
             board.select(F.lit(number).cast("long").alias("batch"), "place", *[f.split()[0] for f in SESSION.split(", ")]).write.mode("append").parquet(f"{self.root}/boards")
 
 
-def boards_of_landed(conversations: DataFrame, parts: int = 6) -> DataFrame:
-    """Land transcript lines as ``parts`` files, one a batch, and one that only moves a time; return every board that was given out.
+def land(rows: DataFrame, root: str, parts: int, rows_per_file: int) -> tuple[DataFrame, int]:
+    """Write each ``part`` of the lines in turn, all as the same number of files; the lines (session, number, line), and that number.
 
-    Sessions land in the order of their numbers, their later turns a file after the rest.
+    The lines are made once. A part is one batch of a stream that takes so many files at a time.
+    """
+    spark = rows.sparkSession
+    rows.write.partitionBy("part").parquet(f"{root}/lines")
+    lines = spark.read.schema(rows.schema).parquet(f"{root}/lines")
+    most = lines.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    files = max(1, math.ceil(most / rows_per_file))
+    for k in range(parts):
+        path, one = f"{root}/landing/part-{k:03d}", lines.filter(F.col("part") == k).drop("part")
+        (one.coalesce(1) if files == 1 else one.repartition(files, "session", "number")).write.parquet(path)
+        for _ in range(files - len(spark.read.schema(one.schema).parquet(path).inputFiles())):  # a task without rows writes none
+            one.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return lines.drop("part"), files
+
+
+def boards_of_landed(conversations: DataFrame, parts: int = 6, rows_per_file: int = 250_000) -> DataFrame:
+    """Land transcript lines in ``parts`` parts, one a batch, and one line that only moves a time; return every board that was given out.
+
+    Sessions land in the order of their numbers, their later turns a part after the rest.
     """
     spark = conversations.sparkSession
     root = shared_folder(spark)
     rows = live_lines(conversations).withColumn("conv", F.expr("cast(substring(session, 2, 18) as bigint)"))
-    lo, hi = rows.agg(F.min("conv"), F.max("conv")).first()
-    part = F.expr(f"least({parts - 1}, ((conv - {lo or 0}) * {parts}) div {(hi or 0) - (lo or 0) + 1} + if(number >= 300, 1, 0))")
-    for k in range(parts):
-        rows.filter(part == k).select("session", "number", "line").coalesce(1).write.parquet(f"{root}/landing/part-{k:03d}")
-    newest = actions(live_lines(conversations)).agg(F.max_by(F.struct("session", "at"), F.struct("at", F.expr("-cast(substring(session, 2, 18) as bigint)"))).alias("x"))
+    lo, hi = conversations.filter("turn is not null").agg(F.min("conv_id"), F.max("conv_id")).first()
+    part = F.expr(f"cast(least({parts - 1}, ((conv - {lo or 0}) * {parts}) div {(hi or 0) - (lo or 0) + 1} + if(number >= 300, 1, 0)) as int)")
+    lines, files = land(rows.select("session", "number", "line", part.alias("part")), root, parts, rows_per_file)
+    newest = actions(lines).agg(F.max_by(F.struct("session", "at"), F.struct("at", F.expr("-cast(substring(session, 2, 18) as bigint)"))).alias("x"))
     idle = newest.select("x.session", F.lit(10**9).cast("long").alias("number"), F.concat(F.lit('{"type":"assistant","timestamp":'), F.col("x.at") + 1, F.lit(',"message":{"role":"assistant","model":"m","content":""}}')).alias("line"))
     idle.coalesce(1).write.parquet(f"{root}/landing/part-{parts:03d}")
     boards = Boards(root)
@@ -115,7 +131,7 @@ def boards_of_landed(conversations: DataFrame, parts: int = 6) -> DataFrame:
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        source = spark.readStream.schema("session string, number long, line string").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{root}/landing/part-*")
+        source = spark.readStream.schema("session string, number long, line string").option("maxFilesPerTrigger", files).option("latestFirst", "false").parquet(f"{root}/landing/part-*")
         run = recent_sessions(actions(source)).writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").foreachBatch(boards.take).trigger(availableNow=True).start()
         run.awaitTermination()
     finally:

@@ -136,3 +136,20 @@ def test_a_board_is_given_out_only_when_it_says_something_new(spark, tmp_path):
     for r in spark.read.schema(BOARD).parquet(f"{tmp_path}/boards").collect():
         got.setdefault(r.batch, []).append((r.place, r.session, r.turns))
     assert sorted(got) == [0, 3, 4] and len(got[0]) == PLACES and sorted(got[3])[0] == (1, "s09", 2) and got[4] == [(1, "late", 1)]
+
+
+def test_boards_are_the_same_however_many_files_a_part_has(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spindrift.streaming.board import boards_of_landed, land
+
+    talks = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    rows = spark.range(1000).selectExpr("concat('s', id % 50) as session", "id as number", "'x' as line", "cast(id % 4 = 3 as int) as part")
+    lines, files = land(rows, str(tmp_path), 2, 100)
+    assert (files, lines.count()) == (8, 1000)
+    for k, n in ((0, 750), (1, 250)):
+        part = spark.read.parquet(f"{tmp_path}/landing/part-{k:03d}")
+        assert (len(part.inputFiles()), part.count()) == (8, n)
+        assert max(r["count"] for r in part.groupBy(F.input_file_name()).count().collect()) < 200
+    one, many = (sorted(map(tuple, boards_of_landed(talks, rows_per_file=n).collect())) for n in (10**6, 40))
+    assert one == many and one
