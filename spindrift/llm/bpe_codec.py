@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -46,6 +47,7 @@ def vocabulary_text(path: str) -> str:
 def tokenizer_of(path: str):
     """The tokenizer of a JSON file that is on every worker or was shipped with addFile."""
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each of the library's threads would keep memory of its own
         from tokenizers import Tokenizer
 
         spec = json.loads(vocabulary_text(path))
@@ -140,8 +142,8 @@ def encode_bucket(path: str):
         tokenizer, ids_of, asked = tokenizer_of(path), {}, []
 
         def encode(words: list[bytes]) -> None:
-            for k in range(0, len(words), 20_000):
-                part = words[k : k + 20_000]
+            for k in range(0, len(words), 2_000):  # what the tokenizer returns takes about a kilobyte a word
+                part = words[k : k + 2_000]
                 for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
                     ids_of[w] = " ".join(map(str, e.ids)).encode()
 
@@ -169,42 +171,65 @@ def pack_texts(id_type: pa.DataType, most: float):
     return run
 
 
-def join_back(path: str, with_ids: bool, with_text: bool):
-    """Of one block: its dictionary and its texts; ids go to the words' positions."""
+def numbered(path: str, dictionary: pa.Table) -> tuple[dict[bytes, int], pa.Array, pa.Array, pa.Array]:
+    """The number of each word of a block; and by number, its ids and pieces as text, a space behind each, and its ids."""
+    pieces, number = pieces_of(path), {}
+    flat, counts, texts, sizes = [], [], ([], []), ([], [])
+    for words, ids in zip(dictionary["words"], dictionary["ids"]):
+        for w in unpack(words.as_py()):
+            number[w] = len(number)
+        each = [i.split() for i in unpack(ids.as_py())]
+        counts.append(np.fromiter(map(len, each), np.int64, len(each)))
+        flat.append(np.array([x for parts in each for x in parts], np.int32))
+        for text, size, rows in zip(texts, sizes, (each, ([pieces[x] for x in parts] for parts in each))):
+            spaced = [b" ".join([*parts, b""]) for parts in rows]
+            size.append(np.fromiter(map(len, spaced), np.int64, len(spaced)))
+            text.append(b"".join(spaced))
+        del each, spaced
+    upto = lambda parts: np.concatenate([[0], np.cumsum(np.concatenate(parts))])
+    as_text = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(number), [None, pa.py_buffer(upto(size)), pa.py_buffer(b"".join(text))]) for text, size in zip(texts, sizes)]
+    as_lists = pa.ListArray.from_arrays(pa.array(upto(counts), pa.int32()), pa.array(np.concatenate(flat)))
+    return number, *as_text, as_lists
+
+
+def join_back(path: str, with_ids: bool, with_text: bool, most: int = 1 << 20):
+    """Of one block: its dictionary and its texts, some ``most`` bytes at a time; ids go to the words' positions."""
+
+    def joined(doc_ids: pa.Array, words: list[int], ends: list[int], ids: pa.Array, pieces: pa.Array, lists: pa.Array) -> pa.Table:
+        at = pa.array(words, pa.int64())
+        columns, texts = {"doc_id": doc_ids}, {}
+        for name, some in (("ids", ids), ("decoded", pieces)):
+            taken = some.take(at)
+            offsets, data = np.frombuffer(taken.buffers()[1], np.int64)[ends], memoryview(taken.buffers()[2] or b"")
+            texts[name] = [data[a : max(a, b - 1)] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        taken = lists.take(at)
+        upto = np.frombuffer(taken.buffers()[1], np.int32)[ends]
+        columns["n_tokens"] = pa.array(np.diff(upto).astype(np.int64))
+        for name in texts:
+            columns[f"{name}_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts[name]], pa.string())
+        if with_ids:
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), taken.values)
+        if with_text:
+            columns["decoded"] = pa.array([str(t, "utf-8") for t in texts["decoded"]], pa.string())
+        return pa.table(columns)
 
     def run(key, dictionary: pa.Table, packed: pa.Table) -> pa.Table:
-        pieces = pieces_of(path)
-        ids_of, piece_of, count_of = {}, {}, {}
-        for words, ids in zip(dictionary["words"].to_pylist(), dictionary["ids"].to_pylist()):
-            for w, i in zip(unpack(words), unpack(ids)):
-                each = i.split()
-                ids_of[w], count_of[w], piece_of[w] = i, len(each), b" ".join([pieces[x] for x in each])
-        void = not all(count_of.values())
-        out: dict[str, list] = {"n": [], "ids": [], "decoded": [], "id_list": [], "decoded_text": []}
-        doc_ids = []
-        for ids, sizes, blob in zip(packed["ids"], packed["sizes"].to_pylist(), packed["texts"].to_pylist()):
-            raw, at = zstandard.ZstdDecompressor().decompress(blob), 0
-            doc_ids.append(ids.values)
-            for size in np.frombuffer(sizes, np.int64).tolist():
-                words = raw[at : at + size].split()
+        number, *by_number = numbered(path, dictionary)
+        done = []
+        for ids, sizes, blob in zip(packed["ids"], packed["sizes"], packed["texts"]):
+            raw, at, began, first = zstandard.ZstdDecompressor().decompress(blob.as_buffer()), 0, 0, 0
+            words, ends = [], [0]
+            all_sizes = np.frombuffer(sizes.as_buffer(), np.int64).tolist()
+            for k, size in enumerate(all_sizes, 1):
+                words += map(number.__getitem__, raw[at : at + size].split())
+                ends.append(len(words))
                 at += size
-                if void:
-                    words = [w for w in words if count_of[w]]
-                joined, decoded = b" ".join(map(ids_of.__getitem__, words)), b" ".join(map(piece_of.__getitem__, words))
-                out["n"].append(sum(map(count_of.__getitem__, words)))
-                out["ids"].append(hashlib.sha256(joined).hexdigest())
-                out["decoded"].append(hashlib.sha256(decoded).hexdigest())
-                if with_ids:
-                    out["id_list"].append(np.array(joined.split(), np.int32))
-                if with_text:
-                    out["decoded_text"].append(decoded.decode())
-        columns = {"doc_id": pa.chunked_array(doc_ids), "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["ids"], pa.string()), "decoded_sha256": pa.array(out["decoded"], pa.string())}
-        if with_ids:
-            columns["ids"] = pa.array(out["id_list"], pa.list_(pa.int32()))
-        if with_text:
-            columns["decoded"] = pa.array(out["decoded_text"], pa.string())
-        done = pa.table(columns)
-        del ids_of, piece_of, count_of, out, columns
+                if at - began >= most or k == len(all_sizes):
+                    done.append(joined(ids.values.slice(first, k - first), words, ends, *by_number))
+                    words, ends, began, first = [], [0], at, k
+            del raw
+        done = pa.concat_tables(done)
+        del number, by_number
         release()
         return done
 
