@@ -4,8 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.plans import path_census as census
+from spindrift.sources import transcript_files as tf
 
 
 def _nested(depth):
@@ -53,3 +55,49 @@ def test_census_is_the_same_however_often_a_task_hands_on(spark, monkeypatch):
     want = sorted(map(repr, census.path_census(lines).collect()))
     monkeypatch.setattr(census, "HELD", 700)
     assert sorted(map(repr, census.path_census(lines).collect())) == want
+
+
+@pytest.fixture(scope="module")
+def odd_files(spark):
+    random.seed(11)
+    names = ["a", "007", "x=1/y:z", "50%", "é {q}[^]", 'q"\'*?#\\', "", None, "1e5"]
+    text = lambda: "".join(random.choice(['{"a":1}\n', "broken\n", "\n", '{"a":"' + "é" * 40 + '"}\r\n', '{"b":2}']) for _ in range(random.randint(0, 9)))
+    rows = {(random.choice(names), s and f"{s}{k}" if k else s, a): text() for s in names for k in range(3) for a in ("main", "a7", "a/8")}
+    rows["p", "null", "main"], rows["p", "large", "main"] = None, '{"a":1}\n' * 30
+    return spark.createDataFrame([(*k, v) for k, v in rows.items()], "slug string, session string, agent string, content string")
+
+
+def test_files_written_by_tasks_are_those_that_spark_writes(spark, odd_files, tmp_path):
+    tf.write_files(odd_files, f"file://{tmp_path}/own")
+    tf.write_files(odd_files, f"{tmp_path}/spark")
+
+    def found(root):
+        lines = {}  # null and '' have one folder, where Spark writes two files
+        for f in root.rglob("part-*"):
+            lines.setdefault(str(f.parent.relative_to(root)), []).extend(f.read_bytes().split(b"\n")[:-1])
+        return {k: sorted(v) for k, v in lines.items()}
+
+    assert found(tmp_path / "own") == found(tmp_path / "spark") and len(found(tmp_path / "own")) > 70
+    assert not [f for f in (tmp_path / "own").rglob("*") if f.is_file() and f.name.startswith(".")]
+    with pytest.raises(FileExistsError):
+        tf.write_files(odd_files, f"file://{tmp_path}/own")
+
+
+def test_listing_and_scan_by_tasks_are_those_of_spark(spark, odd_files, tmp_path):
+    tf.write_files(odd_files, f"{tmp_path}/t")
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    try:
+        for f in (lambda root: tf.listing(spark, root),):
+            own, plain = (sorted(map(repr, f(root).collect())) for root in (f"file://{tmp_path}/t", f"{tmp_path}/t"))
+            assert own == plain and len(own) > 60
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionColumnTypeInference.enabled")
+
+
+def test_files_are_made_and_listed_without_a_file_index_of_the_driver(spark, tmp_path):
+    rows = spark.range(3000).select(F.concat(F.lit("p"), F.col("id") % 3).alias("slug"), F.concat(F.lit("s"), "id").alias("session"), F.lit("main").alias("agent"), F.lit('{"a":1}\n').alias("content"))
+    tf.write_files(rows, f"file://{tmp_path}/t")
+    files = tf.listing(spark, f"file://{tmp_path}/t")
+    assert files.agg(F.count("*"), F.sum("bytes"), F.countDistinct("session")).first() == (3000, 24000, 3000)
+    for df in (files,):
+        assert df.inputFiles() == [] and "FileScan" not in df._jdf.queryExecution().executedPlan().toString()
