@@ -87,7 +87,7 @@ def test_listing_and_scan_by_tasks_are_those_of_spark(spark, odd_files, tmp_path
     tf.write_files(odd_files, f"{tmp_path}/t")
     spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     try:
-        for f in (lambda root: tf.listing(spark, root),):
+        for f in (lambda root: tf.listing(spark, root), lambda root: tf.scan(spark, root, F.col("line").startswith("{"), 200, 80, 4)):
             own, plain = (sorted(map(repr, f(root).collect())) for root in (f"file://{tmp_path}/t", f"{tmp_path}/t"))
             assert own == plain and len(own) > 60
     finally:
@@ -99,5 +99,5 @@ def test_files_are_made_and_listed_without_a_file_index_of_the_driver(spark, tmp
     tf.write_files(rows, f"file://{tmp_path}/t")
     files = tf.listing(spark, f"file://{tmp_path}/t")
     assert files.agg(F.count("*"), F.sum("bytes"), F.countDistinct("session")).first() == (3000, 24000, 3000)
-    for df in (files,):
+    for df in (files, tf.scan(spark, f"file://{tmp_path}/t", F.col("line").startswith("{"))):
         assert df.inputFiles() == [] and "FileScan" not in df._jdf.queryExecution().executedPlan().toString()
