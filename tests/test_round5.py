@@ -3,9 +3,11 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.llm import compact_windows
 from spindrift.plans import path_census as census
 from spindrift.sources import transcript_files as tf
 
@@ -101,3 +103,40 @@ def test_files_are_made_and_listed_without_a_file_index_of_the_driver(spark, tmp
     assert files.agg(F.count("*"), F.sum("bytes"), F.countDistinct("session")).first() == (3000, 24000, 3000)
     for df in (files, tf.scan(spark, f"file://{tmp_path}/t", F.col("line").startswith("{"))):
         assert df.inputFiles() == [] and "FileScan" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_op8_variants_are_verified_with_their_nearest_and_to_join_classes_not_in_all_pairs(spark):
+    """80 texts of 300 words, each with 2 % of the words replaced: most pairs of them share some passage, but the whole of it few."""
+    random.seed(13)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(w if random.random() > 0.02 else f"x{random.randrange(10**9)}" for w in base) for _ in range(80)]
+    got = compact_windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    pairs = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in got}
+    assert {r.doc_id for r in got} == set(range(80)) and len({r.class_id for r in got}) == 1
+    assert len(pairs) <= 450  # 572 before
+    covered = {d: set() for d in range(80)}
+    for r in got:
+        covered[r.doc_id] |= set(range(r.start, r.end))
+    assert min(map(len, covered.values())) >= 150 and sum(map(len, covered.values())) >= 0.9 * 300 * 80
+
+
+def test_op8_pairs_that_join_classes_are_verified_too(spark):
+    """Two families that one text of each joins by a passage that its nearest ones do not have."""
+    random.seed(17)
+    words = lambda n: [f"v{random.randrange(10**9)}" for _ in range(n)]
+    one, two, joint = words(400), words(400), words(70)
+    # The joint passage follows at once upon the family's text, so both are one place of it.
+    texts = [one, one + words(20), one + joint, two, two + words(20), two + joint]
+    got = compact_windows.repeated_passages(spark.createDataFrame([(k, " ".join(words(9) + t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert any({r.doc_id, r.other_id} == {2, 5} and r.start >= 400 for r in got)
+    assert {r.doc_id for r in got} == set(range(6))
+
+
+def test_op8_shingles_of_one_row_in_another_are_found_by_table():
+    np.random.seed(5)
+    s = np.random.randint(0, 60, (40, 25)).astype(np.uint16)
+    t = compact_windows.Surroundings(s, 3)
+    lead = np.sort(np.random.randint(0, 40, 900))
+    lead[:300], row = 7, np.random.randint(0, 40, 900)
+    for x, y in ((row, lead), (lead, row), (row[:0], lead[:0])):
+        assert (t.holds(x, y) == (t.inner[x][:, :, None] == s[y][:, None, :]).any(axis=2)).all() and not t.known.any()
